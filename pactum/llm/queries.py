@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id
+from pyspark.sql import functions as F
+
+from . import chat, exact_dedup, jaccard_join, language_id, license_scan, mixing, warc
 from .common import table
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op5_warc(spark, sf_dir):
+    return warc.page_digests(table(spark, sf_dir, "pages"))
+
+
+#: A conversation beside the table whose texts are the template's own control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    return chat.digest(chat.format_conversations(rows.unionByName(probe)))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -18,9 +43,14 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_language_id, op8_ngram_jaccard_join, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup)}
 
 ORACLE_SQL = {
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+     f AS (SELECT page_id, h, n, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
      k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM n)
