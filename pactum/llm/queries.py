@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, language_id, license_scan, mixing, warc
+from . import chat, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, mixing, warc
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup)}
+def op10_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup, op10_document_fingerprints)}
 
 ORACLE_SQL = {
     "op5_warc": r"""
