@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import exact_dedup, jaccard_join, language_id
+from pactum.llm import exact_dedup, jaccard_join, language_id, mixing, piece_encoding
 from pactum.llm.common import stored, table
 
 
@@ -23,10 +23,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.keep_one(docs, n=5, percent=80)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight 5, 2, 1 to 150% of all words, at most twice each document."""
+    return mixing.repeat_by_mix(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, checked by decoding them."""
+    return piece_encoding.round_trip(docs)
+
+
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
     ("n-gram Jaccard join", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
 ]
 
 #: The stages fit models and search pairs, which SQL does not express.

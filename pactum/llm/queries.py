@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, mixing, warc
+from . import chat, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, mixing, piece_encoding, warc
 from .common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return piece_encoding.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_lm_scoring, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup, op10_document_fingerprints)}
 
 ORACLE_SQL = {
     "op5_warc": r"""
