@@ -11,7 +11,8 @@ threshold. The plan:
    partner must share one. Each task emits a node once.
 3. Rows of one n-gram meet. Every row is paired with the smallest node of its
    n-gram only (star candidates), after length and positional filters. Pairs are
-   made distinct, filtered by suffix parts, and checked on the whole sets.
+   made distinct, filtered by the sizes of suffix parts, which travel in a few
+   bytes, and only what is left fetches whole sets, once a pair.
 4. Links found are contracted to components. Only n-grams whose rows still lie in
    different components are paired in full, across components, without the pairs
    that were checked before. A group of near copies thus costs about one pair per
@@ -39,7 +40,9 @@ CHUNK = 4096
 #: Rows of one n-gram that a task takes before the n-gram is salted.
 GROUP_ROWS = 20_000
 #: Words and signatures that a task remembers before it starts afresh.
-MEMO = 500_000
+MEMO = 200_000
+#: Parts of the hash range whose sizes each node carries for the suffix filter.
+PARTS = 128
 #: Bits of the filter that tells which documents a check needs; a full filter only
 #: lets more sets through to the exact join.
 FILTER_BITS = 1 << 24
@@ -84,22 +87,21 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, n, node) of every document; kind 1: bucket counts of a task."""
+    """kind 0: (doc_id, n, node, part sizes) of every document; kind 1: bucket counts of a task."""
 
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         rows: list[tuple] = []
 
         def out():
-            ids, ns, nodes = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
-            none = [None] * len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.binary())], names)
+            ids, ns, nodes, parts = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.binary())], names)
 
         names = ["kind", "doc_id", "n", "node", "counts"]
         for doc, s, node in _sets(batches, n):
             np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            rows.append((doc, len(s), node))
-            if len(rows) >= 10_000:
+            rows.append((doc, len(s), node, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype(np.uint32).tobytes()))
+            if len(rows) >= 5_000:
                 yield out()
                 rows.clear()
         yield out()
@@ -162,18 +164,35 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
 
 
 def _may_link(a: str, b: str, percent: int):
-    """Length filter and positional filter at a shared n-gram; a and b prefix the columns."""
+    """Length and positional filter at a shared n-gram; a and b prefix the columns.
+
+    At a pair's first shared n-gram nothing before it is shared, so the overlap is at
+    most what is left from there on. Rows of later n-grams may fail where the first
+    passes, and a pair needs one row.
+    """
     na, nb, pa_, pb = (F.col(f"{x}{c}").cast("long") for c, x in (("n", a), ("n", b), ("pos", a), ("pos", b)))
     length = F.greatest(na, nb) * percent <= F.least(na, nb) * 100
-    bound = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return length & ((100 + percent) * bound >= percent * (na + nb))
+    return length & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
+
+
+def _suffix_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose hash-range parts, taken one by one, could still overlap enough."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("parts").alias(f"p{x}"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, PARTS).astype(np.int64) for c in batch.columns[2:])
+            ok = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _needed_sets(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(node, set) of one document for each node in ``pairs``."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rep = meta.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rep = nodes.select("node", "doc_id").join(needed, "node", "left_semi")
 
     def mark(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -206,29 +225,25 @@ def _needed_sets(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int) ->
             for i in range(0, len(out[0]), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0][i : i + 500], pa.int64()), pa.array(out[1][i : i + 500], pa.binary())], ["node", "s"])
 
-    return docs.mapInArrow(run, "node long, s binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _checked(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, linked): each pair's suffix filter and exact check on the whole sets."""
-    sets = stored(_needed_sets(docs, meta, pairs, n), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the suffix filter and then the whole sets."""
+    left = stored(_suffix_filtered(pairs, nodes, percent), "jaccard-left")
+    sets = stored(_needed_sets(docs, nodes, left, n), "jaccard-sets")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        need = percent * (len(x) + len(y))
-        parts = [np.diff(np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])) for s in (x, y)]
-        if (100 + percent) * int(np.minimum(*parts).sum()) < need:
-            return False
-        return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= need
+        return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y))
 
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = batch.columns
+            _, _, sa, sb = batch.columns
             ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(sa, sb, strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -247,7 +262,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     survey = stored(_survey(docs, n), "jaccard-survey")
     meta = survey.filter("kind = 0").select("doc_id", "n", "node")
-    real = meta.filter("n > 0 and doc_id is not null")
+    nodes = survey.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("counts").alias("parts"))
     by_gram = Window.partitionBy("h", "salt")
     grams = _prefixes(docs, n, percent, _bucket_counts(survey)).withColumns({"lead": F.min(F.struct("node", "n", "pos")).over(by_gram), "most": F.max("node").over(by_gram)})
     grams = grams.filter((F.col("lead.node") != F.col("most")) | (F.col("salt") >= 0))
@@ -257,8 +272,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     tops = leads.join(leads.groupBy("h").agg(F.min("x").alias("l")), "h").select("x.*", F.col("l.node").alias("lnode"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
     stars = grams.select("node", "n", "pos", "lnode", "ln", "lpos").unionByName(tops).filter("node != lnode").filter(_may_link("", "l", percent))
     first = stored(_pairs(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))), "jaccard-pairs")
-    checked = stored(_checked(docs, real, first, n, percent), "jaccard-links")
-    labels = components(checked.filter("linked"))
+    checked = stored(_checked(docs, nodes, first, n, percent), "jaccard-links")
+    labels = components(checked)
 
     named = grams.select("h", "node", "n", "pos").distinct().join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
@@ -270,8 +285,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     second = _pairs(rest.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))).join(first, ["a", "b"], "left_anti")
     second = stored(second, "jaccard-pairs")
     if not second.isEmpty():
-        more = stored(_checked(docs, real, second, n, percent), "jaccard-links").filter("linked")
-        labels = components(checked.filter("linked").union(more))
+        more = stored(_checked(docs, nodes, second, n, percent), "jaccard-links")
+        labels = components(checked.union(more))
 
     rooted = meta.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.filter("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
