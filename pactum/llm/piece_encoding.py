@@ -22,7 +22,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -33,6 +33,7 @@ DICTIONARY, CHUNK_BYTES = 1 << 19, 64
 #: A longer run without white space is cut every so many characters.
 LONGEST_CHUNK = 512
 HOLD = 400_000
+LATTICE_CHUNKS = 25_000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 _CHUNK = re.compile(rf" *[^ \t\n\x0b\x0c]{{1,{LONGEST_CHUNK}}}| {{1,{LONGEST_CHUNK}}}|[\t\n\x0b\x0c]")
@@ -80,29 +81,36 @@ def count_chunks(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def _bytes(char: Column, first: int) -> Column:
-    digits = F.hex(char.cast("binary"))
-    at = F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int"))
-    return F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + first)
+def _expand(ids, first: int) -> bytes:
+    """Packed int32 ids; a negative one stands for a character, written as its byte pieces."""
+    if any(i < 0 for i in ids):
+        ids = [x for i in ids for x in ([i] if i >= 0 else [first + b for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
+    return np.asarray(ids, np.int32).tobytes()
 
 
 def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(chunk, n) -> (chunk, n, score, ids): the best-scoring path through each lattice. Of equal
-    scores the path whose last piece is longest wins, then the one before, and so on."""
-    pieces, longest, first = piece_table(words.sparkSession, path)
+    scores the path whose last piece is longest wins, then the one before, and so on.
+    A negative id, -c - 1, stands for a character c that is no piece.
+
+    Chunks are dealt LATTICE_CHUNKS to a partition, so that a task groups its edges in
+    memory; the grouping needs no further shuffle.
+    """
+    pieces, longest, _ = piece_table(words.sparkSession, path)
+    words = stored(words, "pieces-chunks")
+    words = words.repartition(max(1, -(-words.count() // LATTICE_CHUNKS)), "chunk")
     starts = F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("s")
     spans = words.select("chunk", "n", starts).select("chunk", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("s")))).alias("k"))
     spans = spans.withColumn("piece", F.substring(F.col("chunk"), F.col("s") + 1, F.col("k")))
     edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id is not null or k = 1")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes(F.col("piece"), first))
-    edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"), ids.alias("ids"))
+    edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"), F.coalesce("id", -F.ascii("piece") - 1).alias("id"))
     lattice = edges.groupBy("chunk", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
-    node = lambda score, s, ids: F.struct(score.alias("score"), s.alias("s"), ids.alias("ids"))
-    origin = F.array(node(F.lit(0.0), F.lit(0), F.array().cast("array<int>")))
+    node = lambda score, s, id_: F.struct(score.alias("score"), s.alias("s"), id_.alias("id"))
+    origin = F.array(node(F.lit(0.0), F.lit(0), F.lit(0)))
 
     def step(best, x):
-        new = node(F.get(best, x["s"])["score"] + x["score"], x["s"], x["ids"])
+        new = node(F.get(best, x["s"])["score"] + x["score"], x["s"], x["id"])
         last = F.size(best) - 1
         worse = F.get(best, last)["score"] >= F.get(best, x["s"])["score"] + x["score"]
         return F.when(x["e"] > last, F.concat(best, F.array(new))).when(worse, best).otherwise(F.concat(F.slice(best, 1, last), F.array(new)))
@@ -110,11 +118,11 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     folded = lattice.select("chunk", "n", F.aggregate("edges", origin, step).alias("best"))
     back = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
     places = F.sequence(F.size("best") - 1, F.lit(1), F.lit(-1))
-    walk = lambda p, i: F.when(p["at"] == i, F.struct(F.get("best", i)["s"].alias("at"), F.concat(F.get("best", i)["ids"], p["ids"]).alias("ids"))).otherwise(p)
+    walk = lambda p, i: F.when(p["at"] == i, F.struct(F.get("best", i)["s"].alias("at"), F.concat(F.array(F.get("best", i)["id"]), p["ids"]).alias("ids"))).otherwise(p)
     return folded.select("chunk", "n", F.get("best", F.size("best") - 1)["score"].alias("score"), F.aggregate(places, back, walk)["ids"].alias("ids"))
 
 
-def _common(lexicon: DataFrame) -> tuple[list, list, list]:
+def _common(lexicon: DataFrame, first: int) -> tuple[list, list, list]:
     """The commonest chunks with scores and ids, by steps of frequency, up to DICTIONARY."""
     short = lexicon.filter(F.octet_length("chunk") <= CHUNK_BYTES).withColumn("step", F.floor(F.log2("n") * 8))
     held, least = 0, None
@@ -126,7 +134,7 @@ def _common(lexicon: DataFrame) -> tuple[list, list, list]:
     if least is None:
         return [], [], []
     rows = short.filter(F.col("step") >= least).select("chunk", "score", "ids").toArrow()
-    return rows.column(0).to_pylist(), rows.column(1).to_pylist(), [np.asarray(x, np.int32).tobytes() for x in rows.column(2).to_pylist()]
+    return rows.column(0).to_pylist(), rows.column(1).to_pylist(), [_expand(x, first) for x in rows.column(2).to_pylist()]
 
 
 def _row_key(doc_id, text) -> int:
@@ -143,7 +151,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lexicon = stored(best_paths(count_chunks(docs, "text"), path), "pieces-lexicon")
-    common, scores, ids = _common(lexicon)
+    first = piece_table(spark, path)[2]
+    common, scores, ids = _common(lexicon, first)
     shared = spark.sparkContext.broadcast((dict(zip(common, zip(scores, ids, strict=True), strict=True))))
 
     def keyed(batches):
@@ -172,7 +181,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for batch in batches:
             ids_out, score_out = [], []
             for text, more in zip(batch.column(1), batch.column(2), strict=True):
-                own = {m["chunk"]: (m["score"], np.asarray(m["ids"], np.int32).tobytes()) for m in more.as_py() or ()}
+                own = {m["chunk"]: (m["score"], _expand(m["ids"], first)) for m in more.as_py() or ()}
                 found = [known.get(c) or own[c] for c in chunks(text.as_py())]
                 ids_out.append(np.frombuffer(b"".join([b for _, b in found]), np.int32))
                 score_out.append(sum([s for s, _ in found]))
