@@ -9,27 +9,25 @@ from .common import stored
 
 
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node that has a link.
+    """(node, root): the smallest node reachable, for every node that has a link but the roots.
 
-    ``links``: columns a, b (long). Each round is a large-star then a small-star
-    step over the edge table; both are group-wise minima followed by a join, with
-    partial aggregation before the shuffle. The edge table is written to shared
-    storage each round and never held by the driver, which reads two sums only.
+    ``links``: columns a, b (long). A small-star step hangs the smaller neighbours of a
+    node on the smallest, which merges many links of one node into few; a large-star
+    step does so for the larger ones. Both are group-wise minima (aggregated before
+    the shuffle) followed by a join that may split a hot node. The edge table is written
+    to shared storage each round and never held by the driver, which only asks
+    whether an edge still leads to a node that has an edge of its own.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = stored(edges, name)
-    before = None
     for _ in range(rounds):
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        small = edges.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stored(small.filter("u != v").distinct(), name)
+        if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            # Stars only; a root that hangs nowhere is its component's smallest node.
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.filter("u != v").distinct(), name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(large.distinct(), name)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

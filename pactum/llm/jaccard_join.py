@@ -286,7 +286,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     second = stored(second, "jaccard-pairs")
     if not second.isEmpty():
         more = stored(_checked(docs, nodes, second, n, percent), "jaccard-links")
-        labels = components(checked.union(more))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     rooted = meta.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.filter("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
