@@ -13,10 +13,11 @@ threshold. The plan:
    n-gram only (star candidates), after length and positional filters. Pairs are
    made distinct, filtered by the sizes of suffix parts, which travel in a few
    bytes, and only what is left fetches whole sets, once a pair.
-4. Links found are contracted to components. Only n-grams whose rows still lie in
-   different components are paired in full, across components, without the pairs
-   that were checked before. A group of near copies thus costs about one pair per
-   member, and no link between different components is lost.
+4. Links found are contracted to components. N-grams whose rows still lie in
+   different components try further stars, with leaders drawn at random, until a
+   turn finds no link. Only what is then still apart is paired in full, across
+   components, without the pairs that were checked before. A group of near copies
+   thus costs a few pairs per member, and no link between components is lost.
 
 An n-gram far above the bucket mean is dealt out over salted subgroups, whose
 leaders then meet; no task gets a group that grows with the corpus.
@@ -41,6 +42,9 @@ CHUNK = 4096
 GROUP_ROWS = 20_000
 #: Words and signatures that a task remembers before it starts afresh.
 MEMO = 200_000
+#: Turns of star candidates with drawn leaders, and leaders of an n-gram in each. They only
+#: save work: what they leave apart is paired in full.
+STAR_TURNS, LEADERS = 4, 4
 #: Parts of the hash range whose sizes each node carries for the suffix filter.
 PARTS = 128
 #: Bits of the filter that tells which documents a check needs; a full filter only
@@ -250,6 +254,28 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _open(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their components, of n-grams that lie in several components."""
+    named = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
+    return named.join(mixed, "h", "left_semi")
+
+
+def _stars(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidates (a, b) between each row and LEADERS nodes of its n-gram, drawn anew each
+    turn, where components differ. The draw is a group-wise minimum, so it is made
+    before the shuffle, and each n-gram brings LEADERS small rows to the join."""
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("draw"), F.col("node").alias("lnode"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("root").alias("lroot"))).alias(f"x{k}")
+    leads = open_rows.groupBy("h").agg(*[lead(k) for k in range(LEADERS)])
+    leads = leads.select("h", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"x{k}.{c}").alias(c) for c in ("lnode", "ln", "lpos", "lroot")]) for k in range(LEADERS)]))).alias("x")).select("h", "x.*")
+    near = open_rows.join(leads, "h").filter((F.col("root") != F.col("lroot")) & _may_link("", "l", percent))
+    return near.select(F.col("node").alias("a"), F.col("lnode").alias("b"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
@@ -275,18 +301,23 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     checked = stored(_checked(docs, nodes, first, n, percent), "jaccard-links")
     labels = components(checked)
 
-    named = grams.select("h", "node", "n", "pos").distinct().join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
-    open_rows = stored(named.join(mixed, "h", "left_semi"), "jaccard-open")
+    named, tried = grams.select("h", "node", "n", "pos").distinct(), first
+    for turn in range(STAR_TURNS):
+        open_rows = stored(_open(named, labels), "jaccard-open")
+        more_pairs = stored(_pairs(_stars(open_rows, turn, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = stored(_checked(docs, nodes, more_pairs, n, percent), "jaccard-links")
+        if more.isEmpty():
+            break
+        labels, tried = _merged(labels, more), tried.union(more_pairs)
+
+    open_rows = stored(_open(named, labels), "jaccard-open")
     left, right = (open_rows.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root")]) for x in ("l", "r"))
     # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
     indexed = F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent))
     rest = left.join(right, "h").filter((F.col("lroot") != F.col("rroot")) & (F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))) & indexed & _may_link("l", "r", percent))
-    second = _pairs(rest.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))).join(first, ["a", "b"], "left_anti")
-    second = stored(second, "jaccard-pairs")
-    if not second.isEmpty():
-        more = stored(_checked(docs, nodes, second, n, percent), "jaccard-links")
-        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    last = stored(_pairs(rest.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if not last.isEmpty():
+        labels = _merged(labels, stored(_checked(docs, nodes, last, n, percent), "jaccard-links"))
 
     rooted = meta.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.filter("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
