@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions.text import fold, quote_found
 
@@ -18,6 +19,8 @@ from ..functions.text import fold, quote_found
 SAME, NUMBER, MOVED, GRAY, MAX_ASKED = 0.72, 0.35, 0.95, 0.45, 12
 WORD = "[0-9A-Za-zÇĞİÖŞÜçğıöşü]+"
 NUMBERS = r"\d+(?:[.,]\d+)*"
+#: A type object, so that this module loads before there is a session.
+WORD_DIFF = ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())]))
 
 
 def tokens(text: Column) -> Column:
@@ -29,7 +32,7 @@ def match_key(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     one = lambda x, y: (1.0 if not len(x) and not len(y) else 0.0) if not len(x) or not len(y) else SequenceMatcher(None, list(x), list(y)).ratio()
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
@@ -40,7 +43,7 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(match_key(a), match_key(b))
 
 
-@F.pandas_udf("array<struct<op:string,text:string>>")
+@F.pandas_udf(WORD_DIFF)
 def _diff(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
     def one(x, y, kx, ky):
         out: list[list[str]] = []
