@@ -21,7 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,10 +137,6 @@ def _common(lexicon: DataFrame, first: int) -> tuple[list, list, list]:
     return rows.column(0).to_pylist(), rows.column(1).to_pylist(), [_expand(x, first) for x in rows.column(2).to_pylist()]
 
 
-def _row_key(doc_id, text) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """doc_id, text, ids array<int>, score (sum over the best paths).
 
@@ -150,31 +146,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     lexicon = stored(best_paths(count_chunks(docs, "text"), path), "pieces-lexicon")
     first = piece_table(spark, path)[2]
     common, scores, ids = _common(lexicon, first)
     shared = spark.sparkContext.broadcast((dict(zip(common, zip(scores, ids, strict=True), strict=True))))
 
-    def keyed(batches):
-        for batch in batches:
-            key = [_row_key(a, b.as_py()) for a, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "text", "key"])
-
     def missing(batches):
         known = shared.value
         for batch in batches:
             keys, rest = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                if left := {c for c in chunks(text) if c not in known}:
-                    keys += [_row_key(doc_id, text)] * len(left)
+            for text, key in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if left := {c for c in chunks(text.as_py()) if c not in known}:
+                    keys += [key] * len(left)
                     rest += left
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rest, pa.string())], ["key", "chunk"])
 
     packed = F.struct("chunk", "score", "ids").alias("x")
-    rest = docs.mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key", "chunk").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
+    rest = keyed.select("text", "key").mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key", "chunk").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
     rest = rest.groupBy("key").agg(F.collect_list(packed).alias("more"))
-    joined = docs.mapInArrow(keyed, "doc_id long, text string, key long").join(rest, "key", "left")
+    joined = keyed.join(rest, "key", "left")
 
     def run(batches):
         known = shared.value
@@ -194,16 +185,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``decoded``: the text of its pieces; bytes that are no UTF-8 become
-    U+FFFD. Null ids give null."""
+    U+FFFD, and ids of control pieces have no text. Null ids give null."""
     _, _, first = piece_table(encoded.sparkSession, path)
     texts = {i: p.replace(MARK, " ").encode() for i, p, _ in vocabulary(path)} | {first + b: bytes([b]) for b in range(256)}
-    shared = encoded.sparkSession.sparkContext.broadcast(texts)
+    shared = encoded.sparkSession.sparkContext.broadcast([texts.get(i, b"") for i in range(max(texts) + 1)])
     at = encoded.columns.index(ids)
 
     def run(batches):
-        find = shared.value.__getitem__
+        table = pa.array(shared.value, pa.binary())
         for batch in batches:
-            out = [None if x.as_py() is None else b"".join(map(find, x.as_py()))[1:].decode("utf-8", "replace") for x in batch.column(at)]
+            lists = batch.column(at)
+            parts = table.take(lists.flatten())
+            bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+            data = memoryview(parts.buffers()[2] or b"")
+            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = bounds[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+            out = [bytes(data[a:b])[1:].decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
@@ -211,10 +208,12 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> Data
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, n_pieces, score, ids_sha256 (of the ids as text, comma-joined),
-    decoded_sha256, same (the pieces give back the whole text; null counts as empty)."""
-    both = decode(encode(docs))
+    decoded_sha256, same (length and digest of the decoded text are those of the whole
+    text; null counts as empty)."""
     text = F.coalesce("text", F.lit(""))
-    return both.select(
-        "doc_id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), "score",
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("same"),
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    slim = encode(docs).select("doc_id", F.length(text).cast("long").alias("n_chars"), sha(text).alias("sha"), "ids", "score")
+    return decode(slim).select(
+        "doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "score", sha(F.array_join("ids", ",")).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"), ((sha(F.col("decoded")) == F.col("sha")) & (F.length("decoded") == F.col("n_chars"))).alias("same"),
     )
