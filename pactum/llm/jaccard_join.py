@@ -45,6 +45,9 @@ MEMO = 200_000
 #: Turns of star candidates with drawn leaders, and leaders of an n-gram in each. They only
 #: save work: what they leave apart is paired in full.
 STAR_TURNS, LEADERS = 4, 4
+#: Share of a turn's pairs that must link for another turn: with fewer, what is open is mostly
+#: texts that share n-grams but are not alike, which stars do not contract.
+WORTH = 0.1
 #: Parts of the hash range whose sizes each node carries for the suffix filter.
 PARTS = 128
 #: Bits of the filter that tells which documents a check needs; a full filter only
@@ -301,16 +304,18 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     checked = stored(_checked(docs, nodes, first, n, percent), "jaccard-links")
     labels = components(checked)
 
-    named, tried = grams.select("h", "node", "n", "pos").distinct(), first
+    open_rows, tried = stored(_open(grams.select("h", "node", "n", "pos").distinct(), labels), "jaccard-open"), first
     for turn in range(STAR_TURNS):
-        open_rows = stored(_open(named, labels), "jaccard-open")
         more_pairs = stored(_pairs(_stars(open_rows, turn, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         more = stored(_checked(docs, nodes, more_pairs, n, percent), "jaccard-links")
-        if more.isEmpty():
+        found, tried = more.count(), tried.union(more_pairs)
+        if found:
+            # Components only grow, so what is open now was open before.
+            labels = _merged(labels, more)
+            open_rows = stored(_open(open_rows.drop("root"), labels), "jaccard-open")
+        if found < WORTH * more_pairs.count():
             break
-        labels, tried = _merged(labels, more), tried.union(more_pairs)
 
-    open_rows = stored(_open(named, labels), "jaccard-open")
     left, right = (open_rows.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root")]) for x in ("l", "r"))
     # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
     indexed = F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent))
