@@ -8,7 +8,9 @@ which loading checks. For each distinct chunk of the corpus:
   table (a fixed vocabulary, broadcast); what joins is an edge of the lattice, and a
   character that is no piece gives an edge of its UTF-8 byte pieces;
 * edges are grouped by chunk and sorted by their end, and Viterbi is a fold over them
-  with Spark's ``aggregate``, as is the walk back along the best path.
+  with Spark's ``aggregate``, as is the walk back along the best path. A chunk of over
+  LONG_CHUNK characters, whose fold would copy its growing path at each edge, takes the
+  same fold over the same edges in a Python loop, linear in its length.
 
 Texts then look up their chunks: the commonest come by broadcast (at most DICTIONARY
 chunks of at most CHUNK_BYTES bytes), the rest by a shuffle join per text.
@@ -30,13 +32,14 @@ from .lattice import MARK, vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY, CHUNK_BYTES = 1 << 19, 64
-#: A longer run without white space is cut every so many characters.
-LONGEST_CHUNK = 512
-HOLD = 400_000
+#: Characters above which the fold over a chunk is a loop; the path is the same.
+LONG_CHUNK = 512
+#: Distinct chunks, and characters of texts, that a counting task takes before it passes its counts on.
+HOLD, HOLD_CHARS = 400_000, 1 << 25
 LATTICE_CHUNKS = 25_000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
-_CHUNK = re.compile(rf" *[^ \t\n\x0b\x0c]{{1,{LONGEST_CHUNK}}}| {{1,{LONGEST_CHUNK}}}|[\t\n\x0b\x0c]")
+_CHUNK = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
 
 
 def chunks(text: str | None) -> list[str]:
@@ -63,6 +66,7 @@ def count_chunks(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
+        held = 0
 
         def out():
             items = list(counts.items())
@@ -73,9 +77,12 @@ def count_chunks(docs: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                counts.update(chunks(value.as_py()))
-                if len(counts) > HOLD:
+                text = value.as_py()
+                counts.update(chunks(text))
+                held += len(text or "")
+                if len(counts) > HOLD or held > HOLD_CHARS:
                     yield from out()
+                    held = 0
         yield from out()
 
     return docs.select(text).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
@@ -88,6 +95,42 @@ def _expand(ids, first: int) -> bytes:
     return np.asarray(ids, np.int32).tobytes()
 
 
+def best_path(chunk: str, pieces: dict[str, tuple[int, float]], longest: int) -> tuple[float, list[int]]:
+    """Score and ids of the best path through one chunk's lattice, as ``best_paths`` has them."""
+    score, back = [0.0], [(0, 0)]
+    for e in range(1, len(chunk) + 1):
+        best = None
+        for s in range(max(0, e - longest), e):
+            found = pieces.get(chunk[s:e])
+            if found is None:
+                if s < e - 1:
+                    continue
+                found = (-ord(chunk[s]) - 1, UNKNOWN_SCORE)
+            total = score[s] + found[1]
+            if best is None or total > best:
+                best, last = total, (s, found[0])
+        score.append(best)
+        back.append(last)
+    ids, at = [], len(chunk)
+    while at:
+        at, i = back[at]
+        ids.append(i)
+    return score[-1], ids[::-1]
+
+
+def _long_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """``best_paths`` of the long chunks, by a loop over each."""
+    shared = words.sparkSession.sparkContext.broadcast({r["piece"]: (r["id"], r["score"]) for r in pieces.collect()})
+
+    def run(batches):
+        for batch in batches:
+            for chunk, n in zip(batch.column(0), batch.column(1), strict=True):
+                score, ids = best_path(chunk.as_py(), shared.value, longest)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.string()), pa.array([n.as_py()], pa.int64()), pa.array([score]), pa.array([ids], pa.list_(pa.int32()))], ["chunk", "n", "score", "ids"])
+
+    return words.select("chunk", "n").mapInArrow(run, "chunk string, n long, score double, ids array<int>")
+
+
 def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(chunk, n) -> (chunk, n, score, ids): the best-scoring path through each lattice. Of equal
     scores the path whose last piece is longest wins, then the one before, and so on.
@@ -98,6 +141,8 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
     pieces, longest, _ = piece_table(words.sparkSession, path)
     words = stored(words, "pieces-chunks")
+    long = _long_paths(words.filter(F.length("chunk") > LONG_CHUNK), pieces, longest)
+    words = words.filter(F.length("chunk") <= LONG_CHUNK)
     words = words.repartition(max(1, -(-words.count() // LATTICE_CHUNKS)), "chunk")
     starts = F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("s")
     spans = words.select("chunk", "n", starts).select("chunk", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("s")))).alias("k"))
@@ -119,7 +164,7 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     back = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
     places = F.sequence(F.size("best") - 1, F.lit(1), F.lit(-1))
     walk = lambda p, i: F.when(p["at"] == i, F.struct(F.get("best", i)["s"].alias("at"), F.concat(F.array(F.get("best", i)["id"]), p["ids"]).alias("ids"))).otherwise(p)
-    return folded.select("chunk", "n", F.get("best", F.size("best") - 1)["score"].alias("score"), F.aggregate(places, back, walk)["ids"].alias("ids"))
+    return folded.select("chunk", "n", F.get("best", F.size("best") - 1)["score"].alias("score"), F.aggregate(places, back, walk)["ids"].alias("ids")).unionByName(long)
 
 
 def _common(lexicon: DataFrame, first: int) -> tuple[list, list, list]:
@@ -141,8 +186,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """doc_id, text, ids array<int>, score (sum over the best paths).
 
     Null and empty texts have no pieces and score 0. Each row gives a row, repeated
-    ids and repeated rows too. Runs of over LONGEST_CHUNK characters without white
-    space are cut, and each part takes its own best path. Other columns are dropped.
+    ids and repeated rows too. Other columns are dropped.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
