@@ -137,39 +137,58 @@ class PieceTable:
 
     def expected_counts(self, words: list[str], times: np.ndarray, weights: np.ndarray, unknown: float) -> np.ndarray:
         """Expected uses of each piece, [piece][column of times], over all segmentations
-        of each word under one set of ``weights``, each word counted ``times`` times."""
-        table = np.append(weights, 0.0)
-        out = np.zeros((self.n + 1, times.shape[1]))
+        of each word under one set of ``weights``, each word counted ``times`` times.
+
+        Forward and backward sums, each rescaled every few characters; their logarithms
+        with the scales are kept, so words of any length count in full.
+        """
+        table = np.append(weights, [0.0, unknown])
+        with np.errstate(divide="ignore"):
+            logs = np.log(table)
+        out = np.zeros((self.n, times.shape[1]))
         for part in self._by_length(words):
             lengths, found = self.edges([words[i] for i in part])
             top, n, wide = found.shape
-            w = table[found]
-            w[0][found[0] == self.n] = unknown
-            # A few characters a scale unit: words longer than 200 characters are cut for counting.
-            if wide > 200:
-                cut = [p for i in part for p in (words[i][j : j + 150] for j in range(0, len(words[i]), 150))]
-                rep = np.repeat(times[part], [-(-len(words[i]) // 150) for i in part], axis=0)
-                out[:-1] += self.expected_counts(cut, rep, weights, unknown)
-                continue
-            lift = 30.0  # weights run near 1e-3 a character; lifted so that products stay in range
-            alpha, beta = np.zeros((wide + 1, n)), np.zeros((wide + 1, n))
-            alpha[0] = 1.0
-            for e in range(1, wide + 1):
-                for k in range(min(top, e)):
-                    alpha[e] += alpha[e - 1 - k] * w[k, :, e - 1 - k] * lift ** (k + 1)
-            beta[lengths, np.arange(n)] = 1.0
-            for s in range(wide - 1, -1, -1):
-                for k in range(min(top, wide - s)):
-                    beta[s] += beta[s + 1 + k] * w[k, :, s] * lift ** (k + 1)
-            total = alpha[lengths, np.arange(n)]
+            found[0][found[0] == self.n] = self.n + 1
+            ahead, behind = self._log_sums(lengths, found, table)
+            total = ahead[lengths, np.arange(n)]
+            ids, rows, post = [], [], []
             for k in range(top):
-                for s in range(wide - k):
-                    post = alpha[s] * w[k, :, s] * lift ** (k + 1) * beta[s + 1 + k] / total
-                    ids = found[k, :, s]
-                    used = np.flatnonzero((ids != self.n) & (post > 1e-12))
-                    if len(used):
-                        for c in range(times.shape[1]):
-                            out[:, c] += np.bincount(ids[used], post[used] * times[[part[i] for i in used], c], self.n + 1) if len(used) > 2000 else 0
-                        if len(used) <= 2000:
-                            np.add.at(out, ids[used], post[used, None] * times[[part[i] for i in used]])
-        return out[:-1]
+                edge = found[k, :, : wide - k]
+                word, s = np.nonzero(edge < self.n)
+                ids.append(edge[word, s])
+                rows.append(word)
+                post.append(np.exp(ahead[s, word] + logs[ids[-1]] + behind[s + 1 + k, word] - total[word]))
+            ids, post, rows = np.concatenate(ids), np.concatenate(post), np.asarray(part)[np.concatenate(rows)]
+            for c in range(times.shape[1]):
+                out[:, c] += np.bincount(ids, post * times[rows, c], self.n)
+        return out
+
+    @staticmethod
+    def _log_sums(lengths, found, table):
+        """Logarithms of the summed weights of all paths to, and from, each place, [place][word]."""
+        top, n, wide = found.shape
+        steps, each = np.arange(top), np.arange(n)
+        ahead, behind = np.zeros((wide + 1, n)), np.full((wide + 1, n), -np.inf)
+        sums, scale = np.zeros((wide + 1, n)), np.zeros(n)
+        sums[0] = 1.0
+        for e in range(1, wide + 1):
+            k = steps[:e]
+            x = (sums[e - 1 - k] * table[found[k, :, e - 1 - k]]).sum(axis=0)
+            ahead[e] = np.log(x) + scale
+            sums[e] = x
+            if e % 4 == 0:
+                sums[max(0, e - top) : e + 1] /= x
+                scale += np.log(x)
+        sums, scale = np.zeros((wide + top + 1, n)), np.zeros(n)
+        sums[lengths, each] = 1.0
+        behind[lengths, each] = 0.0
+        for s in range(wide - 1, -1, -1):
+            sums[s] += (sums[s + 1 : s + 1 + top] * table[found[:, :, s]]).sum(axis=0)
+            inside = s < lengths
+            x = np.where(inside, sums[s], 1.0)
+            behind[s, inside] = np.log(x[inside]) + scale[inside]
+            if s % 4 == 0:
+                sums[s : s + top + 1] /= x
+                scale += np.log(x)
+        return ahead, behind
