@@ -1,7 +1,8 @@
 """License scan: an exact containment join between license notices and text blocks.
 
-Notices are word sets; a text block is a window of BLOCK words, cut every STEP, so any
-run of up to STEP + 1 words lies whole in some block. A block matches a notice when
+Notices are word sets; a text block is a window of two steps, cut every step, so any run
+of up to a step's words lies whole in some block. A notice of up to STEP + 1 words has
+steps of STEP words, a longer one steps of its own length. A block matches a notice when
 it holds at least THRESHOLD of the notice's distinct words. Words of notices are
 ordered by their frequency in the whole corpus, rarest first; a matching block must
 hold one of a notice's first n - ceil(t n) + 1 words, so only those few rare words
@@ -28,8 +29,8 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Opening words of public license notices, at most STEP + 1 words each. Notices that
-#: differ by one word only would match each other at this threshold, so one of them is listed.
+#: Public license notices, whole and by their paragraphs, as either may stand alone. Notices
+#: that differ by one word only would match each other at this threshold, so one of them is listed.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "released under the mit license"),
@@ -44,9 +45,35 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to the public domain worldwide"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("gpl-2+", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-2+", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
 
+def step_words(notice: str) -> int:
+    """Words between the block starts of a notice; its blocks are twice as long."""
+    n = len(notice.split())
+    return STEP if n <= STEP + 1 else max(n, BLOCK)
+
+
 def _hits(docs: DataFrame, words: list[str]) -> DataFrame:
     """One slim row a document: its word count and the places of the words in ``words``."""
     text = ascii_lower(F.col("text"))
@@ -82,6 +109,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshol
     spark = docs.sparkSession
     notices = notices or NOTICES
     sets = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(notices)]
+    step = [step_words(text) for _, text in notices]
     vocabulary = sorted({w for *_, ws in sets for w in ws} | {w for p in PHRASES for w in p.split()})
     slim = stored(_hits(docs, vocabulary), "license-hits")
 
@@ -92,20 +120,20 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshol
     for i, label, ws in sets:
         ordered = sorted(ws, key=lambda w: (counts.get(w, 0), w))
         prefix = len(ws) - need[i] + 1
-        index += [(w, i, prefix) for w in ordered[:prefix]]
+        index += [(w, i, prefix, step[i]) for w in ordered[:prefix]]
         whole.append((i, label, len(ws), need[i], ordered))
-    index = spark.createDataFrame(index, "w string, notice int, prefix int")
+    index = spark.createDataFrame(index, "w string, notice int, prefix int, step int")
     whole = spark.createDataFrame(whole, "notice int, label string, size int, need int, ws array<string>")
 
-    rare = slim.select("key", "n_words", F.explode("hits").alias("x")).select("key", "n_words", "x.w", F.floor(F.col("x.at") / STEP).alias("b"))
-    met = rare.join(F.broadcast(index), "w")
+    rare = slim.select("key", "n_words", F.explode("hits").alias("x")).select("key", "n_words", "x.w", "x.at")
+    met = rare.join(F.broadcast(index), "w").withColumn("b", F.floor(F.col("at") / F.col("step")))
     met = met.withColumn("block", F.explode(F.filter(F.array("b", F.col("b") - 1), lambda b: b >= 0)))
-    met = met.groupBy("key", "n_words", "block", "notice", "prefix").agg(F.countDistinct("w").alias("c")).join(F.broadcast(whole), "notice")
-    length = F.least(F.lit(BLOCK), F.col("n_words") - F.col("block") * STEP) >= F.col("need")
+    met = met.groupBy("key", "n_words", "block", "notice", "prefix", "step").agg(F.countDistinct("w").alias("c")).join(F.broadcast(whole), "notice")
+    length = F.least(2 * F.col("step"), F.col("n_words") - F.col("block") * F.col("step")) >= F.col("need")
     positional = F.col("c") + F.col("size") - F.col("prefix") >= F.col("need")
-    candidates = met.filter(length & positional).groupBy("key").agg(F.collect_set(F.struct("block", "label", "size", "need", "ws")).alias("cs"))
+    candidates = met.filter(length & positional).groupBy("key").agg(F.collect_set(F.struct("block", "step", "label", "size", "need", "ws")).alias("cs"))
 
-    within = lambda c: F.filter("hits", lambda h: (h["at"] >= c["block"] * STEP) & (h["at"] < c["block"] * STEP + BLOCK))
+    within = lambda c: F.filter("hits", lambda h: (h["at"] >= c["block"] * c["step"]) & (h["at"] < (c["block"] + 2) * c["step"]))
     share = lambda c: F.size(F.array_intersect(F.transform(within(c), lambda h: h["w"]), c["ws"]))
     checked = F.transform(F.coalesce("cs", F.array().cast(candidates.schema["cs"].dataType)), lambda c: F.struct(c["label"].alias("label"), share(c).alias("n"), c["size"].alias("size"), c["need"].alias("need")))
     rows = slim.join(candidates, "key", "left").withColumn("ok", F.filter(checked, lambda c: c["n"] >= c["need"]))
