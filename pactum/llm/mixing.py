@@ -73,23 +73,34 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_tokens: int =
 
     ``size`` counts words ``[^\\x20\\x09-\\x0D]+``; null text has none and is never
     taken. Null sources are one source. ``taken`` is at most twice ``size``. Blocks
-    depend on ids, sizes and the seed alone, so reruns agree; rows that repeat an id
-    are laid out one after the other. An empty table gives an empty result.
+    depend on ids, sizes, texts (of rows without an id or with a repeated one) and the
+    seed alone, so reruns agree; rows that repeat an id are laid out one after the
+    other, and a row without an id stands where its text puts it. An empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
+    return _taken(docs, seed, block, shard_tokens).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, seed: int, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, carry: bool = False) -> DataFrame:
+    """``mix`` with ``place`` (the id, or a hash of the text of a row without one) and ``nth``
+    (of the rows at one place, from 0); with ``carry``, ``row`` holds the row's own columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    slim = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    sized = stored(slim.drop("row"), "mix-sizes")
     sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumns({
         "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"),
         "seats": F.floor(F.sum("target").over(Window.partitionBy()) / block).cast("long"),
     }), "mix-sources")
     sources = sainte_lague(sources, [], "target", "seats", ["src"]).withColumnRenamed("quota", "src_quota")
     small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    same = sized["source"].eqNullSafe(sources["source"])
-    placed = sized.join(small, same).select(
-        "doc_id", sized["source"], "size", "source_size", "target", "src", "src_quota",
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("at"),
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("place", F.coalesce("doc_id", "mark"))
+        return rows.join(small, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumns({
+            "shard": F.pmod(F.xxhash64(F.lit(seed), "place"), F.col("shards")), "at": F.xxhash64(F.lit(seed + 1), "place"),
+        })
+
+    placed = place(sized)
     shards = placed.groupBy("src", "src_quota", "shard").agg(F.sum("size").alias("tokens")).withColumn("wide", F.floor(F.col("shard") / GROUP_SHARDS))
     wide = shards.groupBy("src", "src_quota", "wide").agg(F.sum("tokens").alias("wide_tokens"))
     wide = sainte_lague(wide, ["src"], "wide_tokens", "src_quota", ["wide"]).withColumnRenamed("quota", "wide_quota").drop("src_quota")
@@ -106,8 +117,9 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_tokens: int =
         F.element_at(F.array(*map(F.lit, STRIDES)), (F.pmod(F.xxhash64(F.lit(seed + 2), "src", "shard"), F.lit(len(STRIDES))) + 1).cast("int")).cast("long").alias("stride"),
     )
     # Laid out within (src, shard), whose rows one task sorts; the same keys join the quotas.
-    lay = Window.partitionBy("src", "shard").orderBy("at", "doc_id", "size")
-    laid = placed.withColumn("start", F.sum("size").over(lay) - F.col("size")).join(quotas, ["src", "shard"])
+    lay = Window.partitionBy("src", "shard").orderBy("at", "place", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    repeats = Window.partitionBy("src", "shard", "at", "place").orderBy("size", "mark")
+    laid = (place(slim) if carry else placed).withColumns({"start": F.sum("size").over(lay) - F.col("size"), "nth": F.row_number().over(repeats) - 1}).join(quotas, ["src", "shard"])
     end = F.col("start") + F.col("size")
     # The full blocks in seeded order, then the short last one; the block after the chosen ones gives its head.
     rank = lambda k: F.when(k < F.col("full"), F.pmod(F.col("stride") * k + F.col("shift"), F.col("full"))).otherwise(k)
@@ -116,15 +128,17 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_tokens: int =
     first, last = F.floor(F.col("start") / block), F.floor((end - 1) / block)
     part = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda sum_, k: sum_ + inside(k))
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + part).otherwise(F.lit(0)).cast("long")
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", "target", "place", "nth", *(["row"] if carry else []), taken.alias("taken"))
 
 
 def repeat_by_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` as the mix takes them: a document appears once for each whole time it is
-    taken, and once more with the probability of the rest, drawn by a hash of its id."""
-    plan = mix(docs, seed).filter("doc_id is not null")
+    """``docs`` as the mix takes them: a row appears once for each whole time it is taken, and
+    once more with the probability of the rest, drawn by a hash of its id. Rows without
+    an id are drawn by their text, and rows that repeat an id or a text each for itself."""
+    plan = _taken(docs, seed, carry=True)
     times = F.col("taken") / F.greatest("size", F.lit(1))
-    draw = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = plan.groupBy("doc_id").agg(F.max(F.floor(times) + F.when(draw < times - F.floor(times), 1).otherwise(0)).cast("int").alias("_copies")).filter("_copies > 0")
-    columns = docs.columns
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    key = F.when(F.col("nth") == 0, F.xxhash64(F.lit(seed + 3), "place")).otherwise(F.xxhash64(F.lit(seed + 3), "place", "nth"))
+    draw = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    copies = (F.floor(times) + F.when(draw < times - F.floor(times), 1).otherwise(0)).cast("int")
+    taken = plan.select("row", copies.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
