@@ -8,12 +8,15 @@ of words of like length; tasks call this on the distinct words of what they hold
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 MARK = "▁"
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+@cache
 def vocabulary(path: str) -> list[tuple[int, str, float]]:
     """(id, piece, score) of the ordinary pieces of a SentencePiece model file."""
     import sentencepiece

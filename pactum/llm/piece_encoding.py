@@ -1,50 +1,47 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes chunks (a run of spaces with the run of other characters that
-follows; other white space alone); no piece of the vocabulary crosses their borders,
-which loading checks. For each distinct chunk of the corpus:
+A text is cut wherever no piece of the vocabulary can cross (``spans.Cutter``). For
+each distinct chunk of the corpus:
 
 * its substrings up to the longest piece are exploded and equi-joined to the piece
-  table (a fixed vocabulary, broadcast); what joins is an edge of the lattice, and a
-  character that is no piece gives an edge of its UTF-8 byte pieces;
-* edges are grouped by chunk and sorted by their end, and Viterbi is a fold over them
-  with Spark's ``aggregate``, as is the walk back along the best path. A chunk of over
-  LONG_CHUNK characters, whose fold would copy its growing path at each edge, takes the
-  same fold over the same edges in a Python loop, linear in its length.
+  table (a fixed vocabulary, broadcast, joined by hash and compared in full); what joins
+  is an edge of the lattice, and a character that is no piece gives an edge of its
+  UTF-8 byte pieces;
+* edges are grouped by chunk and sorted from the end of the chunk backwards, and
+  Viterbi is a fold over them with Spark's ``aggregate``: the best path from each place
+  to the end, with its pieces. A chunk of over LONG_CHUNK characters, whose fold would
+  copy its growing path at each edge, takes the same fold over the same edges in a
+  Python loop, linear in its length.
 
 Texts then look up their chunks: the commonest come by broadcast (at most DICTIONARY
-chunks of at most CHUNK_BYTES bytes), the rest by a shuffle join per text.
+chunks of together at most DICTIONARY_BYTES), the rest by a shuffle join per text.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import set_conf, stored
 from .lattice import MARK, vocabulary
+from .spans import Cutter, Dictionary, gather
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-DICTIONARY, CHUNK_BYTES = 1 << 19, 64
+DICTIONARY, DICTIONARY_BYTES, CHUNK_BYTES = 1 << 19, 1 << 24, 1 << 12
 #: Characters above which the fold over a chunk is a loop; the path is the same.
 LONG_CHUNK = 512
-#: Distinct chunks, and characters of texts, that a counting task takes before it passes its counts on.
-HOLD, HOLD_CHARS = 400_000, 1 << 25
-LATTICE_CHUNKS = 25_000
+#: Distinct chunks that a counting task holds.
+HOLD = 300_000
+#: Characters of chunks whose edges a task groups; it groups them in memory.
+LATTICE_CHARS, LATTICE_GROUPS = 250_000, 250_000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
-_CHUNK = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
-
-
-def chunks(text: str | None) -> list[str]:
-    """The chunks of a text, which joined give a space and the text; none for no text."""
-    return _CHUNK.findall(" " + text) if text else []
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -53,69 +50,86 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [(p.replace(MARK, " "), i, float(s)) for i, p, s in vocabulary(path)]
-    if bad := [p for p, *_ in rows if re.search(r"[^ ] |.[\t\n\x0b\x0c]|[\t\n\x0b\x0c].", p)]:
-        raise ValueError(f"pieces cross chunks: {bad[:5]}")
     first = model.piece_to_id("<0x00>")
     if any(model.piece_to_id(f"<0x{b:02X}>") != first + b for b in range(256)):
         raise ValueError("the vocabulary has no run of byte pieces")
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(p) for p, *_ in rows), first
+    piece, id_, score = zip(*rows, strict=True)
+    table = pa.table({"piece": pa.array(piece), "id": pa.array(id_, pa.int32()), "score": pa.array(score)})
+    return spark.createDataFrame(table), max(map(len, piece)), first
+
+
+def cutter(path: str = VOCABULARY) -> Cutter:
+    return Cutter([p.replace(MARK, " ") for _, p, _ in vocabulary(path)])
 
 
-def count_chunks(docs: DataFrame, text: str) -> DataFrame:
-    """(chunk, n): the distinct chunks of all texts with their uses."""
+def count_chunks(docs: DataFrame, text: str, path: str = VOCABULARY) -> DataFrame:
+    """(chunk, n): the distinct chunks of all texts with their uses. A task holds at most
+    HOLD chunks; what it passes on is summed again."""
+    shared = docs.sparkSession.sparkContext.broadcast(cutter(path))
 
     def run(batches):
-        counts: Counter = Counter()
-        held = 0
+        known, held, uses, new = Dictionary([]), [], np.empty(0, np.int64), Counter()
 
-        def out():
-            items = list(counts.items())
-            for at in range(0, len(items), 20_000):
-                some = items[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["chunk", "n"])
-            counts.clear()
+        def out(chunks, n):
+            for at in range(0, len(chunks), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[at : at + 20_000], pa.string()), pa.array(n[at : at + 20_000], pa.int64())], ["chunk", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py()
-                counts.update(chunks(text))
-                held += len(text or "")
-                if len(counts) > HOLD or held > HOLD_CHARS:
-                    yield from out()
-                    held = 0
-        yield from out()
+            for _, _, passes in shared.value.passes(batch.column(0)):
+                for some in passes:
+                    found = known.find(some)
+                    uses += np.bincount(found[found >= 0], minlength=len(uses))
+                    for chunk, n in zip(*some.counted(np.flatnonzero(found < 0)), strict=True):
+                        new[chunk] += int(n)
+                    if len(held) + len(new) > HOLD:
+                        yield from out(held, uses)
+                        held, uses = [], np.empty(0, np.int64)
+                    if 2 * len(new) > len(held):
+                        held, uses = held + list(new), np.append(uses, np.fromiter(new.values(), np.int64, len(new)))
+                        known, new = Dictionary(held), Counter()
+        yield from out(held + list(new), np.append(uses, np.fromiter(new.values(), np.int64, len(new))))
 
     return docs.select(text).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def _expand(ids, first: int) -> bytes:
-    """Packed int32 ids; a negative one stands for a character, written as its byte pieces."""
-    if any(i < 0 for i in ids):
-        ids = [x for i in ids for x in ([i] if i >= 0 else [first + b for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
-    return np.asarray(ids, np.int32).tobytes()
+def _expand(ids: pa.ListArray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, lengths) of lists of ids; a negative id stands for a character and
+    becomes its byte pieces."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    bad = np.flatnonzero(flat < 0)
+    if not len(bad):
+        return flat, lengths
+    own = [first + np.frombuffer(chr(-i - 1).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32) for i in flat[bad].tolist()]
+    width = np.ones(len(flat), np.int64)
+    width[bad] = [len(x) for x in own]
+    out = np.repeat(flat, width)
+    out[np.repeat(flat < 0, width)] = np.concatenate(own)
+    wide = np.concatenate([[0], np.cumsum(width)])
+    ends = np.cumsum(lengths)
+    return out, wide[ends] - wide[ends - lengths]
 
 
 def best_path(chunk: str, pieces: dict[str, tuple[int, float]], longest: int) -> tuple[float, list[int]]:
     """Score and ids of the best path through one chunk's lattice, as ``best_paths`` has them."""
-    score, back = [0.0], [(0, 0)]
-    for e in range(1, len(chunk) + 1):
+    score, step = [0.0] * (len(chunk) + 1), [(0, 0)] * len(chunk)
+    for s in range(len(chunk) - 1, -1, -1):
         best = None
-        for s in range(max(0, e - longest), e):
+        for e in range(min(len(chunk), s + longest), s, -1):
             found = pieces.get(chunk[s:e])
             if found is None:
-                if s < e - 1:
+                if e > s + 1:
                     continue
                 found = (-ord(chunk[s]) - 1, UNKNOWN_SCORE)
-            total = score[s] + found[1]
+            total = score[e] + found[1]
             if best is None or total > best:
-                best, last = total, (s, found[0])
-        score.append(best)
-        back.append(last)
-    ids, at = [], len(chunk)
-    while at:
-        at, i = back[at]
+                best, step[s] = total, (e, found[0])
+        score[s] = best
+    ids, at = [], 0
+    while at < len(chunk):
+        at, i = step[at]
         ids.append(i)
-    return score[-1], ids[::-1]
+    return score[0], ids
 
 
 def _long_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -133,131 +147,175 @@ def _long_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(chunk, n) -> (chunk, n, score, ids): the best-scoring path through each lattice. Of equal
-    scores the path whose last piece is longest wins, then the one before, and so on.
+    scores the path whose first piece is longest wins, then the one after, and so on.
     A negative id, -c - 1, stands for a character c that is no piece.
 
-    Chunks are dealt LATTICE_CHUNKS to a partition, so that a task groups its edges in
-    memory; the grouping needs no further shuffle.
+    Chunks are dealt by their characters, so that a task groups few edges; the grouping
+    needs no further shuffle.
     """
     pieces, longest, _ = piece_table(words.sparkSession, path)
     words = stored(words, "pieces-chunks")
     long = _long_paths(words.filter(F.length("chunk") > LONG_CHUNK), pieces, longest)
     words = words.filter(F.length("chunk") <= LONG_CHUNK)
-    words = words.repartition(max(1, -(-words.count() // LATTICE_CHUNKS)), "chunk")
-    starts = F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("s")
-    spans = words.select("chunk", "n", starts).select("chunk", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("s")))).alias("k"))
-    spans = spans.withColumn("piece", F.substring(F.col("chunk"), F.col("s") + 1, F.col("k")))
-    edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id is not null or k = 1")
-    edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"), F.coalesce("id", -F.ascii("piece") - 1).alias("id"))
+    size = F.length("chunk")
+    words = words.repartition(max(1, -(-(words.agg(F.sum(size)).first()[0] or 0) // LATTICE_CHARS)), "chunk")
+    starts = F.explode(F.sequence(F.lit(0), size - 1)).alias("s")
+    spans = words.select("chunk", "n", starts).select("chunk", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    spans = spans.withColumn("span", F.substring(F.col("chunk"), F.col("s") + 1, F.col("k"))).withColumn("h", F.xxhash64("span"))
+    table = F.broadcast(pieces.withColumn("h", F.xxhash64("piece")))
+    edges = spans.join(table, (spans["h"] == table["h"]) & (spans["span"] == table["piece"]), "left").filter("id is not null or k = 1")
+    # Places are counted from the end of the chunk: an edge leads from ``p`` to ``q`` < ``p``.
+    edge = F.struct((size - F.col("s")).alias("p"), (size - F.col("s") - F.col("k")).alias("q"), F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"), F.coalesce("id", -F.ascii("span") - 1).alias("id"))
     lattice = edges.groupBy("chunk", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
-    node = lambda score, s, id_: F.struct(score.alias("score"), s.alias("s"), id_.alias("id"))
-    origin = F.array(node(F.lit(0.0), F.lit(0), F.lit(0)))
+    node = lambda score, ids: F.struct(score.alias("score"), ids.alias("ids"))
+    origin = F.array(node(F.lit(0.0), F.array().cast("array<int>")))
 
-    def step(best, x):
-        new = node(F.get(best, x["s"])["score"] + x["score"], x["s"], x["id"])
-        last = F.size(best) - 1
-        worse = F.get(best, last)["score"] >= F.get(best, x["s"])["score"] + x["score"]
-        return F.when(x["e"] > last, F.concat(best, F.array(new))).when(worse, best).otherwise(F.concat(F.slice(best, 1, last), F.array(new)))
+    def step(best: Column, x: Column) -> Column:
+        rest, last = F.get(best, x["q"]), F.size(best) - 1
+        total = rest["score"] + x["score"]
+        new = F.array(node(total, F.concat(F.array(x["id"]), rest["ids"])))
+        return F.when(x["p"] > last, F.concat(best, new)).when(total > F.get(best, last)["score"], F.concat(F.slice(best, 1, last), new)).otherwise(best)
 
-    folded = lattice.select("chunk", "n", F.aggregate("edges", origin, step).alias("best"))
-    back = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    places = F.sequence(F.size("best") - 1, F.lit(1), F.lit(-1))
-    walk = lambda p, i: F.when(p["at"] == i, F.struct(F.get("best", i)["s"].alias("at"), F.concat(F.array(F.get("best", i)["id"]), p["ids"]).alias("ids"))).otherwise(p)
-    return folded.select("chunk", "n", F.get("best", F.size("best") - 1)["score"].alias("score"), F.aggregate(places, back, walk)["ids"].alias("ids")).unionByName(long)
+    folded = lattice.select("chunk", "n", F.aggregate("edges", origin, step, lambda best: F.element_at(best, -1)).alias("best"))
+    return folded.select("chunk", "n", "best.score", "best.ids").unionByName(long)
 
 
-def _common(lexicon: DataFrame, first: int) -> tuple[list, list, list]:
-    """The commonest chunks with scores and ids, by steps of frequency, up to DICTIONARY."""
+def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
+    """The commonest chunks, by steps of frequency as far as the bounds reach, with their
+    flat ids, where those start, how many they are, and scores."""
     short = lexicon.filter(F.octet_length("chunk") <= CHUNK_BYTES).withColumn("step", F.floor(F.log2("n") * 8))
-    held, least = 0, None
-    for r in sorted(short.groupBy("step").count().collect(), reverse=True):
-        held += r["count"]
-        if held > DICTIONARY:
+    held, size, least = 0, 0, None
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("chunk")).alias("size")).collect(), reverse=True):
+        held, size = held + r["n"], size + r["size"]
+        if held > DICTIONARY or size > DICTIONARY_BYTES:
             break
         least = r["step"]
-    if least is None:
-        return [], [], []
-    rows = short.filter(F.col("step") >= least).select("chunk", "score", "ids").toArrow()
-    return rows.column(0).to_pylist(), rows.column(1).to_pylist(), [_expand(x, first) for x in rows.column(2).to_pylist()]
+    rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids").toArrow().combine_chunks()
+    column = lambda k: pa.concat_arrays(rows.column(k).chunks) if rows.num_rows else pa.array([], rows.schema.field(k).type)
+    flat, lengths = _expand(column("ids"), first)
+    return Dictionary(column("chunk").to_pylist()), (flat, np.cumsum(lengths) - lengths, lengths, column("score").to_numpy(zero_copy_only=False))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """doc_id, text, ids array<int>, score (sum over the best paths).
-
-    Null and empty texts have no pieces and score 0. Each row gives a row, repeated
-    ids and repeated rows too. Other columns are dropped.
-    """
+def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
+    """``docs`` (any columns and ``text``, named apart from key, more, ids and score) with ids
+    and score instead of the text; ``then`` turns a batch of these into one of ``schema``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    lexicon = stored(best_paths(count_chunks(docs, "text"), path), "pieces-lexicon")
+    with set_conf(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", LATTICE_GROUPS):
+        lexicon = stored(best_paths(count_chunks(docs, "text", path), path), "pieces-lexicon")
     first = piece_table(spark, path)[2]
-    common, scores, ids = _common(lexicon, first)
-    shared = spark.sparkContext.broadcast((dict(zip(common, zip(scores, ids, strict=True), strict=True))))
+    shared = spark.sparkContext.broadcast((cutter(path), *_common(lexicon, first)))
+    # Documents that share a key share what they are given, which harms none.
+    keyed = docs.withColumn("key", F.xxhash64(*docs.columns))
 
     def missing(batches):
-        known = shared.value
+        cut, known, _ = shared.value
         for batch in batches:
-            keys, rest = [], []
-            for text, key in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if left := {c for c in chunks(text.as_py()) if c not in known}:
-                    keys += [key] * len(left)
-                    rest += left
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rest, pa.string())], ["key", "chunk"])
-
-    packed = F.struct("chunk", "score", "ids").alias("x")
-    rest = keyed.select("text", "key").mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key", "chunk").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
-    rest = rest.groupBy("key").agg(F.collect_list(packed).alias("more"))
-    joined = keyed.join(rest, "key", "left")
+            for low, _, passes in cut.passes(batch.column(0)):
+                for some in passes:
+                    rest = np.flatnonzero(known.find(some) < 0)
+                    rows = low + np.repeat(np.arange(len(some.counts)), some.counts)[rest]
+                    found = sorted(set(zip(rows.tolist(), some.chunks(rest), strict=True)))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([i for i, _ in found], pa.int64())), pa.array([c for _, c in found], pa.string())], ["key", "chunk"])
+
+    packed = F.struct("chunk", "score", "ids")
+    rest = keyed.select("text", "key").mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key").agg(F.collect_set(packed).alias("more"))
+    joined = keyed.join(rest, "key", "left").select(*docs.columns, "more")
+    width, at, kept = len(docs.columns), docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        known = shared.value
+        cut, known, (flat, starts, lengths, scores) = shared.value
         for batch in batches:
-            ids_out, score_out = [], []
-            for text, more in zip(batch.column(1), batch.column(2), strict=True):
-                own = {m["chunk"]: (m["score"], _expand(m["ids"], first)) for m in more.as_py() or ()}
-                found = [known.get(c) or own[c] for c in chunks(text.as_py())]
-                ids_out.append(np.frombuffer(b"".join([b for _, b in found]), np.int32))
-                score_out.append(sum([s for s, _ in found]))
-            flat = pa.array(np.concatenate([*ids_out, np.empty(0, np.int32)]))
-            offsets = pa.array(np.cumsum([0, *map(len, ids_out)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat), pa.array(score_out, pa.float64())], ["doc_id", "text", "ids", "score"])
+            more = batch.column(width)
+            for low, high, passes in cut.passes(batch.column(at)):
+                # What this slice was given follows the dictionary, by row and chunk.
+                own = more.slice(low, high - low)
+                given = own.flatten()
+                row = np.repeat(np.arange(high - low), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+                own_flat, own_lengths = _expand(given.field("ids"), first)
+                place = {k: len(starts) + i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
+                table = np.concatenate([flat, own_flat]) if len(own_flat) else flat
+                from_ = np.concatenate([starts, len(flat) + np.cumsum(own_lengths) - own_lengths])
+                size, worth = np.concatenate([lengths, own_lengths]), np.concatenate([scores, given.field("score").to_numpy(zero_copy_only=False)])
+                ids, n, score = [], np.zeros(high - low, np.int64), np.zeros(high - low)
+                for some in passes:
+                    found = known.find(some)
+                    rest = np.flatnonzero(found < 0)
+                    text = np.repeat(np.arange(high - low if len(some.counts) > 1 else 1), some.counts)
+                    found[rest] = [place[k] for k in zip(text[rest].tolist(), some.chunks(rest), strict=True)]
+                    ids.append(gather(table, from_[found], size[found]))
+                    n += np.bincount(text, size[found], high - low).astype(np.int64)
+                    score += np.bincount(text, worth[found], high - low)
+                slim = batch.slice(low, high - low).select(kept)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
+                out = pa.RecordBatch.from_arrays([*slim.columns, lists, pa.array(score)], [*kept, "ids", "score"])
+                yield then(out) if then else out
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
+    return joined.mapInArrow(run, schema or f"{fields}, ids array<int>, score double")
 
-    return joined.select("doc_id", "text", "more").mapInArrow(run, "doc_id long, text string, ids array<int>, score double")
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """doc_id, text, ids array<int>, score (sum over the best paths).
+
+    Null and empty texts have no pieces and score 0. Each row gives a row, repeated
+    ids and repeated rows too. Other columns are dropped.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(text_col).alias("own"))
+    return _encoded(slim, path).select("doc_id", F.col("own").alias("text"), "ids", "score")
+
+
+def _piece_bytes(path: str) -> list[bytes]:
+    """The bytes of each id; control pieces have none."""
+    import sentencepiece
+
+    first = sentencepiece.SentencePieceProcessor(model_file=path).piece_to_id("<0x00>")
+    texts = {i: p.replace(MARK, " ").encode() for i, p, _ in vocabulary(path)} | {first + b: bytes([b]) for b in range(256)}
+    return [texts.get(i, b"") for i in range(max(texts) + 1)]
+
+
+def _joined(lists: pa.ListArray, table: pa.Array) -> list[bytes | None]:
+    """The bytes of each list of ids, without the space in front; None for a null list."""
+    parts = table.take(lists.flatten())
+    bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+    data = memoryview(parts.buffers()[2] or b"")
+    lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = bounds[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    return [bytes(data[a + 1 : b]) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``decoded``: the text of its pieces; bytes that are no UTF-8 become
     U+FFFD, and ids of control pieces have no text. Null ids give null."""
-    _, _, first = piece_table(encoded.sparkSession, path)
-    texts = {i: p.replace(MARK, " ").encode() for i, p, _ in vocabulary(path)} | {first + b: bytes([b]) for b in range(256)}
-    shared = encoded.sparkSession.sparkContext.broadcast([texts.get(i, b"") for i in range(max(texts) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast(_piece_bytes(path))
     at = encoded.columns.index(ids)
 
     def run(batches):
         table = pa.array(shared.value, pa.binary())
         for batch in batches:
-            lists = batch.column(at)
-            parts = table.take(lists.flatten())
-            bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
-            data = memoryview(parts.buffers()[2] or b"")
-            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            ends = bounds[np.concatenate([[0], np.cumsum(lengths)])].tolist()
-            out = [bytes(data[a:b])[1:].decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+            out = [x if x is None else x.decode("utf-8", "replace") for x in _joined(batch.column(at), table)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, n_pieces, score, ids_sha256 (of the ids as text, comma-joined),
-    decoded_sha256, same (length and digest of the decoded text are those of the whole
-    text; null counts as empty)."""
+    """doc_id, n_chars, n_pieces, score, ids_sha256 (of the ids as little-endian 32-bit
+    numbers), decoded_sha256 (of the bytes that the ids stand for), same (these bytes are
+    those of the whole text, by length and digest; null counts as empty). A task decodes
+    what it has encoded from the ids alone."""
     text = F.coalesce("text", F.lit(""))
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
-    slim = encode(docs).select("doc_id", F.length(text).cast("long").alias("n_chars"), sha(text).alias("sha"), "ids", "score")
-    return decode(slim).select(
-        "doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "score", sha(F.array_join("ids", ",")).alias("ids_sha256"),
-        sha(F.col("decoded")).alias("decoded_sha256"), ((sha(F.col("decoded")) == F.col("sha")) & (F.length("decoded") == F.col("n_chars"))).alias("same"),
-    )
+    slim = docs.select("doc_id", "text", F.length(text).cast("long").alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    shared = docs.sparkSession.sparkContext.broadcast(_piece_bytes(VOCABULARY))
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        back = _joined(lists, pa.array(shared.value, pa.binary()))
+        n = pc.list_value_length(lists).cast(pa.int64())
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(n.to_numpy()).tolist()
+        ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+        digests = [hashlib.sha256(x).hexdigest() for x in back]
+        same = [(len(x), d) == old for x, d, old in zip(back, digests, zip(batch.column("n_bytes").to_pylist(), batch.column("sha").to_pylist(), strict=True), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), n, batch.column("score"), pa.array(ids, pa.string()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_chars", "n_pieces", "score", "ids_sha256", "decoded_sha256", "same"])
+
+    return _encoded(slim, VOCABULARY, check, "doc_id long, n_chars long, n_pieces long, score double, ids_sha256 string, decoded_sha256 string, same boolean")

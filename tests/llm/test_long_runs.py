@@ -30,7 +30,7 @@ def test_long_runs(spark):
 
 def test_loop_and_fold_agree(spark, monkeypatch):
     texts = ["the quick brown fox", "Straße  und\tGrüße", "internationalization 12345", "日本 😀 aaaaaaaa" * 3]
-    rows = sorted({c for t in texts for c in piece_encoding.chunks(t)})
+    rows = sorted({c for t in texts for c in piece_encoding.cutter().split(t)})
     df = spark.createDataFrame([(c, 1) for c in rows], "chunk string, n long")
     folded = {r["chunk"]: r for r in piece_encoding.best_paths(df).collect()}
     monkeypatch.setattr(piece_encoding, "LONG_CHUNK", 0)

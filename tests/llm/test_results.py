@@ -228,7 +228,7 @@ def test_op1_best_path(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in piece_encoding.encode(df).collect():
         total = 0.0
-        for chunk in piece_encoding.chunks(texts[r["doc_id"]]):
+        for chunk in piece_encoding.cutter().split(texts[r["doc_id"]]):
             best = [0.0] + [-math.inf] * len(chunk)
             for e in range(1, len(chunk) + 1):
                 for s in range(max(0, e - longest), e):
