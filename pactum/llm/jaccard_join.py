@@ -10,14 +10,19 @@ threshold. The plan:
    common n-grams come last, and emits its prefix: the n-grams of which any
    partner must share one. Each task emits a node once.
 3. Rows of one n-gram meet. Every row is paired with the smallest node of its
-   n-gram only (star candidates), after length and positional filters. Pairs are
-   made distinct, filtered by the sizes of suffix parts, which travel in a few
-   bytes, and only what is left fetches whole sets, once a pair.
+   n-gram only (star candidates), after length and positional filters, and of its
+   candidates a node tries the one it meets most often. A pair passes the suffix filter
+   and then fetches whole sets, once.
 4. Links found are contracted to components. N-grams whose rows still lie in
-   different components try further stars, with leaders drawn at random, until a
-   turn finds no link. Only what is then still apart is paired in full, across
-   components, without the pairs that were checked before. A group of near copies
-   thus costs a few pairs per member, and no link between components is lost.
+   different components try further stars, with leaders drawn at random, one
+   candidate a node and turn, until hardly a pair links. Only what is then still apart
+   is paired in full, across components, without the pairs that were checked before. A
+   group of near copies thus costs a few pairs per member, and no link between
+   components is lost.
+
+The suffix filter bounds how far two sets differ by their hash ranges: each node
+carries the parity of its n-grams in each of 256 ranges, and every range whose parities
+differ holds an n-gram of one set only.
 
 An n-gram far above the bucket mean is dealt out over salted subgroups, whose
 leaders then meet; no task gets a group that grows with the corpus.
@@ -48,8 +53,15 @@ STAR_TURNS, LEADERS = 4, 4
 #: Share of a turn's pairs that must link for another turn: with fewer, what is open is mostly
 #: texts that share n-grams but are not alike, which stars do not contract.
 WORTH = 0.1
-#: Parts of the hash range whose sizes each node carries for the suffix filter.
-PARTS = 128
+#: Hash ranges whose parities each node carries for the suffix filter, 64 to a number.
+RANGES = 256
+SIGNS = [f"g{i}" for i in range(RANGES // 64)]
+#: An n-gram's rows are dealt so that a task pairs at most so many with all the others.
+PAIRED_ROWS = 1_000
+#: Copies of a row that many rows of one node or root are dealt to.
+SALTS = 8
+#: Nodes with one 64-bit hash for different sets that can be told apart; about one is due at 6e9 sets.
+CLASHES = 10_000
 #: Bits of the filter that tells which documents a check needs; a full filter only
 #: lets more sets through to the exact join.
 FILTER_BITS = 1 << 24
@@ -85,38 +97,48 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int):
+def _sets(batches: Iterator[pa.RecordBatch], n: int, clashes: frozenset = frozenset()):
+    """(doc, set, node, check): a set's hash, half of 128 bits, and the other half, which
+    takes its place where the first half is known to stand for different sets."""
     memo = _Memo()
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingle_set(text.as_py(), n, memo)
-            yield doc, s, _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
+            both = xxhash.xxh3_128_intdigest(s.tobytes())
+            node, check = _signed(both & (1 << 64) - 1), _signed(both >> 64)
+            yield doc, s, (check if node in clashes else node), check
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, n, node, part sizes) of every document; kind 1: bucket counts of a task."""
+    """kind 0: (doc_id, n, node, check, parities) of every document; kind 1: bucket counts of a task."""
 
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         rows: list[tuple] = []
 
-        def out():
-            ids, ns, nodes, parts = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.binary())], names)
+        def out(kind, ids, ns, nodes, checks, signs, counted):
+            numbers = [pa.array(x, pa.int64()) for x in (ids, ns, nodes, checks, *signs)]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), *numbers, pa.array(counted, pa.binary())], ["kind", "doc_id", "n", "node", "check", *SIGNS, "counts"])
+
+        def documents():
+            ids, ns, nodes, checks, bits = zip(*rows, strict=True)
+            signs = np.ascontiguousarray(np.packbits(np.asarray(bits, bool), axis=1).view(np.int64).T)
+            rows.clear()
+            return out(0, ids, ns, nodes, checks, signs, [None] * len(ids))
 
-        names = ["kind", "doc_id", "n", "node", "counts"]
-        for doc, s, node in _sets(batches, n):
+        for doc, s, node, check in _sets(batches, n):
             np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            rows.append((doc, len(s), node, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype(np.uint32).tobytes()))
+            rows.append((doc, len(s), node, check, np.bincount((s >> np.uint64(32) & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1))
             if len(rows) >= 5_000:
-                yield out()
-                rows.clear()
-        yield out()
+                yield documents()
+        if rows:
+            yield documents()
         if counts.any():
             k = len(counts) // CHUNK
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array([None] * k, pa.int64()), pa.array(range(k), pa.int64()), pa.array([None] * k, pa.int64()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], names)
+            none = [None] * k
+            yield out(1, none, range(k), none, none, [none] * len(SIGNS), [counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, node long, counts binary")
+    return docs.mapInArrow(run, f"kind int, doc_id long, n long, node long, check long, {', '.join(f'{g} long' for g in SIGNS)}, counts binary")
 
 
 def _bucket_counts(survey: DataFrame) -> np.ndarray:
@@ -132,7 +154,7 @@ def _bucket_counts(survey: DataFrame) -> np.ndarray:
     return counts
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray, clashes: frozenset) -> DataFrame:
     mean = counts.mean()
     excess = counts - mean - 6 * np.sqrt(mean)
     parts = np.maximum(1, np.ceil(excess / GROUP_ROWS)).astype(np.int64)
@@ -150,7 +172,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(p > 1, nodes % p, -1).astype(np.int32)), pa.array(nodes), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "salt", "node", "n", "pos"])
 
         rows = 0
-        for doc, s, node in _sets(batches, n):
+        for doc, s, node, _ in _sets(batches, n, clashes):
             if not len(s) or doc is None or node in seen:
                 continue
             if len(seen) >= MEMO:
@@ -182,20 +204,19 @@ def _may_link(a: str, b: str, percent: int):
     return length & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
 
 
-def _suffix_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose hash-range parts, taken one by one, could still overlap enough."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("parts").alias(f"p{x}"))
+def _suffix(a: str, b: str, percent: int):
+    """Suffix filter: ranges with different parities are n-grams that only one set has."""
+    both = F.col(f"{a}n").cast("long") + F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))) for g in SIGNS[1:]), F.bit_count(F.col(f"{a}{SIGNS[0]}").bitwiseXOR(F.col(f"{b}{SIGNS[0]}"))))
+    return (100 + percent) * (both - apart) >= 2 * percent * both
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, PARTS).astype(np.int64) for c in batch.columns[2:])
-            ok = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+def _suffix_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", *SIGNS)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_suffix("a", "b", percent)).select("a", "b")
 
 
-def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, clashes: frozenset) -> DataFrame:
     """(node, set) of one document for each node in ``pairs``."""
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -215,16 +236,13 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) ->
     shared = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(bits)] or [np.zeros(FILTER_BITS // 8, np.uint8)]))
 
     def run(batches):
-        bits, memo, seen = shared.value, _Memo(), set()
+        bits, seen = shared.value, set()
         for batch in batches:
             ids = batch.column(0)
             at = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _P >> np.uint64(64 - 24)
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            some = batch.filter(pa.array(hit))
             out = ([], [])
-            for text in some.column(1):
-                s = shingle_set(text.as_py(), n, memo)
-                node = _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
+            for _, s, node, _ in _sets([batch.filter(pa.array(hit))], n, clashes):
                 if node not in seen:
                     seen.add(node) if len(seen) < MEMO else seen.clear()
                     out[0].append(node)
@@ -235,10 +253,10 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) ->
     return docs.mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the suffix filter and then the whole sets."""
-    left = stored(_suffix_filtered(pairs, nodes, percent), "jaccard-left")
-    sets = stored(_needed_sets(docs, nodes, left, n), "jaccard-sets")
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, clashes: frozenset) -> DataFrame:
+    """The pairs (a, b) that link by their whole sets."""
+    left = stored(pairs, "jaccard-left")
+    sets = stored(_needed_sets(docs, nodes, left, n, clashes), "jaccard-sets")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -257,9 +275,15 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _open(named: DataFrame, labels: DataFrame) -> DataFrame:
+def _likeliest(rows: DataFrame) -> DataFrame:
+    """Of the candidates (a, b) of each node ``a``, the one it meets at most n-grams."""
+    met = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their components, of n-grams that lie in several components."""
-    named = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
     return named.join(mixed, "h", "left_semi")
 
@@ -268,17 +292,40 @@ def _stars(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Candidates (a, b) between each row and LEADERS nodes of its n-gram, drawn anew each
     turn, where components differ. The draw is a group-wise minimum, so it is made
     before the shuffle, and each n-gram brings LEADERS small rows to the join."""
-    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("draw"), F.col("node").alias("lnode"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("root").alias("lroot"))).alias(f"x{k}")
+    fields = ["node", "n", "pos", "root", *SIGNS]
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("draw"), *[F.col(c).alias(f"l{c}") for c in fields])).alias(f"x{k}")
     leads = open_rows.groupBy("h").agg(*[lead(k) for k in range(LEADERS)])
-    leads = leads.select("h", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"x{k}.{c}").alias(c) for c in ("lnode", "ln", "lpos", "lroot")]) for k in range(LEADERS)]))).alias("x")).select("h", "x.*")
-    near = open_rows.join(leads, "h").filter((F.col("root") != F.col("lroot")) & _may_link("", "l", percent))
+    each = F.array(*[F.struct(*[F.col(f"x{k}.l{c}") for c in fields]) for k in range(LEADERS)])
+    leads = leads.select("h", F.explode(F.array_distinct(each)).alias("x")).select("h", "x.*")
+    near = open_rows.join(leads, "h").filter((F.col("root") != F.col("lroot")) & _may_link("", "l", percent) & _suffix("", "l", percent))
     return near.select(F.col("node").alias("a"), F.col("lnode").alias("b"))
 
 
+def _across(open_rows: DataFrame, percent: int) -> DataFrame:
+    """All candidates between components that pass the filters, inside the join. An n-gram of
+    many rows is dealt over salts: one side in parts, the other to each of them."""
+    salts = open_rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("salts"))
+    rows = open_rows.join(salts, "h")
+    left, right = (rows.select("h", "salts", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)]) for x in ("l", "r"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("lnode"), F.col("salts")).cast("int")).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
+    indexed = F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent))
+    first = F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))
+    met = left.filter(indexed).join(right, ["h", "salt"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent))
+    return met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
+def _salted(many: DataFrame, few: DataFrame, key: str, deal: list[str]) -> DataFrame:
+    """``many`` left join ``few`` on ``key``, where many rows may share one key."""
+    many = many.withColumn("salt", F.pmod(F.xxhash64(*deal), F.lit(SALTS)))
+    return many.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], "left").drop("salt")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
@@ -286,48 +333,57 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     fewer words the whole sequence is the one n-gram; without words or with null text
     the set is empty and links nothing. Rows that repeat an id count as one node if
     their sets are equal; each gives a row. Rows with a null id link nothing and get
-    a null component. Sets are compared by 64-bit hashes. Extra columns are ignored.
+    a null component. N-grams are compared by 64-bit hashes and whole sets known by 128
+    bits. Extra columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     survey = stored(_survey(docs, n), "jaccard-survey")
-    meta = survey.filter("kind = 0").select("doc_id", "n", "node")
-    nodes = survey.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("counts").alias("parts"))
+    meta = survey.filter("kind = 0").drop("kind", "counts")
+    told = meta.filter("n > 0 and doc_id is not null")
+    clashes = frozenset(r["node"] for r in told.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x != y").select("node").limit(CLASHES + 1).collect())
+    if len(clashes) > CLASHES:
+        raise RuntimeError(f"over {CLASHES} sets share their hash with another set")
+    if clashes:
+        meta, told = (x.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("check")).otherwise(F.col("node"))) for x in (meta, told))
+    nodes = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(g).alias(g) for g in SIGNS])
+
     by_gram = Window.partitionBy("h", "salt")
-    grams = _prefixes(docs, n, percent, _bucket_counts(survey)).withColumns({"lead": F.min(F.struct("node", "n", "pos")).over(by_gram), "most": F.max("node").over(by_gram)})
+    grams = _prefixes(docs, n, percent, _bucket_counts(survey), clashes).withColumns({"lead": F.min(F.struct("node", "n", "pos")).over(by_gram), "most": F.max("node").over(by_gram)})
     grams = grams.filter((F.col("lead.node") != F.col("most")) | (F.col("salt") >= 0))
     grams = stored(grams.select("h", "salt", "node", "n", "pos", F.col("lead.node").alias("lnode"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")).distinct(), "jaccard-grams")
 
     leads = grams.filter("salt >= 0").select("h", F.struct(F.col("lnode").alias("node"), F.col("ln").alias("n"), F.col("lpos").alias("pos")).alias("x")).distinct()
     tops = leads.join(leads.groupBy("h").agg(F.min("x").alias("l")), "h").select("x.*", F.col("l.node").alias("lnode"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
     stars = grams.select("node", "n", "pos", "lnode", "ln", "lpos").unionByName(tops).filter("node != lnode").filter(_may_link("", "l", percent))
-    first = stored(_pairs(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))), "jaccard-pairs")
-    checked = stored(_checked(docs, nodes, first, n, percent), "jaccard-links")
-    labels = components(checked)
+    tried = _pairs(_likeliest(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))))
+    tried = stored(_suffix_filtered(tried, nodes, percent), "jaccard-pairs")
+    labels = components(stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links"))
 
-    open_rows, tried = stored(_open(grams.select("h", "node", "n", "pos").distinct(), labels), "jaccard-open"), first
+    open_rows = _open(grams.select("h", "node", "n", "pos").distinct(), labels).join(nodes.select("node", *SIGNS), "node")
+    open_rows = stored(open_rows, "jaccard-open")
     for turn in range(STAR_TURNS):
-        more_pairs = stored(_pairs(_stars(open_rows, turn, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = stored(_checked(docs, nodes, more_pairs, n, percent), "jaccard-links")
-        found, tried = more.count(), tried.union(more_pairs)
+        fresh = _stars(open_rows, turn, percent).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
+        pairs = stored(_pairs(_likeliest(fresh)), "jaccard-pairs")
+        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
+        found, tried = links.count(), tried.union(pairs)
         if found:
             # Components only grow, so what is open now was open before.
-            labels = _merged(labels, more)
+            labels = _merged(labels, links)
             open_rows = stored(_open(open_rows.drop("root"), labels), "jaccard-open")
-        if found < WORTH * more_pairs.count():
+        if found < WORTH * pairs.count() or not found:
             break
 
-    left, right = (open_rows.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root")]) for x in ("l", "r"))
-    # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
-    indexed = F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent))
-    rest = left.join(right, "h").filter((F.col("lroot") != F.col("rroot")) & (F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))) & indexed & _may_link("l", "r", percent))
-    last = stored(_pairs(rest.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    last = stored(_pairs(_across(open_rows, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not last.isEmpty():
-        labels = _merged(labels, stored(_checked(docs, nodes, last, n, percent), "jaccard-links"))
-
-    rooted = meta.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.filter("n > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id"))
-    return rooted.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        labels = _merged(labels, stored(_checked(docs, nodes, last, n, percent, clashes), "jaccard-links"))
+
+    # Only nodes with links or with copies have another id than their own to take.
+    linked = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")
+    linked = _salted(linked, linked.groupBy("root").agg(F.min("doc_id").alias("low")), "root", ["node"]).select("node", "low")
+    copied = nodes.filter("copies > 1").join(linked, "node", "left_anti").select("node", F.col("doc_id").alias("low"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).otherwise(F.col("doc_id"))
+    return _salted(meta, linked.unionByName(copied), "node", ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -25,10 +25,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import set_conf, stored
+from .common import remove, set_conf, shared_path, stored
 from .lattice import MARK, vocabulary
 from .spans import Cutter, Dictionary, gather
 
@@ -39,7 +40,7 @@ LONG_CHUNK = 512
 #: Distinct chunks that a counting task holds.
 HOLD = 300_000
 #: Characters of chunks whose edges a task groups; it groups them in memory.
-LATTICE_CHARS, LATTICE_GROUPS = 250_000, 250_000
+LATTICE_CHARS, LATTICE_GROUPS = 120_000, 120_000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 
@@ -154,7 +155,6 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     needs no further shuffle.
     """
     pieces, longest, _ = piece_table(words.sparkSession, path)
-    words = stored(words, "pieces-chunks")
     long = _long_paths(words.filter(F.length("chunk") > LONG_CHUNK), pieces, longest)
     words = words.filter(F.length("chunk") <= LONG_CHUNK)
     size = F.length("chunk")
@@ -199,10 +199,13 @@ def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
 
 def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
     """``docs`` (any columns and ``text``, named apart from key, more, ids and score) with ids
-    and score instead of the text; ``then`` turns a batch of these into one of ``schema``."""
+    and score instead of the text; ``then`` turns a batch of these and the texts into one of ``schema``."""
     spark = docs.sparkSession
+    counted, known = shared_path(spark, "pieces-chunks"), shared_path(spark, "pieces-lexicon")
+    words = stored(count_chunks(docs, "text", path), "", counted)
     with set_conf(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", LATTICE_GROUPS):
-        lexicon = stored(best_paths(count_chunks(docs, "text", path), path), "pieces-lexicon")
+        lexicon = stored(best_paths(words, path), "", known)
+    remove(counted)
     first = piece_table(spark, path)[2]
     shared = spark.sparkContext.broadcast((cutter(path), *_common(lexicon, first)))
     # Documents that share a key share what they are given, which harms none.
@@ -218,16 +221,30 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
                     found = sorted(set(zip(rows.tolist(), some.chunks(rest), strict=True)))
                     yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([i for i, _ in found], pa.int64())), pa.array([c for _, c in found], pa.string())], ["key", "chunk"])
 
-    packed = F.struct("chunk", "score", "ids")
-    rest = keyed.select("text", "key").mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key").agg(F.collect_set(packed).alias("more"))
-    joined = keyed.join(rest, "key", "left").select(*docs.columns, "more")
-    width, at, kept = len(docs.columns), docs.columns.index("text"), [c for c in docs.columns if c != "text"]
+    given = F.struct("chunk", "score", "ids")
+    rest = keyed.select("text", "key").mapInArrow(missing, "key long, chunk string").join(lexicon, "chunk").groupBy("key").agg(F.collect_set(given).alias("more"))
+    rest = stored(rest, "pieces-more")
+    remove(known)
+    at, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor()
+        for batch in batches:
+            packed = [None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
+
+    # Texts travel compressed: they are most of what this join moves.
+    types = ", ".join(f"`{n}` {'binary' if n == 'text' else t}" for n, t in keyed.dtypes)
+    joined = keyed.mapInArrow(pack, types).join(rest, "key", "left").select(*docs.columns, "more")
+    width = len(docs.columns)
 
     def run(batches):
         cut, known, (flat, starts, lengths, scores) = shared.value
         for batch in batches:
             more = batch.column(width)
-            for low, high, passes in cut.passes(batch.column(at)):
+            unpack = zstandard.ZstdDecompressor()
+            texts = pa.array([None if t is None else unpack.decompress(t) for t in batch.column(at).to_pylist()], pa.binary()).cast(pa.string())
+            for low, high, passes in cut.passes(texts):
                 # What this slice was given follows the dictionary, by row and chunk.
                 own = more.slice(low, high - low)
                 given = own.flatten()
@@ -249,7 +266,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
                 slim = batch.slice(low, high - low).select(kept)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
                 out = pa.RecordBatch.from_arrays([*slim.columns, lists, pa.array(score)], [*kept, "ids", "score"])
-                yield then(out) if then else out
+                yield then(out, texts.slice(low, high - low)) if then else out
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
     return joined.mapInArrow(run, schema or f"{fields}, ids array<int>, score double")
@@ -304,18 +321,19 @@ def round_trip(docs: DataFrame) -> DataFrame:
     numbers), decoded_sha256 (of the bytes that the ids stand for), same (these bytes are
     those of the whole text, by length and digest; null counts as empty). A task decodes
     what it has encoded from the ids alone."""
-    text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", "text", F.length(text).cast("long").alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     shared = docs.sparkSession.sparkContext.broadcast(_piece_bytes(VOCABULARY))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def check(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         lists = batch.column("ids")
         back = _joined(lists, pa.array(shared.value, pa.binary()))
+        whole = texts.cast(pa.binary()).fill_null(b"").to_pylist()
         n = pc.list_value_length(lists).cast(pa.int64())
         flat, ends = lists.flatten().to_numpy(), np.cumsum(n.to_numpy()).tolist()
-        ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
-        digests = [hashlib.sha256(x).hexdigest() for x in back]
-        same = [(len(x), d) == old for x, d, old in zip(back, digests, zip(batch.column("n_bytes").to_pylist(), batch.column("sha").to_pylist(), strict=True), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), n, batch.column("score"), pa.array(ids, pa.string()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_chars", "n_pieces", "score", "ids_sha256", "decoded_sha256", "same"])
+        out = [
+            batch.column("doc_id"), pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64()), n, batch.column("score"), pa.array([sha(flat[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)], pa.string()),
+            pa.array(map(sha, back), pa.string()), pa.array([len(x) == len(t) and sha(x) == sha(t) for x, t in zip(back, whole, strict=True)], pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "n_chars", "n_pieces", "score", "ids_sha256", "decoded_sha256", "same"])
 
-    return _encoded(slim, VOCABULARY, check, "doc_id long, n_chars long, n_pieces long, score double, ids_sha256 string, decoded_sha256 string, same boolean")
+    return _encoded(docs.select("doc_id", "text"), VOCABULARY, check, "doc_id long, n_chars long, n_pieces long, score double, ids_sha256 string, decoded_sha256 string, same boolean")
