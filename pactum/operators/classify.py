@@ -1,18 +1,20 @@
 """Clause types of a clause: keyword scores, pattern override, top candidates.
 
-The catalogue becomes literal patterns in one projection, so each is compiled once a
-task and matching stays in the JVM; what is exploded is only the entries that hit.
+Starts of words are equi-joined to the catalogue's keywords, and only the patterns of
+those that begin so are tried. Red-line patterns, which may begin anywhere, are literals
+of one projection, each compiled once a task.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tr_lower
-from ..sources.catalog import PLACEHOLDER, ClauseType, keyword_pattern
+from ..sources.catalog import PLACEHOLDER, TR, ClauseType, keyword_pattern, stem
+from ..storage import stored
 
 #: Weights, thresholds and the damping of a document's own defined terms.
 HEADING, BODY, PER_SPACE, MIN_SCORE, OVERRIDE, TOP = 3.0, 1.0, 0.5, 1.5, 2.5, 4
@@ -50,17 +52,30 @@ def matches(text: Column, raw: str, buyers: Column | None = None) -> Column:
     return text.rlike(p) if isinstance(p, str) else F.regexp_like(text, p)
 
 
+def _starts(s: Column) -> Column:
+    """The first one, two and three characters of what begins after no letter or digit of
+    folded text, dotted and dotless i as one: a keyword that matches begins so."""
+    found = F.regexp_extract_all(F.translate(s, "ıſ", "is"), F.lit(rf"(?<![{TR}0-9])(?=(\S{{1,3}}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substring(x, F.lit(1), k)))))
+
+
+def keyword_frame(spark: SparkSession, types: list[ClauseType]) -> DataFrame:
+    """One row a keyword of a type, with its pattern and the start that it needs: of its first
+    word what no suffix changes, at most three characters. Small by nature."""
+    rows = [(t.code, t.catalog_order, i, k, keyword_pattern(k), stem(k.split()[0])[:-1][:3].translate(str.maketrans("ıſ", "is"))) for t in types for i, k in enumerate(t.keywords) if k.split()]
+    return spark.createDataFrame(rows, "code string, catalog_order int, kw_pos int, keyword string, pattern string, start string")
+
+
 def keyword_hits(clauses: DataFrame, types: list[ClauseType], key: str = "contract_id") -> DataFrame:
     """(key, order_index, code, catalog_order, kw_pos, keyword, in_heading, n): catalogue entries
-    that hit. A keyword listed twice, or by two types, hits as often."""
-    head, body = fold(F.col("heading")), fold(F.col("text"))
-    entries = [
-        F.struct(F.lit(t.code).alias("code"), F.lit(t.catalog_order).alias("catalog_order"), F.lit(i).alias("kw_pos"), F.lit(k).alias("keyword"), F.col("h").rlike(keyword_pattern(k)).alias("in_heading"), F.regexp_count("b", F.lit(keyword_pattern(k))).alias("n"))
-        for t in types for i, k in enumerate(t.keywords)
-    ]
-    base = clauses.select(key, "order_index", head.alias("h"), body.alias("b"))
-    hit = F.filter(F.array(*entries), lambda x: x["in_heading"] | (x["n"] > 0))
-    return base.select(key, "order_index", F.explode(hit).alias("x")).select(key, "order_index", "x.*")
+    that hit. A keyword listed twice, or by two types, hits as often. Starts of words meet
+    the keywords that begin so, and only these patterns are tried; one of a single
+    letter has no start and is tried everywhere."""
+    base = clauses.select(key, "order_index", fold(F.col("heading")).alias("h"), fold(F.col("text")).alias("b"))
+    starts = F.concat(_starts(F.concat("h", F.lit(" "), "b")), F.array(F.lit("")))
+    tried = base.withColumn("start", F.explode(starts)).join(F.broadcast(keyword_frame(clauses.sparkSession, types)), "start")
+    hit = tried.withColumns({"in_heading": F.regexp_like("h", F.col("pattern")), "n": F.regexp_count("b", F.col("pattern"))})
+    return hit.filter("in_heading or n > 0").select(key, "order_index", "code", "catalog_order", "kw_pos", "keyword", "in_heading", "n")
 
 
 def common_terms(hits: DataFrame, clauses: DataFrame, key: str = "contract_id") -> DataFrame:
@@ -92,7 +107,7 @@ def _any(text: Column, patterns: list[str], buyers: Column | None) -> Column | N
 def score(clauses: DataFrame, types: list[ClauseType], key: str = "contract_id", buyers: str | None = None) -> DataFrame:
     """(key, order_index, code, score, rank, confidence): at most four types a clause, those at
     35% of the best or more. Equal scores keep catalogue order."""
-    hits = keyword_hits(clauses, types, key)
+    hits = stored(keyword_hits(clauses, types, key), "keyword-hits")
     damp = common_terms(hits, clauses, key).withColumn("damp", F.lit(COMMON_WEIGHT))
     weight = (1.0 + PER_SPACE * (F.length("keyword") - F.length(F.replace("keyword", F.lit(" "))))) * F.coalesce("damp", F.lit(1.0))
     points = weight * (F.when(F.col("in_heading"), HEADING).otherwise(0.0) + BODY * F.least("n", F.lit(3)))

@@ -38,9 +38,22 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Matching-blocks ratio of the two key sequences; two empty ones are alike."""
-    return _ratio(match_key(a), match_key(b))
+def similarity(a: Column, b: Column, where: Column | None = None) -> Column:
+    """Matching-blocks ratio of the two key sequences; two empty ones are alike. Rows that
+    ``where`` leaves out compare nothing and get 1."""
+    x, y = match_key(a), match_key(b)
+    if where is not None:
+        none = F.array().cast("array<string>")
+        x, y = F.when(where, x).otherwise(none), F.when(where, y).otherwise(none)
+    return _ratio(x, y)
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the ratio of two key sequences can be ``least``: matched keys are at most the
+    shorter sequence, and none that the other sequence lacks."""
+    both = F.size(a) + F.size(b)
+    shared = F.least(F.size(a) - F.size(F.array_except(a, b)), F.size(b) - F.size(F.array_except(b, a)))
+    return (2 * F.least(F.size(a), F.size(b)) >= least * both) & (2 * shared >= least * both)
 
 
 @F.pandas_udf(WORD_DIFF)
@@ -104,7 +117,10 @@ def align(old: DataFrame, new: DataFrame, key: str = "comparison_id", verdicts:
     ou, nu = (d.withColumn("once", once(d, c)) for d, c in ((o, "old_number"), (n, "new_number")))
     by_number = ou.filter("once").join(nu.filter("once").drop("once"), (ou[key] == nu[key]) & (F.trim("old_number") == F.trim("new_number"))).select(ou[key].alias(key), "i", "j", similarity(F.col("old_text"), F.col("new_text")).alias("s")).filter(F.col("s") >= NUMBER).select(key, "i", "j")
     free_o, free_n = o.join(by_number, [key, "i"], "left_anti"), n.join(by_number, [key, "j"], "left_anti")
-    pairs = free_o.select(key, "i", "old_text").join(free_n.select(key, "j", "new_text"), key).select(key, "i", "j", similarity(F.col("old_text"), F.col("new_text")).alias("s")).filter(F.col("s") >= GRAY)
+    keyed = lambda side, at, c: side.select(key, at, match_key(F.col(c)).alias(f"k{at}"))
+    # Bounds on the ratio are checked in the join, so few pairs are compared in full.
+    pairs = keyed(free_o, "i", "old_text").join(keyed(free_n, "j", "new_text"), key).filter(may_reach(F.col("ki"), F.col("kj"), GRAY))
+    pairs = pairs.select(key, "i", "j", _ratio("ki", "kj").alias("s")).filter(F.col("s") >= GRAY)
     schema = f"{key} {dict(old.dtypes)[key]}, i int, j int, adjudicated boolean"
     close = pairs.filter(F.col("s") >= SAME).withColumn("adjudicated", F.lit(False)).groupBy(key).applyInPandas(_greedy(key), schema)
     matched = by_number.withColumn("adjudicated", F.lit(False)).unionByName(close)
@@ -119,10 +135,11 @@ def align(old: DataFrame, new: DataFrame, key: str = "comparison_id", verdicts:
     both, gone = F.col("i").isNotNull() & F.col("new_text").isNotNull() & F.col("old_text").isNotNull(), F.col("new_text").isNull()
     full = full.withColumn("place", F.when(gone, F.coalesce(before, F.lit(-1)) + 0.5).otherwise(F.col("j").cast("double")))
     empty = F.coalesce("old_text", F.lit("")), F.coalesce("new_text", F.lit(""))
-    full = full.withColumns({"diff": word_diff(*empty), "similarity": F.when(both, similarity(*empty)).otherwise(0.0)})
-    moved = similarity(_body(F.col("old_number"), empty[0], F.coalesce("old_is_gap", F.lit(False))), _body(F.col("new_number"), empty[1], F.coalesce("new_is_gap", F.lit(False))))
+    full = full.withColumns({"diff": word_diff(*empty), "similarity": F.when(both, similarity(*empty, where=both)).otherwise(0.0)})
+    renumbered = both & (F.trim("old_number") != F.trim("new_number"))
+    moved = similarity(where=renumbered, a=_body(F.col("old_number"), empty[0], F.coalesce("old_is_gap", F.lit(False))), b=_body(F.col("new_number"), empty[1], F.coalesce("new_is_gap", F.lit(False))))
     full = full.withColumns({"moved": moved, "significant": significant(F.col("diff"))})
-    kind = F.when(gone, "SILINDI").when(~both, "EKLENDI").when(~F.col("significant"), "AYNI").when((F.trim("old_number") != F.trim("new_number")) & (F.col("moved") >= MOVED), "TASINDI").otherwise("DEGISTI")
+    kind = F.when(gone, "SILINDI").when(~both, "EKLENDI").when(~F.col("significant"), "AYNI").when(renumbered & (F.col("moved") >= MOVED), "TASINDI").otherwise("DEGISTI")
     order = F.row_number().over(Window.partitionBy(key).orderBy("place", F.col("i").asc_nulls_last())) - 1
     return full.withColumn("change_type", kind).select(
         key, order.alias("order_index"), "change_type", "i", F.when(~gone, F.col("j")).alias("j"), "old_number", "new_number", "old_heading", "new_heading", "old_text", "new_text",

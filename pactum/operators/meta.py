@@ -43,11 +43,14 @@ def buyer_names(terms: Column) -> Column:
     return F.array_sort(names, order)
 
 
-def parties(text: Column) -> Column:
-    """Company names near the start, at most six, first seen first."""
+def parties(text: Column, most: int | None = 6) -> Column:
+    """Company names near the start, first seen first, at most ``most`` (None: all), without the
+    words that lead up to them."""
     found = F.regexp_extract_all(F.substring(text, 1, HEAD), F.lit(PARTY), F.lit(1))
-    clean = F.transform(found, lambda x: F.trim(F.lit(" .,-"), F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), LEAD, "")))
-    return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) > 3)), 1, 6)
+    bare = lambda x: F.trim(x, F.lit(" .,-"))
+    clean = F.transform(found, lambda x: bare(F.regexp_replace(bare(F.regexp_replace(x, r"\s+", " ")), LEAD, "")))
+    names = F.array_distinct(F.filter(clean, lambda x: F.length(x) > 3))
+    return F.slice(names, 1, most) if most else names
 
 
 def counterparty(party_names: Column, terms: Column) -> Column:
@@ -92,8 +95,8 @@ def stamp_duty(text: Column, terms: Column) -> Column:
 def extract_meta(docs: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
     """One row a document: parties, counterparty, value_text, term_text, stamp_duty, auto_renew, terms."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, body.alias("t"), defined_terms(body).alias("terms"), parties(body).alias("parties"))
+    rows = docs.select(key, body.alias("t"), defined_terms(body).alias("terms"), parties(body, None).alias("parties"))
     return rows.select(
-        key, "parties", counterparty(F.col("parties"), F.col("terms")).alias("counterparty"), amount(F.col("t")).alias("value_text"), term(F.col("t")).alias("term_text"),
+        key, F.slice("parties", 1, 6).alias("parties"), counterparty(F.col("parties"), F.col("terms")).alias("counterparty"), amount(F.col("t")).alias("value_text"), term(F.col("t")).alias("term_text"),
         stamp_duty(F.col("t"), F.col("terms")).alias("stamp_duty"), fold(F.col("t")).rlike(RENEWS).alias("auto_renew"), "terms",
     )

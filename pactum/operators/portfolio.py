@@ -52,7 +52,41 @@ def usage_totals(calls: DataFrame) -> DataFrame:
 
 def usage_by_agent(calls: DataFrame) -> DataFrame:
     """One row an agent, dearest first; latency here averages all calls."""
-    return calls.groupBy("agent").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("cost"), F.round(F.avg("latency_ms"), 3).alias("avg_latency_all"), F.min_by("model", "at").alias("model"))
+    return calls.groupBy("agent").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("cost"), F.round(F.avg("latency_ms"), 3).alias("avg_latency_all"), F.min_by("model", "at").alias("model")).orderBy(F.desc("cost"), "agent")
+
+
+def usage_by_run(calls: DataFrame, run: str = "run") -> DataFrame:
+    """One row a run: calls, failures, tokens, cost, and the mean latency of its successes."""
+    return calls.groupBy(run).agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.col("input") + F.col("output")), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.col("cost").cast("decimal(18,6)")), F.lit(0)).cast("double").alias("cost"), F.round(F.avg(F.when(F.col("ok"), F.col("latency_ms"))), 3).alias("avg_latency_ok"),
+    )
+
+
+def stage_sets(calls: DataFrame, run: str = "run", kind: str = "agent") -> DataFrame:
+    """(run, done, failed): which kinds of work a run has finished and which only failed."""
+    per = calls.groupBy(run, kind).agg(F.bool_or("ok").alias("any_ok"))
+    some = lambda keep, name: F.array_sort(F.collect_list(F.when(keep, F.col(kind)))).alias(name)
+    return per.groupBy(run).agg(some(F.col("any_ok"), "done"), some(~F.col("any_ok"), "failed"))
+
+
+def priced(calls: DataFrame, prices: DataFrame, default_in: float, default_out: float) -> DataFrame:
+    """``calls`` (model, provider) with ``price_in`` and ``price_out``: the model's own price, else its
+    provider's (a row of ``prices`` without a model), else the default. Prices are few."""
+    own = prices.filter("model is not null").select("model", F.col("price_in").alias("i1"), F.col("price_out").alias("o1"))
+    house = prices.filter("model is null").select("provider", F.col("price_in").alias("i2"), F.col("price_out").alias("o2"))
+    rows = calls.join(F.broadcast(own), "model", "left").join(F.broadcast(house), "provider", "left")
+    return rows.withColumns({"price_in": F.coalesce("i1", "i2", F.lit(default_in)), "price_out": F.coalesce("o1", "o2", F.lit(default_out))}).drop("i1", "i2", "o1", "o2")
+
+
+def page_of(offsets: DataFrame, pages: DataFrame, key: str, at: str = "at") -> DataFrame:
+    """``offsets`` with the ``page`` whose [start, end] holds the place ``at``; null where none
+    does. A page starts after the one before ends, so one running maximum finds it."""
+    marks = pages.select(key, F.col("start").alias(at), F.struct("start", "page", "end").alias("p_"), F.lit(0).alias("o_"))
+    asked = offsets.withColumns({"p_": F.lit(None).cast(marks.schema["p_"].dataType), "o_": F.lit(1)})
+    last = F.max("p_").over(Window.partitionBy(key).orderBy(at, "o_").rowsBetween(Window.unboundedPreceding, 0))
+    found = asked.unionByName(marks, allowMissingColumns=True).withColumn("l_", last).filter("o_ = 1")
+    return found.withColumn("page", F.when(F.col(at) <= F.col("l_.end"), F.col("l_.page"))).drop("p_", "o_", "l_")
 
 
 def cost_known(calls: DataFrame, prices: DataFrame) -> DataFrame:

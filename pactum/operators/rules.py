@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import deaccent, first_sentence, fold, tr_lower
+from ..functions.text import deaccent, first_sentence, fold, let, tr_lower
 from ..schemas import FINDING_TYPES, SEVERITIES, severity_rank
-from ..sources.catalog import ClauseType
-from .classify import matches, pattern_of
+from ..sources.catalog import PLACEHOLDER, ClauseType
+from .classify import buyer_pattern
 
 #: Phrases that cannot be measured. The first kind weakens the buyer
 #: anywhere; the second is a vague duration and counts only for codes bound to time.
@@ -48,28 +48,29 @@ def sentence_around(text: Column, start: Column, end: Column) -> Column:
     return F.trim(F.substring(text, begin + 1, finish - begin))
 
 
+def rule_frame(spark: SparkSession, types: list[ClauseType]) -> DataFrame:
+    """One row a red line: its code, what it says, and its patterns. Small by nature."""
+    flag = lambda ps: ["(?isu)" + p for p in ps]
+    rows = [(t.code, r.id, r.severity, r.text, at, flag(r.patterns), flag(r.absent_patterns)) for t in types for at, r in enumerate(t.red_lines)]
+    return spark.createDataFrame(rows, "code string, rule_id string, severity string, title string, rule_order int, patterns array<string>, absent_patterns array<string>")
+
+
+def _filled(patterns: Column, buyers: str | None) -> Column:
+    """The patterns with the names of the buyers in place."""
+    names = buyer_pattern(F.col(buyers) if buyers else None)
+    return F.transform(patterns, lambda p: F.when(F.contains(p, F.lit(PLACEHOLDER)), F.replace(p, F.lit(PLACEHOLDER), names)).otherwise(p))
+
+
 def positive_red_lines(classified: DataFrame, types: list[ClauseType], key: str = "contract_id", buyers: str | None = None) -> DataFrame:
-    """(key, order_index, code, rule_id, severity, quote): for each rule of a clause's codes the
-    first pattern whose sentence is not turned round; one hit a rule."""
-    who = F.col(buyers) if buyers else None
-    low = tr_lower(F.col("text"))
-    rules = []
-    for t in types:
-        for r in t.red_lines:
-            tries = []
-            for raw in r.patterns:
-                p = pattern_of(raw, who)
-                found = F.regexp_substr(F.col("low"), F.lit(p) if isinstance(p, str) else p)
-                at = F.instr(F.col("low"), found) - 1
-                sentence = sentence_around(F.col("text"), at, at + F.length(found))
-                tries.append(F.when(found.isNotNull() & ~reversed_direction(sentence), sentence))
-            if tries:
-                quote = F.when(F.array_contains(F.transform("codes", lambda c: c["code"]), t.code), F.coalesce(*tries))
-                rules.append(F.struct(F.lit(t.code).alias("code"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.text).alias("title"), quote.alias("quote")))
-    if not rules:
-        return classified.select(key, "order_index").limit(0)
-    base = classified.filter(F.size("codes") > 0).withColumn("low", low)
-    return base.select(key, "order_index", F.explode(F.filter(F.array(*rules), lambda x: x["quote"].isNotNull())).alias("x")).select(key, "order_index", "x.*")
+    """(key, order_index, code, rule_id, severity, title, quote): for each rule of a clause's codes
+    the first pattern whose sentence is not turned round; one hit a rule. Clauses meet
+    the rules of their codes in a broadcast join."""
+    rows = classified.select(key, "order_index", "text", tr_lower(F.col("text")).alias("low"), F.explode(F.array_distinct("codes.code")).alias("code"), *([buyers] if buyers else []))
+    rules = rule_frame(classified.sparkSession, types).filter(F.size("patterns") > 0)
+    met = rows.join(F.broadcast(rules), "code").withColumn("found", F.array_compact(F.transform(_filled(F.col("patterns"), buyers), lambda p: F.regexp_substr("low", p))))
+    sentence = lambda f: let(F.instr("low", f) - 1, lambda at: sentence_around(F.col("text"), at, at + F.length(f)))
+    met = met.filter(F.size("found") > 0).withColumn("quote", F.get(F.filter(F.transform("found", sentence), lambda s: ~reversed_direction(s)), F.lit(0)))
+    return met.filter(F.col("quote").isNotNull()).select(key, "order_index", "code", "rule_id", "severity", "title", "quote")
 
 
 def code_scopes(classified: DataFrame, key: str = "contract_id") -> DataFrame:
@@ -80,24 +81,15 @@ def code_scopes(classified: DataFrame, key: str = "contract_id") -> DataFrame:
 
 
 def absent_red_lines(classified: DataFrame, types: list[ClauseType], key: str = "contract_id", buyers: str | None = None) -> DataFrame:
-    """(key, order_index, code, rule_id, severity, quote): rules of which no pattern stands in any
-    clause of the code. The code's first clause hosts the finding and lends its first sentence."""
-    low = tr_lower(F.col("scope"))
-    scopes = code_scopes(classified, key).withColumn("low", low)
+    """(key, order_index, code, rule_id, severity, title, quote): rules of which no pattern stands
+    in any clause of the code. The code's first clause hosts the finding and lends its first
+    sentence."""
+    scopes = code_scopes(classified, key).withColumn("low", tr_lower(F.col("scope"))).drop("scope")
     if buyers:
         scopes = scopes.join(classified.select(key, buyers).dropDuplicates([key]), key)
-    who = F.col(buyers) if buyers else None
-    rules = []
-    for t in types:
-        for r in t.red_lines:
-            if r.absent_patterns and not r.patterns:
-                present = F.lit(False)
-                for p in r.absent_patterns:
-                    present = present | matches(F.col("low"), p, who)
-                rules.append(F.struct(F.lit(t.code).alias("code"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.text).alias("title"), ((F.col("code") == t.code) & ~present).alias("hit")))
-    if not rules:
-        return classified.select(key, "order_index").limit(0)
-    hits = scopes.select(key, F.col("first_clause").alias("order_index"), F.explode(F.filter(F.array(*rules), lambda x: x["hit"])).alias("x")).select(key, "order_index", "x.code", "x.rule_id", "x.severity", "x.title")
+    rules = rule_frame(classified.sparkSession, types).filter((F.size("absent_patterns") > 0) & (F.size("patterns") == 0))
+    hits = scopes.join(F.broadcast(rules), "code").filter(~F.exists(_filled(F.col("absent_patterns"), buyers), lambda p: F.regexp_like("low", p)))
+    hits = hits.select(key, F.col("first_clause").alias("order_index"), "code", "rule_id", "severity", "title")
     return hits.join(classified.select(key, "order_index", first_sentence(F.col("text")).alias("quote")), [key, "order_index"])
 
 

@@ -139,7 +139,7 @@ def coverage_violations(unit_rows: DataFrame, docs: DataFrame, key: str = "contr
     inner = unit_rows.withColumn("reach", reach)
     inner = inner.filter("char_start != reach").select(key, F.col("char_start").alias("at"), F.when(F.col("char_start") > F.col("reach"), "gap").otherwise("overlap").alias("problem"))
     ends = unit_rows.groupBy(key).agg(F.max("char_end").alias("end"))
-    sizes = docs.filter(F.length(text) > 0).filter(F.trim(text) != "").select(key, F.length(text).alias("length"))
+    sizes = docs.filter(F.col(text).rlike(r"\S")).select(key, F.length(text).alias("length"))
     short = sizes.join(ends, key, "left").filter(F.coalesce("end", F.lit(0)) != F.col("length")).select(key, F.coalesce("end", F.lit(0)).alias("at"), F.lit("end").alias("problem"))
     return inner.unionByName(short)
 

@@ -1,7 +1,8 @@
 """The analysis of contracts end to end, as an ordered list of table-to-table stages.
 
-No stage collects; one write after segmentation feeds every later branch. A model may
-add findings or verdicts as tables; without one the rules decide alone.
+No stage collects. Normalised texts, clauses and classified clauses are written once
+each, so every later branch reads them instead of deriving them anew. A model may add
+findings or verdicts as tables; without one the rules decide alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, meta, normalize, rules, scoring, segment
 from ..sources.catalog import ClauseType, to_frame
+from ..storage import stored
 
 KEY = "contract_id"
 
@@ -33,35 +35,47 @@ def prepare(contracts: DataFrame) -> DataFrame:
     defaults = {"contract_type": F.lit("SAAS"), "involves_personal_data": F.lit(True), "is_outsourcing": F.lit(False)}
     for name, value in defaults.items():
         contracts = contracts.withColumn(name, F.coalesce(name, value) if name in contracts.columns else value)
-    return contracts.withColumn("text", normalize.normalize(F.coalesce("raw_text", F.lit(""))))
+    return contracts.select(KEY, *defaults, normalize.normalize(F.coalesce("raw_text", F.lit(""))).alias("text"))
 
 
 def deterministic(docs: DataFrame) -> DataFrame:
     """Document-level findings: annexes referred to but absent, drafting defects."""
     annex = docs.select(KEY, F.explode(rules.missing_annexes(F.col("text"))).alias("n"))
-    annex = annex.select(KEY, F.lit("YUKSEK").alias("severity"), F.concat(F.lit("EK-"), F.col("n")).alias("title"), F.lit("").alias("quote"), F.lit("CROSS_REF_ERROR").alias("finding_type"))
-    defects = rules.drafting_defects(docs).select(KEY, "severity", F.col("kind").alias("title"), "quote", F.lit("DRAFTING_DEFECT").alias("finding_type"))
-    return annex.unionByName(defects).withColumns({"code": F.lit("ENTIRE_AGREEMENT"), "confidence": F.lit(0.95)})
+    annex = annex.select(KEY, F.lit("ORTA").alias("severity"), F.concat(F.lit("EK-"), F.col("n")).alias("title"), F.lit("").alias("quote"), F.lit("CROSS_REF_ERROR").alias("finding_type"), F.lit(0.9).alias("confidence"))
+    defects = rules.drafting_defects(docs).select(KEY, "severity", F.col("kind").alias("title"), "quote", F.lit("DRAFTING_DEFECT").alias("finding_type"), F.lit(0.95).alias("confidence"))
+    return annex.unionByName(defects).withColumns({"code": F.lit("ENTIRE_AGREEMENT"), "detected_by": F.lit("RULE_DET")})
+
+
+def clause_findings(classified: DataFrame, types: list[ClauseType]) -> DataFrame:
+    """Red lines, absences and vague phrases of classified clauses, one a clause, code and kind.
+    "First seen" is by clause, then by kind of rule, then by the catalogue's order."""
+    order = rules.rule_frame(classified.sparkSession, types).select("code", "rule_id", "rule_order")
+    hits = [
+        rules.rule_findings(found(classified, types, KEY, "buyers"), kind).withColumn("kind_", F.lit(at))
+        for at, (found, kind) in enumerate([(rules.positive_red_lines, "PATTERN"), (rules.absent_red_lines, "ABSENCE")])
+    ]
+    ruled = hits[0].unionByName(hits[1]).join(F.broadcast(order), ["code", "rule_id"], "left").drop("rule_id")
+    vague = rules.ambiguous_findings(classified).withColumn("kind_", F.lit(2))
+    found = ruled.unionByName(vague, allowMissingColumns=True)
+    numbered = classified.select(KEY, "order_index", F.col("number").alias("clause_number"), F.col("text").alias("t_"))
+    found = found.join(numbered, [KEY, "order_index"], "left").withColumn("quote", F.when(F.col("finding_type") == "AMBIGUOUS", F.col("t_")).otherwise(F.col("quote"))).drop("t_")
+    seq = F.struct("order_index", "kind_", F.coalesce("rule_order", F.lit(0)), "code", "title")
+    return rules.dedupe_findings(found.withColumns({"lens": F.lit(""), "seq": seq})).drop("seq", "lens", "kind_", "rule_order")
 
 
 def analyse(contracts: DataFrame, types: list[ClauseType], verdicts: DataFrame | None = None) -> Analysis:
     """``contracts`` (contract_id, raw_text, optional type and flags) to scored findings."""
     spark = contracts.sparkSession
-    docs = prepare(contracts)
-    found = meta.extract_meta(docs)
-    clauses = segment.clauses(docs).join(found.select(KEY, meta.split_terms(F.col("terms"))["buyers"].alias("buyers")), KEY, "left").persist()
     catalogue = to_frame(spark, types)
-    classified = classify.classify(clauses, types, buyers="buyers").persist()
-    numbered = classified.select(KEY, "order_index", F.col("number").alias("clause_number"))
-    hits = [rules.rule_findings(f(classified, types, KEY, "buyers"), kind) for f, kind in ((rules.positive_red_lines, "PATTERN"), (rules.absent_red_lines, "ABSENCE"))]
-    clause_level = hits[0].unionByName(hits[1]).drop("rule_id").unionByName(rules.ambiguous_findings(classified), allowMissingColumns=True)
-    clause_level = clause_level.withColumn("quote", F.coalesce("quote", F.lit(None).cast("string"))).join(numbered, [KEY, "order_index"], "left")
-    vague = F.col("finding_type") == "AMBIGUOUS"
-    clause_level = clause_level.join(classified.select(KEY, "order_index", F.col("text").alias("t_")), [KEY, "order_index"], "left").withColumn("quote", F.when(vague, F.col("t_")).otherwise(F.col("quote"))).drop("t_")
-    clause_level = rules.dedupe_findings(clause_level.withColumns({"lens": F.lit(""), "seq": F.xxhash64("code", "title")})).drop("seq", "lens")
-    gaps = scoring.detect_gaps(docs.select(KEY, "text", "contract_type"), catalogue, classified.select(KEY, F.explode("codes.code").alias("code")).distinct(), verdicts=verdicts).drop("status", "hits", "verified")
-    everything = clause_level.unionByName(deterministic(docs), allowMissingColumns=True).unionByName(gaps, allowMissingColumns=True)
-    judged = scoring.ground(everything, clauses, docs)
+    docs = stored(prepare(contracts), "analysis-normalized")
+    found = stored(meta.extract_meta(docs), "analysis-meta")
+    buyers = found.select(KEY, meta.split_terms(F.col("terms"))["buyers"].alias("buyers"))
+    clauses = stored(segment.clauses(docs).join(buyers, KEY, "left"), "analysis-clauses")
+    classified = stored(classify.classify(clauses, types, buyers="buyers"), "analysis-classified")
+    detected = classified.select(KEY, F.explode("codes.code").alias("code")).distinct()
+    gaps = scoring.detect_gaps(docs.select(KEY, "text", "contract_type"), catalogue, detected, verdicts=verdicts).drop("status", "hits", "verified")
+    everything = clause_findings(classified, types).unionByName(deterministic(docs), allowMissingColumns=True).unionByName(gaps, allowMissingColumns=True)
+    judged = stored(scoring.ground(everything, clauses, docs), "analysis-judged")
     flags = docs.select(KEY, "involves_personal_data", "is_outsourcing")
     kept = judged.filter("kept").drop("kept", "reason").join(flags, KEY).join(F.broadcast(catalogue.select("code", "category", "weight")), "code", "left")
     context = scoring.context_multiplier(F.col("category"), F.col("involves_personal_data"), F.col("is_outsourcing"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classify, compare, meta, normalize, portfolio, rules, scoring, segment
 from ..sources.catalog import to_frame
+from ..storage import stored
 from ..streaming import throttle
 from .neutral import TYPES
 
@@ -91,12 +92,54 @@ def sections_by_heading(spark, sf_dir):
     return _long(segment.sections_between(lines, F.length("line").between(1, 60), "doc_id").drop("line"))
 
 
-@query("SELECT count(*) AS n_docs, 0::BIGINT AS n_violations FROM documents WHERE trim(coalesce(text, '')) <> ''")
+@query(rf"""WITH {LINES}, o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS e, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+ t AS (SELECT doc_id, pos, e - length(line) - 1 AS s, e - CASE WHEN pos = n - 1 THEN 1 ELSE 0 END + CASE WHEN pos % 11 = 5 THEN 4 ELSE 0 END AS e FROM o WHERE pos % 7 <> 3),
+ r AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM t),
+ m AS (SELECT doc_id, max(e) AS e FROM t GROUP BY 1)
+SELECT doc_id, s::BIGINT AS "at", CASE WHEN s > reach THEN 'gap' ELSE 'overlap' END AS problem FROM r WHERE s <> reach
+UNION ALL SELECT d.doc_id, coalesce(m.e, 0)::BIGINT, 'end' FROM documents d LEFT JOIN m USING (doc_id) WHERE regexp_matches(d.text, '\S') AND coalesce(m.e, 0) <> length(d.text)""")
 def coverage_violations(spark, sf_dir):
-    """Units tile every normalised text: no gap, no overlap, no uncovered end."""
-    docs = _docs(spark, sf_dir).withColumn("text", normalize.normalize(F.col("text")))
-    bad = segment.coverage_violations(segment.units(docs, "doc_id"), docs, "doc_id").agg(F.count(F.lit(1)).alias("n_violations"))
-    return docs.filter(F.trim("text") != "").agg(F.count(F.lit(1)).alias("n_docs")).join(bad)
+    """Lines as units, of which every seventh is left out and every eleventh runs too far: each
+    gap, overlap and uncovered end is found."""
+    docs = _docs(spark, sf_dir)
+    lines = segment.line_offsets(docs, "doc_id")
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("doc_id"))
+    end = F.col("char_start") + F.length("line") + F.when(last, 0).otherwise(1) + F.when(F.col("pos") % 11 == 5, 4).otherwise(0)
+    units = lines.withColumn("char_end", end).filter("pos % 7 != 3").select("doc_id", "char_start", "char_end")
+    return _long(segment.coverage_violations(units, docs, "doc_id"))
+
+
+_HEAD = "[-–—.:)]"
+_TITLE = "(length({0}) BETWEEN 1 AND 160 AND NOT regexp_matches({0}, '[.;,]$') AND length(regexp_replace({0}, '\\P{{L}}', '', 'g')) > 0 AND (length(regexp_replace({0}, '\\P{{Lu}}', '', 'g')) / length(regexp_replace({0}, '\\P{{L}}', '', 'g'))::DOUBLE > 0.55 OR (regexp_matches({0}, '^\\p{{Lu}}') AND len(regexp_extract_all({0}, '\\S+')) <= 12)))"
+_FORMS = {
+    "madde": rf"(?i)^\s*MADDE\s+(\d+(?:\.\d+)*)\s*{_HEAD}?\s*(.*)$", "ek": rf"(?i)^\s*(EK\s*[-–]?\s*\d+|EKLER)\s*{_HEAD}?\s*(.*)$",
+    "article": rf"(?i)^\s*(?:Article|Clause|Section)\s+(\d+(?:\.\d+)*)\s*{_HEAD}?\s*(.*)$", "numeric": r"^\s*(\d+(?:\.\d+){0,3})\s*[.)]\s+(.*)$",
+    "bare": r"^\s*(\d+(?:\.\d+){1,3})\s+(\S.*)$", "roman": r"^\s*([IVXLC]{1,6})\s*[.)]\s+(\S.*)$",
+}
+_OK = {
+    "madde": "true", "ek": "true", "article": "true", "bare": "length(t_bare) <= 160", "roman": "length(t_roman) <= 160 AND " + _TITLE.format("t_roman"),
+    "numeric": "length(t_numeric) <= 160 AND (contains(n_numeric, '.') OR " + _TITLE.format("t_numeric") + ")",
+}
+_NO_HEAD = r"(?i)^\s*(?:\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\d+(?:[.,]\d{3})*(?:[.,]\d+)?\s*(?:%|TL|USD|EUR|₺|\$)|\d+\s*$)"
+
+
+@query(rf"""WITH {LINES}, g AS (SELECT doc_id, pos, trim(line) AS s, {", ".join(f"trim(regexp_extract(trim(line), '{p}', 1)) AS n_{k}, trim(regexp_extract(trim(line), '{p}', 2)) AS t_{k}" for k, p in _FORMS.items())} FROM l),
+ k AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') AND {_OK[k]} THEN '{k}'" for k, p in _FORMS.items())} END AS kind FROM g WHERE length(s) BETWEEN 1 AND 400 AND NOT regexp_matches(s, '{_NO_HEAD}'))
+SELECT doc_id, pos::BIGINT AS pos, kind, CASE kind {" ".join(f"WHEN '{k}' THEN n_{k}" for k in _FORMS)} END AS number, CASE kind {" ".join(f"WHEN '{k}' THEN t_{k}" for k in _FORMS)} END AS heading FROM k WHERE kind IS NOT NULL""")
+def heading_lines(spark, sf_dir):
+    """Lines that are headings, by the operator's own forms."""
+    lines = segment.line_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "pos", segment.heading(F.col("line")).alias("h"))
+    return _long(lines.filter("h is not null").select("doc_id", "pos", "h.kind", "h.number", "h.heading"))
+
+
+@query(rf"""WITH {LINES}, o AS (SELECT doc_id, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS s, pos + 1 AS page FROM l), a AS (SELECT doc_id, 97 * k AS "at" FROM (SELECT doc_id, unnest(range(0, length(text) // 97 + 3)) AS k FROM documents WHERE text IS NOT NULL))
+SELECT a.doc_id, a."at"::BIGINT AS "at", (SELECT max(page) FROM o WHERE o.doc_id = a.doc_id AND o.s <= a."at" AND a."at" <= o.s + o.n)::BIGINT AS page FROM a""")
+def page_of_place(spark, sf_dir):
+    """Lines taken as pages: on which of them every 97th place of a text lies, also past its end."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    pages = normalize.page_map(normalize.lines_of(docs, "doc_id", "text").select("doc_id", (F.col("pos") + 1).alias("page"), F.col("line").alias("text")), "doc_id")
+    places = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 97) + 2)).alias("k")).select("doc_id", (F.col("k") * 97).alias("at"))
+    return _long(portfolio.page_of(places, pages, "doc_id"))
 
 
 @query(r"""SELECT doc_id, len(p)::BIGINT AS n, coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)::BIGINT AS chars, md5(array_to_string(p, '|')) AS h
@@ -264,14 +307,12 @@ def mandatory_gaps(spark, sf_dir):
     return _long(scoring.detect_gaps(docs, to_frame(spark, TYPES), detected, "doc_id").select("doc_id", "code", "hits", "status", "severity"))
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), b AS (SELECT text AS q, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark)
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), b AS (SELECT item_id AS k, text AS q FROM benchmark)
 SELECT doc_id, length(q) >= 12 AND (contains(coalesce(text, ''), q) OR contains({FOLD.format("coalesce(text, '')")}, {FOLD.format('q')})) AS found FROM documents, n JOIN b ON b.k = documents.doc_id % n.n""")
 def quote_grounding(spark, sf_dir):
     """Each document is claimed to hold one benchmark passage; the claim is checked."""
-    b = _t(spark, sf_dir, "benchmark")
-    n = b.count()
-    claims = b.select(F.col("text").alias("q"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))
-    docs = _docs(spark, sf_dir).withColumn("k", F.col("doc_id") % n)
+    claims = _t(spark, sf_dir, "benchmark").select(F.col("text").alias("q"), F.col("item_id").alias("k"))
+    docs = _docs(spark, sf_dir).withColumn("k", F.col("doc_id") % claims.count())
     return docs.join(claims, "k").select("doc_id", T.quote_found(F.col("text"), F.trim("q")).alias("found"))
 
 
@@ -327,11 +368,11 @@ def priority_actions(spark, sf_dir):
     return _long(out.select("l_orderkey", "l_linenumber", "severity", "rank"))
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, row_number() OVER w AS rank FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) QUALIFY row_number() OVER w <= 2")
+@query(f"""WITH {_SCORE}, wt(code, w) AS (VALUES {", ".join(f"('{t.code}', {t.weight})" for t in TYPES)}), m AS (SELECT doc_id, order_index, max(w)::BIGINT AS weight FROM sc JOIN wt USING (code) GROUP BY 1, 2)
+SELECT doc_id, order_index, weight, row_number() OVER w AS rank FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY weight DESC, order_index) QUALIFY row_number() OVER w <= 5""")
 def llm_clause_selection(spark, sf_dir):
-    """The heaviest clauses of each contract."""
-    out = scoring.top_per_group(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_quantity"), "l_linenumber"], 2)
-    return _long(out.select("l_orderkey", "l_linenumber", "rank"))
+    """The five heaviest clauses of each document, as a model would be asked about them."""
+    return _long(scoring.clauses_for_model(_classified(spark, sf_dir), to_frame(spark, TYPES), "doc_id", 5))
 
 
 _VISIBLE = "v AS (SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice < 400000)"
@@ -411,10 +452,35 @@ def call_costs(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.round(portfolio.call_cost(i % 100, i % 7, i % 20, i % 10, F.lit(3.0), F.lit(15.0)), 9).alias("cost"))
 
 
-@query("SELECT true AS cost_known")
+@query("""WITH m AS (SELECT DISTINCT user_id, 'm' || (event_id % 3) AS m FROM events)
+SELECT 'all' AS prices, bool_and(m IN ('m0', 'm1', 'm2')) AS cost_known FROM m UNION ALL SELECT 'two', bool_and(m IN ('m0', 'm1')) FROM m UNION ALL SELECT 'no calls', false""")
 def cost_is_known(spark, sf_dir):
-    prices = spark.createDataFrame([(f"m{i}", 1.0) for i in range(3)], "model string, price double")
-    return portfolio.cost_known(_calls(spark, sf_dir), prices)
+    """Known where every named model has a price and there is a call at all."""
+    calls = _calls(spark, sf_dir)
+    prices = lambda n: spark.createDataFrame([(f"m{i}", 1.0) for i in range(n)], "model string, price double")
+    cases = {"all": (calls, 3), "two": (calls, 2), "no calls": (calls.filter("false"), 3)}
+    out = [portfolio.cost_known(c, prices(n)).select(F.lit(name).alias("prices"), "cost_known") for name, (c, n) in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"WITH {_CALLS} SELECT user_id AS run, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, sum(inp + outp)::BIGINT AS tokens, sum(cost::DECIMAL(18,6))::DOUBLE AS cost, round(avg(latency_ms) FILTER (ok), 3) AS avg_latency_ok FROM c GROUP BY 1")
+def usage_by_run(spark, sf_dir):
+    return portfolio.usage_by_run(_calls(spark, sf_dir), "user_id").withColumnRenamed("user_id", "run")
+
+
+@query(f"""WITH {_CALLS}, k AS (SELECT user_id, agent, bool_or(ok) AS done FROM c GROUP BY 1, 2)
+SELECT user_id AS run, coalesce(string_agg(agent, ',' ORDER BY agent) FILTER (done), '') AS done, coalesce(string_agg(agent, ',' ORDER BY agent) FILTER (NOT done), '') AS failed FROM k GROUP BY 1""")
+def stage_sets(spark, sf_dir):
+    sets = portfolio.stage_sets(_calls(spark, sf_dir), "user_id")
+    return sets.select(F.col("user_id").alias("run"), F.array_join("done", ",").alias("done"), F.array_join("failed", ",").alias("failed"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 3.0 ELSE CASE WHEN user_id % 2 = 0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS price_in, CASE event_id % 3 WHEN 0 THEN 15.0 ELSE CASE WHEN user_id % 2 = 0 THEN 8.0 ELSE 5.0 END END::DOUBLE AS price_out FROM events""")
+def price_fallback(spark, sf_dir):
+    """The model's price, else its provider's, else the default."""
+    calls = _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), F.concat(F.lit("p"), F.col("user_id") % 2).alias("provider"))
+    prices = spark.createDataFrame([("p0", "m0", 3.0, 15.0), ("p0", None, 2.0, 8.0)], "provider string, model string, price_in double, price_out double")
+    return portfolio.priced(calls, prices, 1.0, 5.0).select("event_id", "price_in", "price_out")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -584,7 +650,7 @@ SELECT doc_id, n_lines, n_hits, n_missing, penalty, score, CASE WHEN red > 0 OR
 def doc_risk_scorecard(spark, sf_dir):
     """Lines, type hits, missing types, penalty, score and band of each document, with its label."""
     clauses = _clauses(spark, sf_dir)
-    classified = classify.classify(clauses, TYPES, "doc_id")
+    classified = stored(classify.classify(clauses, TYPES, "doc_id").filter(F.size("codes") > 0), "scorecard-classified")
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     codes = classified.select("doc_id", F.explode("codes.code").alias("code"))
     docs = _docs(spark, sf_dir).withColumn("contract_type", F.lit("SAAS"))

@@ -11,18 +11,11 @@ from pyspark.sql import functions as F
 #: Severities from least to most, with the points each is worth.
 SEVERITIES = ("BILGI", "DUSUK", "ORTA", "YUKSEK", "KRITIK")
 POINTS = {"KRITIK": 5.0, "YUKSEK": 3.0, "ORTA": 1.5, "DUSUK": 0.6, "BILGI": 0.0}
-#: Obligations of a clause type, contract types, finding types.
+#: Obligations of a clause type, finding types, kinds of change.
 OBLIGATIONS = ("ZORUNLU", "ONERILEN", "OPSIYONEL", "YASAK")
-CONTRACT_TYPES = ("SAAS", "YAZILIM", "HIZMET", "DONANIM", "DIS_KAYNAK", "CERCEVE")
-FINDING_TYPES = ("MISSING", "WEAK", "ONE_SIDED", "RED_LINE", "AMBIGUOUS", "INTERNAL_CONFLICT", "INFO")
+FINDING_TYPES = ("MISSING", "WEAK", "ONE_SIDED", "RED_LINE", "AMBIGUOUS", "INTERNAL_CONFLICT", "CROSS_REF_ERROR", "DRAFTING_DEFECT", "INFO")
 CHANGES = ("EKLENDI", "SILINDI", "DEGISTI", "TASINDI", "AYNI")
 
-CLAUSE = "order_index int, kind string, number string, heading string, text string, level int, char_start int, char_end int, is_gap boolean"
-FINDING = (
-    "contract_id string, order_index int, code string, clause_number string, finding_type string, severity string, title string, "
-    "rationale string, quote string, quote_is_evidence boolean, legal_basis array<string>, proposed_text string, confidence double, detected_by string, lens string"
-)
-
 
 def severity_rank(severity: Column) -> Column:
     """0 for the least severe; null for a value that is none of the five."""

@@ -25,7 +25,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Files below ``path`` with manifest columns and ``problem`` (null where all checks hold)."""
+    """Files below ``path`` with manifest columns and ``problem`` (null where all checks hold).
+    Spark's reader leaves out files of no bytes."""
     if stream:
         schema = spark.read.format("binaryFile").load(path).schema
         files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
@@ -33,7 +34,7 @@ def scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    problem = F.when(~suffix.isin(*SUFFIXES), "unknown suffix").when(F.col("length") > MAX_BYTES, "too large").when(F.col("length") == 0, "empty")
+    problem = F.when(~suffix.isin(*SUFFIXES), "unknown suffix").when(F.col("length") > MAX_BYTES, "too large")
     return files.select("path", safe_name(name).alias("filename"), suffix.alias("suffix"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"), "content")
 
 

@@ -13,39 +13,42 @@ from pyspark.sql.types import LongType, StructField, StructType
 DECISION = "key string, at long, ok boolean, allowed boolean, left_over long"
 
 
-def decide(at: int, kept: list[int], limit: int, window: int) -> tuple[bool, list[int]]:
-    """One request against the accepted ones: a rejected request uses no quota."""
-    kept = [t for t in kept if at - t < window]
+def decide(at: int, ok: bool, kept: list[int], limit: int, window: int, login: bool = False) -> tuple[bool, list[int]]:
+    """One request against the counted ones: a rejected request uses no quota. ``login``: only
+    failures count, and a success clears them. A limit of 0 is none; nothing is counted."""
     if limit <= 0:
-        return True, kept
-    return (True, [*kept, at]) if len(kept) < limit else (False, kept)
-
-
-def decisions(key, rows: pd.DataFrame, kept: list[int], limit: int, window: int, login: bool) -> tuple[pd.DataFrame, list[int]]:
-    """The requests of one key in order of time. ``login``: only failures count, a success clears."""
-    out = []
-    for at, ok in zip(rows["at"], rows["ok"], strict=True):
-        if login:
-            live = [t for t in kept if at - t < window]
-            allowed = limit <= 0 or len(live) < limit
-            kept = [] if allowed and ok else [*live, at] if allowed else live
-        else:
-            allowed, kept = decide(at, kept, limit, window)
-        out.append((key, at, ok, allowed, max(0, limit - len(kept)) if limit > 0 else -1))
-    return pd.DataFrame(out, columns=["key", "at", "ok", "allowed", "left_over"]), kept
+        return True, []
+    kept = [t for t in kept if at - t < window]
+    if len(kept) >= limit:
+        return False, kept
+    return True, [] if login and ok else [*kept, at]
 
 
 def replay(requests: DataFrame, limit: int, window: int, login: bool = False) -> DataFrame:
-    """Decisions over a finished table (key, at seconds, ok): the batch twin of ``stream``."""
+    """Decisions over a finished table (key, at seconds, ok): the batch twin of ``stream``.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return decisions(pdf["key"].iloc[0], pdf.sort_values(["at", "ok"]), [], limit, window, login)[0]
+    Spark sorts each partition by key and time; a task then holds the counted times of
+    one key, at most ``limit``, however many requests the key has.
+    """
 
-    return requests.select("key", "at", "ok").groupBy("key").applyInPandas(one, DECISION)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept, first = None, [], True
+        for pdf in batches:
+            out = []
+            for key, at, ok in zip(pdf["key"], pdf["at"], pdf["ok"], strict=True):
+                if first or key != last:
+                    last, kept, first = key, [], False
+                allowed, kept = decide(at, ok, kept, limit, window, login)
+                out.append((allowed, max(0, limit - len(kept)) if limit > 0 else -1))
+            yield pdf.assign(allowed=[a for a, _ in out], left_over=[n for _, n in out])
+
+    ordered = requests.select("key", "at", "ok").repartition("key").sortWithinPartitions("key", "at", "ok")
+    return ordered.mapInPandas(run, DECISION)
 
 
 class Throttle(StatefulProcessor):
-    """Accepted times of a key as a list state, swept by a timer once the window has passed."""
+    """Counted times of a key as a list state. A timer in event time sweeps what the window has
+    passed, so a key that falls silent leaves nothing behind."""
 
     def __init__(self, limit: int, window: int, login: bool = False):
         self.limit, self.window, self.login = limit, window, login
@@ -54,22 +57,39 @@ class Throttle(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getListState("kept", StructType([StructField("at", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "ok"])
-        out, kept = decisions(key[0], pdf, [r[0] for r in self.kept.get()], self.limit, self.window, self.login)
+    def _keep(self, kept: list[int]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if kept:
             self.kept.put([(int(t),) for t in kept])
+            self.handle.registerTimer(1000 * (min(kept) + self.window))
         else:
             self.kept.clear()
-        yield out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["at", "ok"])
+        kept, out = [r[0] for r in self.kept.get()], []
+        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
+            allowed, kept = decide(at, ok, kept, self.limit, self.window, self.login)
+            out.append((key[0], at, ok, allowed, max(0, self.limit - len(kept)) if self.limit > 0 else -1))
+        self._keep(kept)
+        yield pd.DataFrame(out, columns=["key", "at", "ok", "allowed", "left_over"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep([r[0] for r in self.kept.get() if 1000 * (r[0] + self.window) > now])
+        yield pd.DataFrame({"key": [], "at": [], "ok": [], "allowed": [], "left_over": []}).astype({"key": str, "at": "int64", "ok": bool, "allowed": bool, "left_over": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream(requests: DataFrame, limit: int, window: int, login: bool = False) -> DataFrame:
-    """Decisions over a stream (key, at seconds, ok). Needs the RocksDB state store."""
-    return requests.groupBy("key").transformWithStateInPandas(Throttle(limit, window, login), outputStructType=DECISION, outputMode="Append", timeMode="None")
+def stream(requests: DataFrame, limit: int, window: int, login: bool = False, late: str = "1 hour") -> DataFrame:
+    """Decisions over a stream (key, at seconds, ok). Time is ``at``: requests that come over
+    ``late`` behind the latest one are dropped by the watermark, and state ends when the
+    watermark has passed the window. Needs the RocksDB state store."""
+    timed = requests.select("key", "at", "ok", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(Throttle(limit, window, login), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
 
 
 def denied_once(denials: DataFrame, window: str) -> DataFrame:
@@ -95,13 +115,13 @@ def session_usage(events: DataFrame, gap: str, late: str | None = None) -> DataF
 
 class Budget(StatefulProcessor):
     """Running totals of a run's model calls; once a cap is reached every later call is refused
-    and the first reason stays."""
+    and the first reason stays. A run without calls for ``idle`` milliseconds is forgotten."""
 
-    def __init__(self, max_calls: int, max_cost: float, max_failures: int):
-        self.caps = max_calls, max_cost, max_failures
+    def __init__(self, max_calls: int, max_cost: float, max_failures: int, idle: int):
+        self.caps, self.idle = (max_calls, max_cost, max_failures), idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("spent", "calls long, cost double, failures long, reason string")
+        self.state = handle.getValueState("spent", "calls long, cost double, failures long, reason string", self.idle)
 
     def handleInputRows(self, key, rows, timerValues):
         calls, cost, failures, reason = self.state.get() if self.state.exists() else (0, 0.0, 0, "")
@@ -119,6 +139,8 @@ class Budget(StatefulProcessor):
         pass
 
 
-def budget_stream(calls: DataFrame, max_calls: int, max_cost: float, max_failures: int) -> DataFrame:
-    """(key, seq, allowed, reason) of a stream (key, seq, at, ok, cost)."""
-    return calls.groupBy("key").transformWithStateInPandas(Budget(max_calls, max_cost, max_failures), outputStructType="key string, seq long, allowed boolean, reason string", outputMode="Append", timeMode="None")
+def budget_stream(calls: DataFrame, max_calls: int, max_cost: float, max_failures: int, idle_hours: int = 24) -> DataFrame:
+    """(key, seq, allowed, reason) of a stream (key, seq, at, ok, cost). Totals of a run live until
+    it has been idle for ``idle_hours`` of processing time."""
+    budget = Budget(max_calls, max_cost, max_failures, idle_hours * 3_600_000)
+    return calls.groupBy("key").transformWithStateInPandas(budget, outputStructType="key string, seq long, allowed boolean, reason string", outputMode="Append", timeMode="ProcessingTime")
