@@ -55,7 +55,10 @@ def _segments(role: Column, text: Column, t: Template) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, formatted, segments array<struct<text, loss>>, state: one row a conversation.
+    """conv_id, formatted, segments array<struct<text, loss>>, loss_spans, state: one row a conversation.
+
+    ``loss_spans`` array<struct<start, length>>: what of ``formatted`` bears loss, counted in
+    UTF-8 bytes, so that a span is cut out without a walk over the string.
 
     Turns go by ``turn``, then role, then text, so ties have one order and rows that
     repeat each count. Null role and null text are empty; a null conv_id is a
@@ -71,11 +74,16 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     grouped = written.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     moves = F.create_map(*[F.lit(v) for kv in t.moves.items() for v in kv])
     step = lambda state, x: F.coalesce(F.element_at(moves, F.concat(state, F.lit(">"), x["role"])), F.lit(ERROR))
-    segments = F.flatten(F.transform("xs", lambda x: x["s"]))
-    return grouped.select(
-        "conv_id", F.array_join(F.transform(segments, lambda s: s["text"]), "").alias("formatted"),
-        segments.alias("segments"), F.aggregate("xs", F.lit(START), step).alias("state"),
-    )
+    laid = grouped.select("conv_id", F.flatten(F.transform("xs", lambda x: x["s"])).alias("segments"), F.aggregate("xs", F.lit(START), step).alias("state"))
+    origin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+
+    def span(state: Column, s: Column) -> Column:
+        size = F.octet_length(s["text"])
+        new = F.array(F.struct(state["at"].alias("start"), size.alias("length")))
+        return F.struct((state["at"] + size).alias("at"), F.when(s["loss"], F.concat(state["spans"], new)).otherwise(state["spans"]).alias("spans"))
+
+    formatted = F.array_join(F.transform("segments", lambda s: s["text"]), "")
+    return laid.select("conv_id", formatted.alias("formatted"), "segments", F.aggregate("segments", origin, span)["spans"].alias("loss_spans"), "state")
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -96,10 +104,12 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
 
 
 def digest(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """The digest columns of a formatted table, all read back from what was written."""
+    """The digest columns of a formatted table, read back from ``formatted`` and ``loss_spans``."""
     t = template or Template()
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
+    cut = lambda s: F.substring(F.col("written"), s["start"] + 1, s["length"]).cast("string")
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(cut(s), t)), "")
+    formatted = formatted.withColumn("written", F.col("formatted").cast("binary"))
     return read_back(formatted, t).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),

@@ -5,7 +5,8 @@ a run keeps one row per digest, in digest order, with the best identifier seen.
 In each round the runs of a binomial tree meet: run ``r`` goes to ``r mod width``
 and the merge keeps, per digest, the best row again, until one run is left, whose
 key is the digest alone. Copies shrink to one row per run before they travel, so
-a text that fills a third of the table reaches the last round as ``fan_in`` rows.
+a text that fills a third of the table reaches the last round as ``fan_in`` rows. What
+was found goes back the same way: to each run's row of a text, then to the run's copies.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, stored
 
 KEY = ["text_sha256", "text_check", "norm_chars"]
 
@@ -34,23 +35,25 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """Best (longest original, then smallest id) and row count per key.
+def _runs(rows: DataFrame, runs: int) -> DataFrame:
+    return rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(runs)))
+
+
+def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Per run and key, and then per key, the best row (longest original, then smallest id)
+    and the row count.
 
     ``max(struct)`` has no fixed-width buffer, so Spark sorts each run by its key
     and merges neighbours: runs stay sorted by digest from level to level.
     """
-    merged = rows.select(
-        F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(runs)).alias("run"), *KEY,
-        F.struct("n_chars", F.bitwise_not("doc_id").alias("neg"), F.col("doc_id").alias("id")).alias("best"), F.col("copies").alias("n"),
-    )
+    best = F.struct("n_chars", F.bitwise_not("doc_id").alias("neg"), F.col("doc_id").alias("id"))
+    merge = lambda level, best, n: level.groupBy("run", *KEY).agg(F.max(best).alias("best"), F.sum(n).alias("n"))
+    lowest = merged = merge(_runs(rows, runs), best, "copies")
     width = runs
-    while True:
-        merged = merged.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-        if width == 1:
-            return merged.drop("run")
+    while width > 1:
         width = -(-width // fan_in)
-        merged = merged.withColumn("run", F.col("run") % width)
+        merged = merge(merged.withColumn("run", F.col("run") % width), "best", "n")
+    return lowest, merged.drop("run")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
@@ -61,10 +64,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat both id and text are one document (they count in ``group_size``
     and give one row). A null id loses against any other. Extra columns are ignored.
     """
-    rows = digests(docs, id_col, text_col)
-    best = merge_runs(rows, runs, fan_in)
+    rows = stored(digests(docs, id_col, text_col), "exact-digests")
+    lowest, best = merge_runs(rows, runs, fan_in)
+    # A key has at most one row a run here, and at most its share of the copies in a run.
+    back = lowest.select("run", *KEY).join(best, KEY)
     kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == F.col("best.n_chars"))
-    return rows.join(best, KEY).select(
+    return _runs(rows, runs).join(back, ["run", *KEY]).select(
         "doc_id", F.col("best.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256",
     )
 

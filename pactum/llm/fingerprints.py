@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 PRIMES = (np.uint64(2147483647), np.uint64(2147483629))
 BASE = 1000003
 WIDTH, SKETCH = 16, 64
+#: Bytes of texts in a range of ids that one task takes, about.
+PART_BYTES = 128 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -160,7 +162,9 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     a lone document is its own next. Rows lent to another part repeat no result.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 

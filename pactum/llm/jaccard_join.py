@@ -50,8 +50,8 @@ MEMO = 200_000
 #: Turns of star candidates with drawn leaders, and leaders of an n-gram in each. They only
 #: save work: what they leave apart is paired in full.
 STAR_TURNS, LEADERS = 4, 4
-#: Share of a turn's pairs that must link for another turn: with fewer, what is open is mostly
-#: texts that share n-grams but are not alike, which stars do not contract.
+#: A turn that adds less than this share of the links so far is the last one: what is open
+#: then is mostly texts that share n-grams but are not alike, which stars do not contract.
 WORTH = 0.1
 #: Hash ranges whose parities each node carries for the suffix filter, 64 to a number.
 RANGES = 256
@@ -357,7 +357,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     stars = grams.select("node", "n", "pos", "lnode", "ln", "lpos").unionByName(tops).filter("node != lnode").filter(_may_link("", "l", percent))
     tried = _pairs(_likeliest(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))))
     tried = stored(_suffix_filtered(tried, nodes, percent), "jaccard-pairs")
-    labels = components(stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links"))
+    links = stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links")
+    linked, labels = links.count(), components(links)
 
     open_rows = _open(grams.select("h", "node", "n", "pos").distinct(), labels).join(nodes.select("node", *SIGNS), "node")
     open_rows = stored(open_rows, "jaccard-open")
@@ -367,11 +368,12 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         pairs = stored(_pairs(_likeliest(fresh)), "jaccard-pairs")
         links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
         found, tried = links.count(), tried.union(pairs)
+        linked += found
         if found:
             # Components only grow, so what is open now was open before.
             labels = _merged(labels, links)
             open_rows = stored(_open(open_rows.drop("root"), labels), "jaccard-open")
-        if found < WORTH * pairs.count() or not found:
+        if found <= WORTH * linked:
             break
 
     last = stored(_pairs(_across(open_rows, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
@@ -379,11 +381,11 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         labels = _merged(labels, stored(_checked(docs, nodes, last, n, percent, clashes), "jaccard-links"))
 
     # Only nodes with links or with copies have another id than their own to take.
-    linked = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")
-    linked = _salted(linked, linked.groupBy("root").agg(F.min("doc_id").alias("low")), "root", ["node"]).select("node", "low")
-    copied = nodes.filter("copies > 1").join(linked, "node", "left_anti").select("node", F.col("doc_id").alias("low"))
+    joined = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")
+    lows = _salted(joined, joined.groupBy("root").agg(F.min("doc_id").alias("low")), "root", ["node"]).select("node", "low")
+    copied = nodes.filter("copies > 1").join(lows, "node", "left_anti").select("node", F.col("doc_id").alias("low"))
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).otherwise(F.col("doc_id"))
-    return _salted(meta, linked.unionByName(copied), "node", ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _salted(meta, lows.unionByName(copied), "node", ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

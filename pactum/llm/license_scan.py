@@ -1,13 +1,14 @@
 """License scan: an exact containment join between license notices and text blocks.
 
-Notices are word sets; a text block is a window of two steps, cut every step, so any run
-of up to a step's words lies whole in some block. A notice of up to STEP + 1 words has
-steps of STEP words, a longer one steps of its own length. A block matches a notice when
-it holds at least THRESHOLD of the notice's distinct words. Words of notices are
-ordered by their frequency in the whole corpus, rarest first; a matching block must
-hold one of a notice's first n - ceil(t n) + 1 words, so only those few rare words
-are joined. Candidates pass a length and a positional filter and are then verified
-on the block. DataFrame functions only.
+A notice is the set of its word pairs (two words in a row), so order counts. A text block
+is a window of two steps, cut every step, so any run of up to a step's words lies whole
+in some block. A notice of up to STEP + 1 words has steps of STEP words, a longer one
+steps of its own length. A block matches a notice when it holds at least THRESHOLD of
+the notice's pairs, or all of them where the notice has fewer than SHORT: there a single
+word tells one license from another. Pairs are ordered by their frequency in the whole
+corpus, rarest first; a matching block must hold one of a notice's first n - need + 1
+pairs, so only those few rare pairs are joined. Candidates pass a length and a
+positional filter and are then verified on the block. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
-BLOCK, STEP, THRESHOLD = 64, 32, 0.8
+BLOCK, STEP, THRESHOLD, SHORT = 64, 32, 0.8, 16
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The phrases that any scan reports, and their labels.
@@ -74,13 +75,27 @@ def step_words(notice: str) -> int:
     return STEP if n <= STEP + 1 else max(n, BLOCK)
 
 
-def _hits(docs: DataFrame, words: list[str]) -> DataFrame:
-    """One slim row a document: its word count and the places of the words in ``words``."""
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def needed(size: int, threshold: float = THRESHOLD) -> int:
+    """How many of a notice's ``size`` pairs a block must hold."""
+    return size if size < SHORT else math.ceil(threshold * size - 1e-9)
+
+
+def _hits(docs: DataFrame, words: list[str], pairs: list[str]) -> DataFrame:
+    """One slim row a document: its word count, where each phrase stands (s0, s1, ...), and the
+    places of the pairs in ``pairs``. ``words`` are the words of pairs and phrases."""
     text = ascii_lower(F.col("text"))
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     place = lambda w, i: F.when(w.isin(words), F.struct(i.alias("at"), w.alias("w")))
     slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), found.alias("words"))
-    return slim.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.filter(F.transform("words", place), lambda x: x.isNotNull()).alias("hits"))
+    slim = slim.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.filter(F.transform("words", place), lambda x: x.isNotNull()).alias("hits"))
+    after = lambda j: F.get("hits", j + 1)
+    pair = lambda h, j: F.when(after(j)["at"] == h["at"] + 1, F.struct(h["at"].alias("at"), F.concat(h["w"], F.lit(" "), after(j)["w"]).alias("w")))
+    known = F.filter(F.transform("hits", pair), lambda x: x.isNotNull() & x["w"].isin(pairs))
+    return slim.select("doc_id", "key", "n_words", known.alias("pairs"), *[_starts(p).alias(f"s{i}") for i, p in enumerate(PHRASES)])
 
 
 def _starts(phrase: str) -> Column:
@@ -108,37 +123,39 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshol
     """
     spark = docs.sparkSession
     notices = notices or NOTICES
-    sets = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(notices)]
+    if short := [text for _, text in notices if len(text.split()) < 2]:
+        raise ValueError(f"a notice needs two words: {short}")
+    sets = [(i, label, sorted(set(pairs_of(text.split())))) for i, (label, text) in enumerate(notices)]
     step = [step_words(text) for _, text in notices]
-    vocabulary = sorted({w for *_, ws in sets for w in ws} | {w for p in PHRASES for w in p.split()})
-    slim = stored(_hits(docs, vocabulary), "license-hits")
+    words = sorted({w for _, text in notices for w in text.split()} | {w for p in PHRASES for w in p.split()})
+    slim = stored(_hits(docs, words, sorted({p for *_, ps in sets for p in ps})), "license-hits")
 
-    # Corpus frequency of the notices' words: as many rows as they have words.
-    counts = dict(slim.select(F.explode("hits.w").alias("w")).groupBy("w").count().collect())
-    need = {i: math.ceil(threshold * len(ws) - 1e-9) for i, _, ws in sets}
+    # Corpus frequency of the notices' pairs: as many rows as they have pairs.
+    counts = dict(slim.select(F.explode("pairs.w").alias("w")).groupBy("w").count().collect())
     index, whole = [], []
-    for i, label, ws in sets:
-        ordered = sorted(ws, key=lambda w: (counts.get(w, 0), w))
-        prefix = len(ws) - need[i] + 1
+    for i, label, ps in sets:
+        ordered = sorted(ps, key=lambda w: (counts.get(w, 0), w))
+        need = needed(len(ps), threshold)
+        prefix = len(ps) - need + 1
         index += [(w, i, prefix, step[i]) for w in ordered[:prefix]]
-        whole.append((i, label, len(ws), need[i], ordered))
+        whole.append((i, label, len(ps), need, ordered))
     index = spark.createDataFrame(index, "w string, notice int, prefix int, step int")
     whole = spark.createDataFrame(whole, "notice int, label string, size int, need int, ws array<string>")
 
-    rare = slim.select("key", "n_words", F.explode("hits").alias("x")).select("key", "n_words", "x.w", "x.at")
+    rare = slim.select("key", "n_words", F.explode("pairs").alias("x")).select("key", "n_words", "x.w", "x.at")
     met = rare.join(F.broadcast(index), "w").withColumn("b", F.floor(F.col("at") / F.col("step")))
     met = met.withColumn("block", F.explode(F.filter(F.array("b", F.col("b") - 1), lambda b: b >= 0)))
     met = met.groupBy("key", "n_words", "block", "notice", "prefix", "step").agg(F.countDistinct("w").alias("c")).join(F.broadcast(whole), "notice")
-    length = F.least(2 * F.col("step"), F.col("n_words") - F.col("block") * F.col("step")) >= F.col("need")
+    length = F.least(2 * F.col("step"), F.col("n_words") - 1 - F.col("block") * F.col("step")) >= F.col("need")
     positional = F.col("c") + F.col("size") - F.col("prefix") >= F.col("need")
     candidates = met.filter(length & positional).groupBy("key").agg(F.collect_set(F.struct("block", "step", "label", "size", "need", "ws")).alias("cs"))
 
-    within = lambda c: F.filter("hits", lambda h: (h["at"] >= c["block"] * c["step"]) & (h["at"] < (c["block"] + 2) * c["step"]))
+    within = lambda c: F.filter("pairs", lambda h: (h["at"] >= c["block"] * c["step"]) & (h["at"] < (c["block"] + 2) * c["step"]))
     share = lambda c: F.size(F.array_intersect(F.transform(within(c), lambda h: h["w"]), c["ws"]))
     checked = F.transform(F.coalesce("cs", F.array().cast(candidates.schema["cs"].dataType)), lambda c: F.struct(c["label"].alias("label"), share(c).alias("n"), c["size"].alias("size"), c["need"].alias("need")))
     rows = slim.join(candidates, "key", "left").withColumn("ok", F.filter(checked, lambda c: c["n"] >= c["need"]))
     starts = {p: F.col(f"s{i}") for i, p in enumerate(PHRASES)}
-    rows = rows.withColumns({f"s{i}": _starts(p) for i, p in enumerate(PHRASES)}).withColumn("starts", F.flatten(F.array(*starts.values())))
+    rows = rows.withColumn("starts", F.flatten(F.array(*starts.values())))
     base = F.array_compact(F.array(*[F.when(F.size(starts[p]) > 0, F.lit(label)) for p, label in PHRASES.items()]))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     best = F.coalesce(F.array_max(F.transform("ok", lambda c: c["n"] / c["size"])), F.lit(0.0))

@@ -101,7 +101,7 @@ def _taken(docs: DataFrame, seed: int, block: int = BLOCK, shard_tokens: int = S
         })
 
     placed = place(sized)
-    shards = placed.groupBy("src", "src_quota", "shard").agg(F.sum("size").alias("tokens")).withColumn("wide", F.floor(F.col("shard") / GROUP_SHARDS))
+    shards = placed.filter("size > 0").groupBy("src", "src_quota", "shard").agg(F.sum("size").alias("tokens")).withColumn("wide", F.floor(F.col("shard") / GROUP_SHARDS))
     wide = shards.groupBy("src", "src_quota", "wide").agg(F.sum("tokens").alias("wide_tokens"))
     wide = sainte_lague(wide, ["src"], "wide_tokens", "src_quota", ["wide"]).withColumnRenamed("quota", "wide_quota").drop("src_quota")
     quotas = sainte_lague(shards.drop("src_quota").join(wide, ["src", "wide"]), ["src", "wide"], "tokens", "wide_quota", ["shard"])
@@ -119,7 +119,10 @@ def _taken(docs: DataFrame, seed: int, block: int = BLOCK, shard_tokens: int = S
     # Laid out within (src, shard), whose rows one task sorts; the same keys join the quotas.
     lay = Window.partitionBy("src", "shard").orderBy("at", "place", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
     repeats = Window.partitionBy("src", "shard", "at", "place").orderBy("size", "mark")
-    laid = (place(slim) if carry else placed).withColumns({"start": F.sum("size").over(lay) - F.col("size"), "nth": F.row_number().over(repeats) - 1}).join(quotas, ["src", "shard"])
+    every = place(slim) if carry else placed
+    # Rows without words are never taken, so they need no place in a shard.
+    none = every.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", "place", F.lit(0).alias("nth"), *(["row"] if carry else []), F.lit(0).cast("long").alias("taken"))
+    laid = every.filter("size > 0").withColumns({"start": F.sum("size").over(lay) - F.col("size"), "nth": F.row_number().over(repeats) - 1}).join(quotas, ["src", "shard"])
     end = F.col("start") + F.col("size")
     # The full blocks in seeded order, then the short last one; the block after the chosen ones gives its head.
     rank = lambda k: F.when(k < F.col("full"), F.pmod(F.col("stride") * k + F.col("shift"), F.col("full"))).otherwise(k)
@@ -127,8 +130,8 @@ def _taken(docs: DataFrame, seed: int, block: int = BLOCK, shard_tokens: int = S
     inside = lambda k: F.greatest(F.lit(0), F.least(end, k * block + head(k)) - F.greatest(F.col("start"), k * block))
     first, last = F.floor(F.col("start") / block), F.floor((end - 1) / block)
     part = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda sum_, k: sum_ + inside(k))
-    taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + part).otherwise(F.lit(0)).cast("long")
-    return laid.select("doc_id", "source", "size", "source_size", "target", "place", "nth", *(["row"] if carry else []), taken.alias("taken"))
+    taken = (F.col("passes") * F.col("size") + part).cast("long")
+    return laid.select("doc_id", "source", "size", "source_size", "target", "place", "nth", *(["row"] if carry else []), taken.alias("taken")).unionByName(none)
 
 
 def repeat_by_mix(docs: DataFrame, seed: int = 7) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import remove, set_conf, shared_path, stored
 from .lattice import MARK, vocabulary
-from .spans import Cutter, Dictionary, gather
+from .spans import Cutter, Dictionary, gather, narrow
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY, DICTIONARY_BYTES, CHUNK_BYTES = 1 << 19, 1 << 24, 1 << 12
@@ -111,6 +112,13 @@ def _expand(ids: pa.ListArray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return out, wide[ends] - wide[ends - lengths]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task unpacks few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def best_path(chunk: str, pieces: dict[str, tuple[int, float]], longest: int) -> tuple[float, list[int]]:
     """Score and ids of the best path through one chunk's lattice, as ``best_paths`` has them."""
     score, step = [0.0] * (len(chunk) + 1), [(0, 0)] * len(chunk)
@@ -194,7 +202,7 @@ def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
     rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids").toArrow().combine_chunks()
     column = lambda k: pa.concat_arrays(rows.column(k).chunks) if rows.num_rows else pa.array([], rows.schema.field(k).type)
     flat, lengths = _expand(column("ids"), first)
-    return Dictionary(column("chunk").to_pylist()), (flat, np.cumsum(lengths) - lengths, lengths, column("score").to_numpy(zero_copy_only=False))
+    return Dictionary(column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), column("score").to_numpy(zero_copy_only=False))
 
 
 def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
@@ -229,7 +237,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor()
-        for batch in batches:
+        for batch in slices(batches):
             packed = [None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
 
@@ -240,9 +248,9 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
 
     def run(batches):
         cut, known, (flat, starts, lengths, scores) = shared.value
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches):
             more = batch.column(width)
-            unpack = zstandard.ZstdDecompressor()
             texts = pa.array([None if t is None else unpack.decompress(t) for t in batch.column(at).to_pylist()], pa.binary()).cast(pa.string())
             for low, high, passes in cut.passes(texts):
                 # What this slice was given follows the dictionary, by row and chunk.
@@ -251,7 +259,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
                 row = np.repeat(np.arange(high - low), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
                 own_flat, own_lengths = _expand(given.field("ids"), first)
                 place = {k: len(starts) + i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
-                table = np.concatenate([flat, own_flat]) if len(own_flat) else flat
+                table = np.concatenate([flat.astype(np.int32), own_flat])
                 from_ = np.concatenate([starts, len(flat) + np.cumsum(own_lengths) - own_lengths])
                 size, worth = np.concatenate([lengths, own_lengths]), np.concatenate([scores, given.field("score").to_numpy(zero_copy_only=False)])
                 ids, n, score = [], np.zeros(high - low, np.int64), np.zeros(high - low)

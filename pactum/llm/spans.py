@@ -145,16 +145,22 @@ class Pass:
         return list(n), list(n.values())
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 up in the smallest unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 class Dictionary:
-    """Chunks with what belongs to them, looked up by hash and then compared in full."""
+    """Chunks with what belongs to them, looked up by hash and then compared in full. Its
+    arrays are narrow, because every task holds them."""
 
     def __init__(self, chunks: list[str]):
         held = Pass(chunks)
-        self.codes, self.at, self.lengths = np.append(held.codes, np.uint32(0)), held.at, held.lengths
+        self.codes, self.at, self.lengths = narrow(np.append(held.codes, np.uint32(0))), narrow(held.at), narrow(held.lengths)
         h = held.hashes()
         bits = max(4, int(2 * len(h)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
         slot, left = self._slots(h), np.arange(len(h))
         while len(left):
             free = self.keys[slot[left]] == 0
@@ -183,7 +189,7 @@ class Dictionary:
             slot[left] = (slot[left] + 1) % len(self.keys)
         known = out >= 0
         known &= some.lengths == self.lengths[out]
-        known &= some.equal(self.codes, self.at[out])
+        known &= some.equal(self.codes, self.at[out].astype(np.int64))
         return np.where(known, out, -1)
 
 

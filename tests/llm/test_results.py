@@ -78,16 +78,15 @@ def test_op8_chains_and_threshold(spark):
 
 def test_op2(spark, sf, documents):
     got = {r["doc_id"]: r for r in queries.op2_license_scan(spark, sf).collect()}
-    notices = [(label, set(t.split())) for label, t in license_scan.NOTICES]
+    notices = [(label, set(license_scan.pairs_of(t.split())), license_scan.step_words(t)) for label, t in license_scan.NOTICES]
     for i, r in documents.items():
         ws = re.findall(license_scan.WORD, (r["text"] or "").translate(LOWER))
         base = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
         labels, best = {b for _, b in base}, 1.0 if base else 0.0
-        for start in range(0, len(ws), license_scan.STEP):
-            block = set(ws[start : start + license_scan.BLOCK])
-            for label, notice in notices:
-                share = len(block & notice) / len(notice)
-                if share >= license_scan.THRESHOLD:
+        for label, notice, step in notices:
+            for start in range(0, len(ws), step):
+                share = len(set(license_scan.pairs_of(ws[start : start + 2 * step + 1])) & notice) / len(notice)
+                if share >= (1.0 if len(notice) < license_scan.SHORT else license_scan.THRESHOLD):
                     labels.add(label)
                     best = max(best, share)
         want = (len(ws), len(base), min((k for k, _ in base), default=None), max((k for k, _ in base), default=None), ",".join(sorted({b for _, b in base})), ",".join(sorted(labels)))
