@@ -1,10 +1,11 @@
 """WARC archives in Zstandard: one frame a record, dictionary in a leading skippable frame.
 
 Writing: each task turns its rows into archives of bounded size in the shared folder,
-under names that depend on the partition only, first under a name of their own and
-then moved into place, so a task that runs again replaces its own files. Reading:
-Spark reads whole archives (``binaryFile``), a task decodes frame by frame and checks
-version, headers, lengths and digests of each record.
+under names of their own, and returns their names and record counts. Spark keeps these
+of one attempt a task only, and reading follows this list, so what a lost or repeated
+attempt left in the folder is never read. Reading: a task decodes an archive frame by
+frame and checks version, headers, lengths and digests of each record, and their
+number. Archives of others are read from a folder (``binaryFile``) by the same steps.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_path, stored
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Uncompressed bytes after which a task starts its next archive.
@@ -138,14 +138,12 @@ def write(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYTES)
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(directory)
-        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+        held, size = [], 0
 
         def flush():
-            name = f"part-{part:06d}-{count:06d}.warc.zst"
-            draft = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-            with fs.open_output_stream(draft) as f:
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            with fs.open_output_stream(posixpath.join(base, name), compression=None) as f:
                 f.write(archive(held))
-            fs.move(draft, posixpath.join(base, name))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], ["path", "records"])
 
         for batch in batches:
@@ -154,7 +152,7 @@ def write(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYTES)
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush()
-                    count, held, size = count + 1, [], 0
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -163,44 +161,72 @@ def write(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYTES)
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long")
 
 
+NAMES = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "error"]
+TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
+
+
+def _rows(content: bytes, expected: int | None = None) -> Iterator[tuple]:
+    """The records of an archive as rows, errors too; ``expected`` is how many there must be."""
+    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">") or -1) if x else None
+    n = 0
+    try:
+        for data in frames(content):
+            n += 1
+            try:
+                r = parse(data)
+                own = None if r["WARC-Record-ID"] == "<urn:page:>" else number(r["WARC-Record-ID"])
+                yield own, r.get("WARC-Target-URI"), r["WARC-Type"], number(r.get("WARC-Refers-To")), r["payload"] if r["WARC-Type"] == "response" else None, r["bytes"], r["digest"], None
+            except ValueError as e:
+                yield (*[None] * 7, str(e))
+        if expected is not None and n != expected:
+            yield (*[None] * 7, f"{n} records instead of {expected}")
+    except (ValueError, zstandard.ZstdError) as e:
+        yield (*[None] * 7, str(e))
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    out = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), TYPES, strict=True)], NAMES)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"")
+        if size > 4 << 20 or len(held) >= 5000:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
+
 def read(spark: SparkSession, directory: str) -> DataFrame:
     """One row a record of the archives in ``directory``: page_id, url, record_type, refers_to,
     payload (null for revisits), payload_bytes, payload_digest, error. A record that
     fails validation has its error there; an archive cut short ends in an error row."""
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">") or -1) if x else None
-    names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "error"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
-
-    def rows(content):
-        try:
-            for data in frames(content):
-                try:
-                    r = parse(data)
-                    own = None if r["WARC-Record-ID"] == "<urn:page:>" else number(r["WARC-Record-ID"])
-                    yield own, r.get("WARC-Target-URI"), r["WARC-Type"], number(r.get("WARC-Refers-To")), r["payload"] if r["WARC-Type"] == "response" else None, r["bytes"], r["digest"], None
-                except ValueError as e:
-                    yield (*[None] * 7, str(e))
-        except (ValueError, zstandard.ZstdError) as e:
-            yield (*[None] * 7, str(e))
-
-    def batch_of(held):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                held, size = [], 0
-                for row in rows(content.as_py()):
-                    held.append(row)
-                    size += len(row[4] or b"")
-                    if size > 4 << 20 or len(held) >= 5000:
-                        yield batch_of(held)
-                        held, size = [], 0
-                if held:
-                    yield batch_of(held)
+                yield from _batches(_rows(content.as_py()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(directory).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string")
+    return files.mapInArrow(run, SCHEMA)
+
+
+def read_written(manifest: DataFrame, directory: str) -> DataFrame:
+    """``read`` of the archives that ``write`` returned, and of no other; an archive whose records
+    are not as many as were written ends in an error row."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(directory)
+        for batch in batches:
+            for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(posixpath.join(base, path), compression=None) as f:
+                    yield from _batches(_rows(f.read(), n))
+
+    # The list is a small table, dealt out so that a task decodes about two archives.
+    dealt = manifest.select("path", "records").repartition(max(1, -(-manifest.count() // 2)))
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -209,15 +235,12 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     Null html is an empty payload. Rows that repeat id and payload are each a record of
     the same kind. An empty table gives an empty result. Extra columns are ignored.
     """
-    spark = pages.sparkSession
-    directory = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    directory = shared_path(pages.sparkSession, "warc")
     written = write(plan_revisits(pages.select("page_id", "url", "html")), directory)
-    expected = written.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    out = read(spark, directory)
-    if not expected:
-        out = out.limit(0)
-    return out
+    return read_written(stored(written, "warc-manifest"), directory)
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
-    return archive_round_trip(pages).filter("error is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The digest columns of each page; a record that fails validation fails the query."""
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("record_type"))
+    return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
