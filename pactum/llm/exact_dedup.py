@@ -60,16 +60,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Columns doc_id, keep_id, group_size, kept, text_sha256; dropped rows too.
 
     Texts are equal when identical without ``[\\x20\\x09-\\x0D]``; the row with the
-    most code points, then the smallest id, stays. Null text is empty text. Rows
-    that repeat both id and text are one document (they count in ``group_size``
-    and give one row). A null id loses against any other. Extra columns are ignored.
+    most code points, then the smallest id, stays. Null text is empty text. Each row
+    gives a row; rows that repeat both id and text share their verdict. A null id
+    loses against any other. Extra columns are ignored.
     """
     rows = stored(digests(docs, id_col, text_col), "exact-digests")
     lowest, best = merge_runs(rows, runs, fan_in)
     # A key has at most one row a run here, and at most its share of the copies in a run.
     back = lowest.select("run", *KEY).join(best, KEY)
     kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == F.col("best.n_chars"))
-    return _runs(rows, runs).join(back, ["run", *KEY]).select(
+    every = _runs(rows, runs).join(back, ["run", *KEY]).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select(
         "doc_id", F.col("best.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256",
     )
 

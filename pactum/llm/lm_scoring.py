@@ -4,7 +4,14 @@ The vocabulary is fixed and its scores give every piece a first weight. Words of
 training documents, counted over the whole corpus, turn these into piece
 probabilities by one expectation step: each word adds its expected piece uses over
 all its segmentations. A text's probability is the product of its words' marginals
-(log-space forward recursion) and that of its end, because no piece crosses words.
+(forward recursion, rescaled with the logarithm of the scale carried beside it) and
+that of its end, because no piece crosses words.
+
+The public vocabulary used here is a BPE model: its scores are negative merge ranks, not
+log-probabilities, which is why they only give first weights. A character that is no
+piece has the fixed weight UNKNOWN beside the pieces' probabilities, which sum to one
+without it; for texts of known characters the word model is thus a distribution up to
+that weight.
 
 The lattice runs once per distinct word, wherever Spark has dealt that word.
 Texts then need word scores: the commonest words (at most DICTIONARY of them, of at
@@ -138,8 +145,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Tokens are words and one end a text; null text has the end only. Learns from the
-    documents outside the held-out fold and scores all. Rows that repeat both id and
-    text give one row. Extra columns are ignored.
+    documents outside the held-out fold and scores all. Each row gives a row, repeated ones
+    too; texts meet their words under 128 bits of id and text. Extra columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
@@ -152,7 +159,7 @@ def score(docs: DataFrame) -> DataFrame:
     base = lambda c: np.log10((c + 0.5) / divisor)
     shared = spark.sparkContext.broadcast((places, uses, base(uses), lps, float(base(train_docs)), model.end / math.log(10), train_docs))
     names = ["key", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
         places, uses, bases, lps, base_end, lp_end, n_ends = shared.value
@@ -165,10 +172,10 @@ def score(docs: DataFrame) -> DataFrame:
             for doc_id, text, held in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
                 ws = _words(text := text.as_py())
                 at = np.fromiter((find(w, -1) for w in ws), np.int64, len(ws))
-                key = xxhash.xxh3_64_intdigest(f"{doc_id}\0{'' if text is None else text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                key = xxhash.xxh3_128_digest(f"{doc_id}\0{'' if text is None else text}".encode("utf-8", "surrogatepass"))
                 known = at[at >= 0]
                 # A text's own row meets no word: words hold no space.
-                rows.append((key, b" %d" % key, 0, doc_id, held, len(ws) + 1, int((uses[known] > 0).sum()) + (n_ends > 0), float(bases[known].sum()) + base_end, float(lps[known].sum()) + lp_end))
+                rows.append((key, b" " + key, 0, doc_id, held, len(ws) + 1, int((uses[known] > 0).sum()) + (n_ends > 0), float(bases[known].sum()) + base_end, float(lps[known].sum()) + lp_end))
                 if len(known) < len(ws):
                     rest = Counter(ws[i] for i in np.flatnonzero(at < 0))
                     rows += [(key, w, n, None, None, 0, 0, 0.0, 0.0) for w, n in rest.items()]
@@ -178,7 +185,7 @@ def score(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    parts = docs.mapInArrow(run, "key long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = docs.mapInArrow(run, "key binary, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     met = parts.join(scored.select("word", "train", "lp"), "word", "left")
     base_rest = F.log10((F.col("train") + 0.5) / F.lit(float(divisor)))
     own = F.col("times") == 0
@@ -189,4 +196,5 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.col("lp"))).alias("score"),
     )
     each = lambda c, kind: (F.col(c) / F.col("m")).cast(kind).alias(c)
+    sums = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return sums.select("doc_id", "held_out", each("n_tokens", "long"), each("n_known", "long"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), each("base_score", "double"), each("score", "double"))

@@ -25,7 +25,7 @@ def docs(spark):
 
 OPERATORS = {
     "piece_encoding": piece_encoding.round_trip, "license_scan": license_scan.scan, "mixing": mixing.mix, "language_id": language_id.identify,
-    "jaccard_join": jaccard_join.similar_groups, "fingerprints": fingerprints.fingerprints,
+    "jaccard_join": jaccard_join.similar_groups, "fingerprints": fingerprints.fingerprints, "exact_dedup": exact_dedup.exact_groups, "lm_scoring": lm_scoring.score,
 }
 
 
@@ -35,16 +35,9 @@ def test_a_row_for_each_row(docs, name):
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter(i for i, _ in TEXTS)
 
 
-@pytest.mark.parametrize("name", ["exact_dedup", "lm_scoring"])
-def test_a_row_for_each_distinct_row(docs, name):
-    out = {"exact_dedup": exact_dedup.exact_groups, "lm_scoring": lm_scoring.score}[name](docs)
-    assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter(i for i, _ in set(TEXTS))
-
-
-@pytest.mark.parametrize("name", [*OPERATORS, "exact_dedup", "lm_scoring"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
-    f = (OPERATORS | {"exact_dedup": exact_dedup.exact_groups, "lm_scoring": lm_scoring.score})[name]
-    assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
 
 
 @pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
