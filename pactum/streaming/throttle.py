@@ -141,6 +141,7 @@ class Budget(StatefulProcessor):
 
 def budget_stream(calls: DataFrame, max_calls: int, max_cost: float, max_failures: int, idle_hours: int = 24) -> DataFrame:
     """(key, seq, allowed, reason) of a stream (key, seq, at, ok, cost). Totals of a run live until
-    it has been idle for ``idle_hours`` of processing time."""
+    it has been idle for ``idle_hours`` of processing time. Such state keeps a query awake:
+    run it by a processing-time trigger, not until the input ends."""
     budget = Budget(max_calls, max_cost, max_failures, idle_hours * 3_600_000)
     return calls.groupBy("key").transformWithStateInPandas(budget, outputStructType="key string, seq long, allowed boolean, reason string", outputMode="Append", timeMode="ProcessingTime")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pactum.storage import set_conf
 from pactum.streaming import throttle
 
 
@@ -46,3 +47,58 @@ def test_windows_on_a_stream(spark, sf, tmp_path):
     run.awaitTermination(120)
     rows = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert rows(spark.table("usage")) == rows(throttle.windowed_usage(batch, "1 day"))
+
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _run(spark, tmp_path, schema, parts, make, name):
+    """Rows of a streaming query over files that come one batch at a time, and its last progress."""
+    source = tmp_path / "in"
+    source.mkdir()
+    with set_conf(spark, *STORE):
+        stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(source)))
+        for rows in parts:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+            run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start(str(tmp_path / "out"))
+            assert run.awaitTermination(100) and run.exception() is None
+    return spark.read.parquet(str(tmp_path / "out")), run.lastProgress
+
+
+def test_throttle_stream_agrees_with_its_batch_twin(spark, tmp_path):
+    rng = random.Random(8)
+    rows = sorted((("ab")[rng.randrange(2)], rng.randrange(600), rng.random() < 0.5) for _ in range(120))
+    rows.sort(key=lambda r: (r[1], r[2]))
+    parts = [rows[:50], rows[50:90], rows[90:], [("z", 100_000, True)], [("z", 100_001, True)]]
+    cut = [max(r[1] for r in part) for part in parts[:2]]
+    parts[1:3] = [[r for r in rows if cut[0] < r[1] <= cut[1]], [r for r in rows if r[1] > cut[1]]]
+    parts[0] = [r for r in rows if r[1] <= cut[0]]
+    schema = "key string, at long, ok boolean"
+    out, progress = _run(spark, tmp_path, schema, parts, lambda s: throttle.stream(s, 3, 60, late="5 minutes"), "throttle")
+    every = [r for part in parts for r in part]
+    want = throttle.replay(spark.createDataFrame(every, schema), 3, 60)
+    rows_of = lambda df: sorted(tuple(r) for r in df.select("key", "at", "ok", "allowed", "left_over").collect())
+    assert rows_of(out) == rows_of(want)
+    assert progress.stateOperators[0].customMetrics is not None
+
+
+def test_silent_keys_leave_no_state(spark, tmp_path):
+    schema = "key string, at long, ok boolean"
+    parts = [[(f"k{i}", i, True) for i in range(30)], [("late", 50_000, True)], [("late", 50_001, True)]]
+    _, progress = _run(spark, tmp_path, schema, parts, lambda s: throttle.stream(s, 3, 60, late="1 minute"), "silent")
+    # The list of the one live key is left, beside timers and row counts of that key.
+    assert progress.stateOperators[0].numRowsTotal <= 6
+
+
+def test_budget_stream(spark, tmp_path):
+    schema = "key string, seq long, at long, ok boolean, cost double"
+    calls = [("r", i, i, i not in (4, 5), 0.2) for i in range(8)] + [("s", i, i, True, 0.6) for i in range(4)]
+    out, _ = _run(spark, tmp_path, schema, [calls[:3], calls[3:]], lambda s: throttle.budget_stream(s, 6, 1.0, 2), "budget")
+    got = {(r["key"], r["seq"]): (r["allowed"], r["reason"]) for r in out.collect()}
+    assert [got["r", i] for i in range(8)] == [(True, "")] * 6 + [(False, "calls")] * 2
+    assert [got["s", i] for i in range(4)] == [(True, "")] * 2 + [(False, "cost")] * 2
+
+
+def test_denied_once(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 5), ("b", 1)], "key string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    assert throttle.denied_once(rows, "1 minute").isStreaming is False
