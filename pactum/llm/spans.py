@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of texts that one pass takes; bounds the memory of a task, not what it reads.
-PASS_CHARS = 2_000_000
+PASS_CHARS = 1_000_000
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
