@@ -15,6 +15,7 @@ from ..operators import classify, compare, meta, normalize, portfolio, rules, sc
 from ..sources.catalog import to_frame
 from ..storage import stored
 from ..streaming import throttle
+from . import analysis
 from .neutral import TYPES
 
 QUERIES: dict = {}
@@ -662,3 +663,16 @@ def doc_risk_scorecard(spark, sf_dir):
     rows = rows.withColumn("score", F.round(F.greatest(F.lit(0.0), 100.0 - 100.0 * F.col("penalty") / (F.col("penalty") + scoring.HALF)), 1))
     labels = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
     return rows.join(labels, "doc_id", "left").select("doc_id", "n_lines", "n_hits", "n_missing", "penalty", "score", scoring.band(F.col("score"), F.col("red") > 0).alias("band"), "quality")
+
+
+@query()
+def contract_analysis(spark, sf_dir):
+    """The whole analysis, documents taken as contracts: clauses, findings, what grounding
+    dropped, score and band of each."""
+    contracts = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), F.col("text").alias("raw_text"))
+    found = analysis.analyse(contracts, TYPES)
+    count = lambda df, name: df.groupBy("contract_id").agg(F.count(F.lit(1)).alias(name))
+    rows = found.scores
+    for df, name in ((found.clauses, "n_clauses"), (found.findings, "n_findings"), (found.dropped, "n_dropped")):
+        rows = rows.join(count(df, name), "contract_id", "left").fillna(0, [name])
+    return rows.select("contract_id", "n_clauses", "n_findings", "n_dropped", "total", "red_lines", "score", "band")

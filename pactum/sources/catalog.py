@@ -20,9 +20,11 @@ TR = "a-zçğıöşü"
 #: Turkish suffixes, of which the first that fits is cut, and final
 #: consonants that soften before a suffix.
 SUFFIXES = (
-    "mesi ması mek mak me ma larinin lerinin larında lerinde larindan lerinden ları leri lar ler sının sinin sunun sünün "
-    "nın nin nun nün ında inde unda ünde ının inin unun ünün dan den tan ten sı si su sü ın in un ün da de ta te ı i u ü"
-).split()
+    "mesi", "ması", "mek", "mak", "me", "ma", "larinin", "lerinin", "larında", "lerinde", "larindan", "lerinden",
+    "ları", "leri", "lar", "ler", "sının", "sinin", "sunun", "sünün", "nın", "nin", "nun", "nün", "ında", "inde",
+    "unda", "ünde", "ının", "inin", "unun", "ünün", "dan", "den", "tan", "ten", "sı", "si", "su", "sü", "ın", "in",
+    "un", "ün", "da", "de", "ta", "te", "ı", "i", "u", "ü",
+)
 SOFTENING = {"k": "[kğ]", "p": "[pb]", "ç": "[çc]", "t": "[td]", "g": "[gğ]"}
 MIN_STEM = 5
 
