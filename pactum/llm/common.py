@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import remove, set_conf, shared_dir, shared_path, stored
+from ..storage import remove, shared_dir, shared_path, stored
 
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "remove", "set_conf", "shared_dir", "shared_path", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "remove", "shared_dir", "shared_path", "stored", "table"]
 
 #: ``[\x20\x09-\x0D]``: the white space that the word rules split on.
 SPACES = " \t\n\x0b\x0c\r"

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, set_conf, shared_path, stored
+from .common import remove, shared_path, stored
 from .lattice import MARK, vocabulary
 from .spans import Cutter, Dictionary, gather, narrow
 
@@ -40,8 +40,8 @@ DICTIONARY, DICTIONARY_BYTES, CHUNK_BYTES = 1 << 19, 1 << 24, 1 << 12
 LONG_CHUNK = 512
 #: Distinct chunks that a counting task holds.
 HOLD = 300_000
-#: Characters of chunks whose edges a task groups; it groups them in memory.
-LATTICE_CHARS, LATTICE_GROUPS = 120_000, 120_000
+#: Characters of chunks whose edges a task groups.
+LATTICE_CHARS = 250_000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 
@@ -211,8 +211,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
     spark = docs.sparkSession
     counted, known = shared_path(spark, "pieces-chunks"), shared_path(spark, "pieces-lexicon")
     words = stored(count_chunks(docs, "text", path), "", counted)
-    with set_conf(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", LATTICE_GROUPS):
-        lexicon = stored(best_paths(words, path), "", known)
+    lexicon = stored(best_paths(words, path), "", known)
     remove(counted)
     first = piece_table(spark, path)[2]
     shared = spark.sparkContext.broadcast((cutter(path), *_common(lexicon, first)))
