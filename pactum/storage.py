@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to Python at a time while a table is stored.
+BATCH_ROWS = 2_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``. Where it names
     none, a session on one machine gets a folder of its own; on a cluster it is an error,
@@ -46,7 +50,8 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     checkpoints; a caller that gives ``path`` may ``remove`` it sooner."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
-    with set_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    # Small batches: rows here hold whole texts, and each task has some batches in memory.
+    with set_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), set_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
