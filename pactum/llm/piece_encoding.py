@@ -39,7 +39,7 @@ DICTIONARY, DICTIONARY_BYTES, CHUNK_BYTES = 1 << 19, 1 << 24, 1 << 12
 #: Characters above which the fold over a chunk is a loop; the path is the same.
 LONG_CHUNK = 512
 #: Distinct chunks that a counting task holds.
-HOLD = 300_000
+HOLD = 100_000
 #: Characters of chunks whose edges a task groups.
 LATTICE_CHARS = 250_000
 #: Score of a character that is no piece: there is no other edge over it.
