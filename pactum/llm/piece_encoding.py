@@ -199,10 +199,9 @@ def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
         if held > DICTIONARY or size > DICTIONARY_BYTES:
             break
         least = r["step"]
-    rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids").toArrow().combine_chunks()
-    column = lambda k: pa.concat_arrays(rows.column(k).chunks) if rows.num_rows else pa.array([], rows.schema.field(k).type)
-    flat, lengths = _expand(column("ids"), first)
-    return Dictionary(column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), column("score").to_numpy(zero_copy_only=False))
+    rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids").toArrow()
+    flat, lengths = _expand(rows.column("ids").combine_chunks(), first)
+    return Dictionary(rows.column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), rows.column("score").to_numpy())
 
 
 def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
