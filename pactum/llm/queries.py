@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, mixing, piece_encoding, warc
+from . import chat, divergence, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, piece_encoding, warc, whitening
 from .common import table
 
 
@@ -55,7 +55,19 @@ def op10_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_lm_scoring, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup, op10_document_fingerprints)}
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_lm_scoring, op4_source_mixing, op5_warc, op6_language_id, op7_chat_formatting, op8_ngram_jaccard_join, op9_exact_dedup, op10_document_fingerprints, op11_source_divergence, op12_packing, op13_whitening)}
 
 ORACLE_SQL = {
     "op5_warc": r"""
@@ -67,4 +79,23 @@ SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
      k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+     v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+     c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+     n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+     g AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source)),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + v.v)::HUGEINT)::BIGINT AS p,
+                  (1 + (1000000000::HUGEINT * (k.c + 1)) // (v.n + v.v)::HUGEINT)::BIGINT AS q
+           FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+     f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM e QUALIFY part = 'pair' OR rank <= 200""",
 }
