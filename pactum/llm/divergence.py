@@ -11,15 +11,20 @@ on its way goes through decimals.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import ascii_lower, stored
+from .common import stored
 
-#: What stands between terms: ASCII that is no letter.
-GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT, LEAST_DOCS, TOP_TERMS = 1_000_000_000, 3, 200
+#: Distinct terms, and sums of pairs, that a task holds before it passes them on; cells of a block.
+HELD_TERMS, HELD_CELLS, BLOCK_CELLS = 1 << 18, 1 << 21, 1 << 17
 
 
 def _per(a: Column, b: Column) -> Column:
@@ -37,14 +42,41 @@ def excess(p: Column, q: Column) -> Column:
     return _per((p - q) * (p - q), q)
 
 
+#: Letters to lower case, all other ASCII to blanks, the rest as it is.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a term and documents that hold it. Terms
-    of a text are sorted, so that the first of equal ones stands for its document and one
-    aggregation, with partial sums before the shuffle, counts both."""
-    terms = F.sort_array(F.filter(F.split(ascii_lower(F.col("text")), GAPS), lambda t: t != ""))
-    marked = let(terms, lambda ts: F.slice(F.zip_with(ts, F.concat(F.array(F.lit("")), ts), lambda t, before: F.struct(t.alias("term"), (t != before).cast("int").alias("first"))), F.lit(1), F.size(ts)))
-    rows = docs.select("lang", "source", F.explode(marked).alias("x"))
-    return rows.groupBy("lang", "source", "x.term").agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("docs"))
+    """(lang, source, term, n, docs): occurrences of a term and documents that hold it. Tasks count
+    by dictionary, in bytes: term characters are letters and all that is no ASCII, so UTF-8
+    is cut only between characters. What a task holds is bounded; Spark sums the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        entries = 0
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group, text in zip(zip(langs, sources, strict=True), batch.column(2), strict=True):
+                terms = text.as_py().translate(_FOLD).split()
+                uses, docs = held.get(group) or held.setdefault(group, (Counter(), Counter()))
+                entries -= len(uses)
+                uses.update(terms)
+                docs.update(set(terms))
+                entries += len(uses)
+                if entries >= HELD_TERMS:
+                    yield from _emit(held)
+                    held, entries = {}, 0
+        yield from _emit(held)
+
+    rows = docs.select("lang", "source", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _emit(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (uses, docs) in held.items():
+        terms = pa.array(list(uses), pa.binary()).cast(pa.string())
+        k = len(terms)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), terms, pa.array(list(uses.values()), pa.int64()), pa.array([docs[t] for t in uses], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
 
 def count_vectors(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -65,9 +97,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
     Null text, lang and source are empty strings; rows that repeat count as often. A
     source without terms has pairs like any other; a language without kept terms has
     pairs of value 0; a language of one source has no rows; the empty table gives none.
-    The pairs returned grow with the square of the sources of a language, as asked for;
-    of a distinct vector only those with a count on either side are evaluated, since pairs
-    of two zeros have one value for all vectors.
+    The pairs returned grow with the square of the sources of a language, as asked for, and so
+    does the work on a distinct vector; what a task holds does not.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(blank("lang"), blank("source"), "text")
@@ -92,20 +123,48 @@ def _sizes(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     vectors = kept.groupBy("lang", "vector").agg(F.count(F.lit(1)).alias("alike"))
     sides = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "size", "zero"))).alias("sides"))
-    # Shares of all sources, once a distinct vector.
-    shares = let(F.map_from_entries("vector"), lambda n: F.transform("sides", lambda s: let(F.try_element_at(n, s["source"]), lambda c: F.struct(
-        s["source"].alias("source"), s["zero"].alias("zero"), F.when(c.isNull(), s["zero"]).otherwise(share(c, s["size"])).alias("p"), c.isNotNull().alias("has")))))
-    rows = vectors.join(sides, "lang").select("lang", "alike", shares.alias("shares"))
-    rows = rows.select("lang", "alike", "shares", F.explode("shares").alias("a"))
-    other = F.filter("shares", lambda b: (b["source"] != F.col("a.source")) & (b["has"] | F.col("a.has")))
-    rows = rows.select("lang", "alike", "a", F.explode(other).alias("b"))
-    more = excess(F.col("a.p"), F.col("b.p")) - excess(F.col("a.zero"), F.col("b.zero"))
-    found = rows.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(F.sum(F.col("alike") * more).alias("more"))
-    x, y = groups.alias("x"), groups.alias("y")
-    none = F.when(F.col("x.terms") > 0, F.col("x.terms") * excess(F.col("x.zero"), F.col("y.zero"))).otherwise(0)
-    every = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.source") != F.col("y.source"))).select("x.lang", "x.source", F.col("y.source").alias("item"), none.alias("none"))
-    value = (F.col("none") + F.coalesce("more", F.lit(0))).alias("value")
-    return _ranked(every.join(found, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", value))
+    # Shares of all sources, once a distinct vector, in order of sources.
+    shares = let(F.map_from_entries("vector"), lambda n: F.transform("sides", lambda s: let(F.try_element_at(n, s["source"]), lambda c: F.when(c.isNull(), s["zero"]).otherwise(share(c, s["size"])))))
+    found = vectors.join(sides, "lang").select("lang", "alike", shares.alias("shares")).mapInArrow(_pair_sums, "lang string, i int, j int, value long")
+    found = found.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    named = sides.select("lang", F.posexplode("sides").alias("i", "x")).select("lang", "i", "x.source")
+    other = named.select("lang", F.col("i").alias("j"), F.col("source").alias("item"))
+    every = named.join(other, "lang").filter("i != j").join(found, ["lang", "i", "j"], "left")
+    return _ranked(every.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value")))
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, alike, shares) to (lang, i, j, value): divergence of side i from side j, summed over
+    the vectors of a task. Sums of squares over shares that add up to 10^9 fit a long."""
+    held: dict = {}
+    cells = 0
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        codes, alike = langs.indices.to_numpy(), batch.column(1).to_numpy()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            at = np.flatnonzero(codes == code)
+            rows = batch.column(2).take(pa.array(at))
+            all_shares, weights = rows.flatten().to_numpy().reshape(len(at), -1), alike[at]
+            width = all_shares.shape[1]
+            block = max(1, BLOCK_CELLS // width)
+            for start in range(0, len(at), block):
+                q, w = all_shares[start : start + block], weights[start : start + block]
+                for i in range(width):
+                    more = w @ ((q[:, i : i + 1] - q) ** 2 // q)
+                    if (lang, i) in held:
+                        held[lang, i] += more
+                    else:
+                        held[lang, i], cells = more, cells + width
+                    if cells >= HELD_CELLS:
+                        yield from _sums(held)
+                        held, cells = {}, 0
+    yield from _sums(held)
+
+
+def _sums(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, i), values in held.items():
+        k = len(values)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(values)], ["lang", "i", "j", "value"])
 
 
 def _terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
