@@ -57,18 +57,28 @@ def client_ip(forwarded: Column, socket: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), socket)
 
 
+#: What messages of a failed model call say, quota first: some providers
+#: answer a used-up quota with 403.
+QUOTA_WORDS = ("quota", "exhausted", "429", "rate limit", "kota", "insufficient", "billing")
+AUTH_WORDS = ("401", "403", "invalid", "authentication", "api key")
+MODEL_WORDS = ("404", "not found", "no longer available", "not supported", "desteklenmiyor", "kabul edilmedi", "model_not_found")
+
+
 def error_class(message: Column) -> Column:
-    """quota before auth before model before other: the first class that applies."""
-    m = F.lower(message)
-    return (
-        F.when(m.rlike("quota|rate.?limit|insufficient|429|402"), "quota").when(m.rlike("401|403|auth|api.?key|permission"), "auth").when(m.rlike("404|model"), "model").otherwise("other")
-    )
+    """quota, auth, model or other: the first class of which a phrase stands in the message."""
+    says = lambda words: F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(words))
+    return F.when(says(QUOTA_WORDS), "quota").when(says(AUTH_WORDS), "auth").when(says(MODEL_WORDS), "model").otherwise("other")
+
+
+def json_text(text: Column) -> Column:
+    """The text of the JSON object in a reply: from the first brace to the last, so fences and
+    words around it are gone, and fences inside strings stay. Null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object in a reply that may be fenced or have words around it; null if none."""
-    bare = F.regexp_replace(text, r"(?s)^.*?```(?:json)?\s*|\s*```.*$", "")
-    return F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")))
+    """``json_text`` as a variant; null where it does not parse."""
+    return F.try_parse_json(json_text(text))
 
 
 def text_layer_too_thin(text: Column, pages: Column, least: int = 120) -> Column:
@@ -82,8 +92,44 @@ def first_sentence(text: Column, limit: int = 300) -> Column:
     return F.when(found != "", found).otherwise(F.trim(head))
 
 
+def bare_quote(quote: Column) -> Column:
+    """A claimed quote without white space and quotation marks around it."""
+    return F.btrim(F.btrim(F.btrim(F.regexp_replace(quote, rf"^{WIDE_SPACE}|{WIDE_SPACE}$", ""), F.lit('"')), F.lit("«»")), F.lit("“”"))
+
+
+def folded_places(s: Column) -> Column:
+    """struct<folded, places>: ``s`` folded for matching, and for each of its characters the place
+    (0-based, in code points) of the one in ``s`` that it stands for. Each character folds to
+    one; of a run of white space the first is kept, as a blank, and none at the ends."""
+    same_length = F.regexp_replace(F.translate(tr_lower(s), QUOTES, PLAIN_QUOTES), WIDE_SPACE[:-1], " ")
+    kept = let(F.split(same_length, ""), lambda c: F.filter(F.transform(c, lambda x, i: F.when((x != " ") | ((i > 0) & (F.get(c, i - 1) != " ")), F.struct(x.alias("c"), i.alias("i")))), lambda x: x.isNotNull()))
+    return let(kept, lambda k: F.struct(F.rtrim(F.array_join(F.transform(k, lambda x: x["c"]), "")).alias("folded"), F.transform(k, lambda x: x["i"]).alias("places")))
+
+
+def quote_span(hay: Column, quote: Column, least: int = 12, index: Column | None = None) -> Column:
+    """struct<start, end> (0-based, in code points of ``hay``) of a claimed quote: where it stands as
+    it is, else where it stands folded, carried back through the places that ``folded_places``
+    kept (``index``, where they are at hand). Null where it stands nowhere, and for quotes under
+    ``least`` characters, which are never evidence."""
+    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def look(bare: Column) -> Column:
+        at = F.instr(hay, bare)
+
+        def folded(q: Column) -> Column:
+            def back(f: Column) -> Column:
+                j = F.instr(f["folded"], q)
+                return F.when(j > 0, span(F.get(f["places"], j - 1), F.get(f["places"], j + F.length(q) - 2) + 1))
+
+            return let(index if index is not None else folded_places(hay), back)
+
+        return F.when(F.length(bare) >= least, F.when(at > 0, span(at - 1, at - 1 + F.length(bare))).otherwise(let(fold(bare), folded)))
+
+    return let(bare_quote(quote), look)
+
+
 def quote_found(hay: Column, quote: Column, least: int = 12) -> Column:
     """Whether a claimed quote stands in ``hay``: exactly, or after folding both. Quotes
     under ``least`` characters are never evidence."""
-    bare = F.regexp_replace(F.trim(quote), "^[\"«»“”]+|[\"«»“”]+$", "")
+    bare = bare_quote(quote)
     return F.coalesce((F.length(bare) >= least) & (F.contains(hay, bare) | F.contains(fold(hay), fold(bare))), F.lit(False))

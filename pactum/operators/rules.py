@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import deaccent, first_sentence, fold, let, tr_lower
 from ..schemas import FINDING_TYPES, SEVERITIES, severity_rank
 from ..sources.catalog import PLACEHOLDER, ClauseType
-from .classify import buyer_pattern
+from .classify import buyer_pattern, matches, pattern_of
 
 #: Phrases that cannot be measured. The first kind weakens the buyer
 #: anywhere; the second is a vague duration and counts only for codes bound to time.
@@ -33,9 +33,9 @@ def reversed_direction(sentence: Column) -> Column:
     return sentence.rlike(FORBIDS) | sentence.rlike(CONSENT)
 
 
-def sentence_around(text: Column, start: Column, end: Column) -> Column:
-    """The sentence that holds [start, end) (0-based). To the left the separators count in
-    order of kind, not of nearness; to the right the first one ends it."""
+def sentence_span(text: Column, start: Column, end: Column) -> Column:
+    """struct<start, end> of the sentence that holds [start, end) (0-based). To the left the
+    separators count in order of kind, not of nearness; to the right the first one ends it."""
     left = F.greatest(F.lit(0), start - WINDOW)
     before = F.substring(text, left + 1, start - left)
     begin = F.greatest(F.lit(0), start - BACK)
@@ -45,7 +45,23 @@ def sentence_around(text: Column, start: Column, end: Column) -> Column:
     after = F.substring(text, end + 1, F.lit(WINDOW))
     stop = F.regexp_extract(after, r"(?s)^(.*?(?:[.;]\s|\n\n))", 1)
     finish = end + F.when(stop != "", F.length(stop)).otherwise(F.least(F.length(after), F.lit(AHEAD)))
-    return F.trim(F.substring(text, begin + 1, finish - begin))
+    return F.struct(begin.cast("int").alias("start"), finish.cast("int").alias("end"))
+
+
+def sentence_around(text: Column, start: Column, end: Column) -> Column:
+    """The sentence that holds [start, end), trimmed."""
+    return let(sentence_span(text, start, end), lambda s: F.trim(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+
+
+def first_match(low: Column, raw: str, buyers: Column | None = None) -> Column:
+    """struct<start, end> (0-based, in code points) of the first place where a red-line pattern
+    matches lower-cased text, or null. The place is that of the match itself: an equal string
+    before it, which the pattern passes over, does not count."""
+    p = pattern_of(raw, buyers)
+    lead = pattern_of(f"^(.*?)(?:{raw})", buyers)
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    at = F.length(F.regexp_extract(low, lead, 1) if isinstance(lead, str) else F.call_function("regexp_extract", low, lead, F.lit(1)))
+    return F.when(matches(low, raw, buyers), let(at, lambda i: F.struct(i.alias("start"), (i + F.length(F.regexp_substr(low, lit(p)))).alias("end"))))
 
 
 def rule_frame(spark: SparkSession, types: list[ClauseType]) -> DataFrame:
@@ -62,15 +78,26 @@ def _filled(patterns: Column, buyers: str | None) -> Column:
 
 
 def positive_red_lines(classified: DataFrame, types: list[ClauseType], key: str = "contract_id", buyers: str | None = None) -> DataFrame:
-    """(key, order_index, code, rule_id, severity, title, quote): for each rule of a clause's codes
-    the first pattern whose sentence is not turned round; one hit a rule. Clauses meet
-    the rules of their codes in a broadcast join."""
-    rows = classified.select(key, "order_index", "text", tr_lower(F.col("text")).alias("low"), F.explode(F.array_distinct("codes.code")).alias("code"), *([buyers] if buyers else []))
-    rules = rule_frame(classified.sparkSession, types).filter(F.size("patterns") > 0)
-    met = rows.join(F.broadcast(rules), "code").withColumn("found", F.array_compact(F.transform(_filled(F.col("patterns"), buyers), lambda p: F.regexp_substr("low", p))))
-    sentence = lambda f: let(F.instr("low", f) - 1, lambda at: sentence_around(F.col("text"), at, at + F.length(f)))
-    met = met.filter(F.size("found") > 0).withColumn("quote", F.get(F.filter(F.transform("found", sentence), lambda s: ~reversed_direction(s)), F.lit(0)))
-    return met.filter(F.col("quote").isNotNull()).select(key, "order_index", "code", "rule_id", "severity", "title", "quote")
+    """(key, order_index, code, rule_id, severity, title, quote, start, end): for each rule of a
+    clause's codes the first pattern whose sentence is not turned round; one hit a rule. The
+    quote is that sentence, [start, end) its place in the clause. Patterns are literals, compiled
+    once a task, and only those of the clause's own codes are tried."""
+    rows = classified.filter(F.size("codes") > 0).select(key, "order_index", "text", tr_lower(F.col("text")).alias("low"), F.col("codes.code").alias("own"), *([buyers] if buyers else []))
+    who = F.col(buyers) if buyers else None
+
+    def quoted(raw: str) -> Column:
+        sentence = lambda m: let(sentence_span(F.col("text"), m["start"], m["end"]), lambda s: F.struct(F.trim(F.substring("text", s["start"] + 1, s["end"] - s["start"])).alias("quote"), s["start"].alias("start"), s["end"].alias("end")))
+        return let(first_match(F.col("low"), raw, who), lambda m: F.when(m.isNotNull(), sentence(m)))
+
+    def hit(t: ClauseType, r) -> Column:
+        found = F.get(F.filter(F.array(*map(quoted, r.patterns)), lambda q: q.isNotNull() & ~reversed_direction(q["quote"])), F.lit(0))
+        named = lambda q: F.when(q.isNotNull(), F.struct(F.lit(t.code).alias("code"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.text).alias("title"), q["quote"].alias("quote"), q["start"].alias("start"), q["end"].alias("end")))
+        return F.when(F.array_contains("own", t.code), let(found, named))
+
+    hits = [hit(t, r) for t in types for r in t.red_lines if r.patterns]
+    if not hits:
+        return rows.limit(0).select(key, "order_index", *[F.lit("").alias(c) for c in ("code", "rule_id", "severity", "title", "quote")], F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return rows.select(key, "order_index", F.explode(F.array_compact(F.array(*hits))).alias("x")).select(key, "order_index", "x.*")
 
 
 def code_scopes(classified: DataFrame, key: str = "contract_id") -> DataFrame:
@@ -94,18 +121,30 @@ def absent_red_lines(classified: DataFrame, types: list[ClauseType], key: str =
 
 
 def ambiguous(text: Column, code: Column | None = None, weakening: tuple[str, ...] = WEAKENING, vague: tuple[str, ...] = VAGUE_TIME, time_codes: tuple[str, ...] = TIME_CODES) -> Column:
-    """array<struct<phrase, kind>>: phrases that stand in the text, folded or without accents;
-    vague durations only where the code is bound to time (or no code is given)."""
-    hay, flat = fold(text), deaccent(text)
+    """array<struct<phrase, kind, start, end, quote>>: phrases that stand in the text, folded or
+    without accents; vague durations only where the code is bound to time (or no code is
+    given). ``quote`` is the sentence around the phrase, [start, end) its place."""
     timed = F.lit(True) if code is None else code.isNull() | code.isin(*time_codes)
-    tests = [(p, "zayiflatici", None) for p in weakening] + [(p, "sure", timed) for p in vague]
-    one = lambda p, cond: (F.contains(hay, fold(F.lit(p))) | F.contains(flat, deaccent(F.lit(p)))) & (F.lit(True) if cond is None else cond)
-    return F.array_compact(F.array(*[F.when(one(p, c), F.struct(F.lit(p).alias("phrase"), F.lit(kind).alias("kind"))) for p, kind, c in tests]))
+    tests = [(p, "zayiflatici", F.lit(True)) for p in weakening] + [(p, "sure", timed) for p in vague]
+
+    def entry(at: Column, size: Column, phrase: str, kind: str) -> Column:
+        return let(sentence_span(text, at, at + size), lambda s: F.struct(F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.trim(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("quote")))
+
+    def all_of(v: Column) -> Column:
+        def one(phrase: str, kind: str, asked: Column) -> Column:
+            folded, bare = fold(F.lit(phrase)), deaccent(F.lit(phrase))
+            place = lambda hay, p: approximate_offset(F.instr(hay, p) - 1, text, hay)
+            return F.when(asked & F.contains(v["hay"], folded), entry(place(v["hay"], folded), F.length(folded), phrase, kind)).when(asked & F.contains(v["flat"], bare), entry(place(v["flat"], bare), F.length(bare), phrase, kind))
+
+        return F.array_compact(F.array(*[one(*x) for x in tests]))
+
+    # Folded once a text, however many phrases are tried.
+    return let(F.struct(fold(text).alias("hay"), deaccent(text).alias("flat")), all_of)
 
 
 def approximate_offset(folded_at: Column, original: Column, folded: Column) -> Column:
     """A place in folded text carried back by the ratio of lengths: near, not exact."""
-    return F.greatest(F.lit(0), F.least(F.floor(folded_at * F.length(original) / F.greatest(F.length(folded), F.lit(1))), F.length(original) - 1))
+    return F.greatest(F.lit(0), F.least(F.floor(folded_at * (F.length(original) / F.greatest(F.length(folded), F.lit(1)))), F.length(original) - 1)).cast("int")
 
 
 def missing_annexes(text: Column, ref: str = ANNEX, head: str = ANNEX_HEAD) -> Column:
@@ -158,9 +197,11 @@ def rule_findings(hits: DataFrame, kind: str) -> DataFrame:
 
 
 def ambiguous_findings(classified: DataFrame, key: str = "contract_id") -> DataFrame:
-    rows = classified.select(key, "order_index", "text", F.explode("codes.code").alias("code"))
-    rows = rows.select(key, "order_index", "code", F.explode(ambiguous(F.col("text"), F.col("code"))).alias("x"))
-    return rows.select(key, "order_index", "code", F.lit("AMBIGUOUS").alias("finding_type"), F.when(F.col("x.kind") == "zayiflatici", "ORTA").otherwise("DUSUK").alias("severity"), F.col("x.phrase").alias("title"), F.lit(0.7).alias("confidence"), F.lit(True).alias("quote_is_evidence"), F.lit("RULE").alias("detected_by"))
+    """Vague phrases of classified clauses, each quoted with its sentence. Texts are searched once,
+    whatever their codes; durations then stay with codes bound to time."""
+    rows = classified.filter(F.size("codes") > 0).select(key, "order_index", F.col("codes.code").alias("own"), F.explode(ambiguous(F.col("text"))).alias("x"))
+    rows = rows.select(key, "order_index", "x", F.explode("own").alias("code")).filter((F.col("x.kind") != "sure") | F.col("code").isin(*TIME_CODES))
+    return rows.select(key, "order_index", "code", F.lit("AMBIGUOUS").alias("finding_type"), F.when(F.col("x.kind") == "zayiflatici", "ORTA").otherwise("DUSUK").alias("severity"), F.col("x.phrase").alias("title"), F.col("x.quote").alias("quote"), F.lit(0.7).alias("confidence"), F.lit(True).alias("quote_is_evidence"), F.lit("RULE").alias("detected_by"))
 
 
 def coerced(findings: DataFrame) -> DataFrame:

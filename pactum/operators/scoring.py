@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, let, quote_found
+from ..functions.text import bare_quote, fold, let, quote_span
 from ..schemas import SEVERITIES, severity_points, severity_rank
+from ..storage import stored
 
 HALF = 180.0
+#: Fixed value: shorter quotes are no evidence.
+LEAST_QUOTE = 12
 #: Finding types that need no quote.
 QUOTELESS = ("INFO", "MISSING", "CROSS_REF_ERROR", "DRAFTING_DEFECT")
 LENSES = {"REGULASYON": ("REGULASYON", "HUKUK"), "VERI_GUVENLIK": ("BILGI_GUVENLIGI", "HUKUK"), "TICARI_RISK": ("MALI", "HUKUK"), "OPERASYONEL": ("OPERASYON", "MALI"), "FIKRI_MULKIYET": ("HUKUK", "MALI"), "SOZLESMESEL": ("HUKUK", "OPERASYON")}
@@ -27,10 +30,19 @@ def keyword_presence(text: Column, keywords: Column) -> Column:
     return let(fold(text), lambda low: F.size(F.filter(keywords, lambda k: F.contains(low, fold(k)))))
 
 
+def _keyword_counts(rows: DataFrame, contracts: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with ``hits``: keywords that stand in the contract's text, which is folded once for
+    all types asked about."""
+    asked = rows.groupBy(key).agg(F.collect_list(F.struct("code", "keywords")).alias("asked_"))
+    counted = let(fold(F.coalesce(text, F.lit(""))), lambda low: F.transform("asked_", lambda x: F.struct(x["code"].alias("code"), F.size(F.filter(x["keywords"], lambda k: F.contains(low, fold(k)))).alias("hits"))))
+    hits = asked.join(contracts.select(key, text), key).select(key, F.explode(counted).alias("x")).select(key, "x.code", "x.hits")
+    return rows.join(hits, [key, "code"])
+
+
 def detect_gaps(contracts: DataFrame, catalogue: DataFrame, detected: DataFrame, key: str = "contract_id", text: str = "text", verdicts: DataFrame | None = None) -> DataFrame:
     """MISSING findings: absent words say YOK at the catalogue's severity, present ones KISMEN at
     ORTA (the protection may be there: look by hand); a verdict VAR drops the candidate."""
-    rows = gap_candidates(contracts, catalogue, detected, key).withColumn("hits", keyword_presence(F.col(text), F.col("keywords")))
+    rows = _keyword_counts(gap_candidates(contracts.drop(text), catalogue, detected, key), contracts, key, text)
     model = F.lit(None).cast("string")
     if verdicts is not None:
         rows, model = rows.join(verdicts.select(key, "code", F.col("status").alias("told")), [key, "code"], "left"), F.col("told")
@@ -42,20 +54,26 @@ def detect_gaps(contracts: DataFrame, catalogue: DataFrame, detected: DataFrame,
 
 
 def ground(findings: DataFrame, clauses: DataFrame, docs: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
-    """``findings`` with ``kept``, ``reason`` and capped ``confidence``.
+    """``findings`` with ``kept``, ``reason``, capped ``confidence``, and ``quote_start``, ``quote_end``: the
+    place of the quote in its clause, null where it stands elsewhere.
 
     A quote must stand in its clause (by order_index), else in the whole text, which
     caps the confidence at 0.6; without a quote only types that point at nothing stay.
+    Whole texts are folded once each, for the quotes that their clauses do not hold.
     """
-    own = clauses.select(key, "order_index", F.col("text").alias("clause_text_"))
-    whole = docs.select(key, F.col(text).alias("whole_text_"))
-    rows = findings.join(own, [key, "order_index"], "left").join(whole, key, "left")
     bare = F.coalesce("quote", F.lit("")) == ""
-    here, there = quote_found(F.coalesce("clause_text_", F.lit("")), F.col("quote")), quote_found(F.coalesce("whole_text_", F.lit("")), F.col("quote"))
-    rows = rows.withColumns({"here_": here, "there_": there})
-    reason = F.when(bare & ~F.col("finding_type").isin(*QUOTELESS), "alinti yok").when(~bare & ~F.col("here_") & ~F.col("there_"), "alinti kaynak metinde bulunamadi")
-    capped = F.when(~bare & ~F.col("here_") & F.col("there_"), F.least("confidence", F.lit(0.6))).otherwise(F.col("confidence"))
-    return rows.withColumns({"reason": reason, "confidence": capped}).withColumn("kept", F.col("reason").isNull()).drop("clause_text_", "whole_text_", "here_", "there_")
+    own = clauses.select(key, "order_index", F.col("text").alias("clause_text_"))
+    rows = findings.join(own, [key, "order_index"], "left").withColumn("span_", F.when(~bare, quote_span(F.coalesce("clause_text_", F.lit("")), F.col("quote")))).drop("clause_text_")
+    rows = stored(rows, "ground-clauses")
+    asked = rows.filter(~bare & F.col("span_").isNull()).groupBy(key).agg(F.collect_set("quote").alias("quotes_"))
+    found = let(F.struct(F.coalesce(text, F.lit("")).alias("t"), fold(F.coalesce(text, F.lit(""))).alias("f")), lambda v: F.filter("quotes_", lambda q: let(bare_quote(q), lambda b: (F.length(b) >= LEAST_QUOTE) & (F.contains(v["t"], b) | F.contains(v["f"], fold(b))))))
+    there = asked.join(docs.select(key, text), key).select(key, F.explode(found).alias("quote")).withColumn("there_", F.lit(True))
+    rows = rows.join(there, [key, "quote"], "left")
+    here, there = F.col("span_").isNotNull(), F.coalesce("there_", F.lit(False))
+    reason = F.when(bare & ~F.col("finding_type").isin(*QUOTELESS), "alinti yok").when(~bare & ~here & ~there, "alinti kaynak metinde bulunamadi")
+    capped = F.when(~bare & ~here & there, F.least("confidence", F.lit(0.6))).otherwise(F.col("confidence"))
+    out = rows.withColumns({"reason": reason, "confidence": capped, "quote_start": F.col("span_.start"), "quote_end": F.col("span_.end")})
+    return out.withColumn("kept", F.col("reason").isNull()).drop("span_", "there_")
 
 
 def rebut(findings: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:

@@ -112,12 +112,13 @@ def units(docs: DataFrame, key: str = "contract_id", text: str = "text") -> Data
     sections = _sections(docs, key, text)
     kind = sections.schema["parts"].dataType.simpleString()
     folded = sections.select(key, "titled", "length", F.aggregate("parts", F.array().cast(kind), grow).alias("u"))
-    rows = folded.select(key, "titled", "length", "u", F.posexplode("u").alias("order_index", "x"))
-    after = F.get("u", F.col("order_index") + 1)["start"]
+    rows = folded.select(key, "titled", "length", F.posexplode("u").alias("order_index", "x"))
+    # Neighbours by window over the same grouping, so rows stay where they are and carry one unit each.
+    ordered = Window.partitionBy(key, "titled", "length").orderBy("order_index")
+    after = F.lead("x.start").over(ordered)
     first_line = F.substring(F.trim(F.split_part("x.text", F.lit("\n"), F.lit(1))), 1, 80)
-    last = F.col("order_index") == F.size("u") - 1
-    label = F.when(F.col("order_index") == 0, F.lit("Başlık ve taraflar")).when(last & F.col("x.text").rlike(SIGNATURES), F.lit("İmza bloğu")).otherwise(first_line)
-    paragraph = F.size(F.filter(F.slice("u", 1, F.col("order_index") + 1), lambda y: ~y["is_gap"]))
+    label = F.when(F.col("order_index") == 0, F.lit("Başlık ve taraflar")).when(after.isNull() & F.col("x.text").rlike(SIGNATURES), F.lit("İmza bloğu")).otherwise(first_line)
+    paragraph = F.count_if(~F.col("x.is_gap")).over(ordered)
     return rows.select(
         key, "order_index", F.when(F.col("x.is_gap"), F.lit("gap")).otherwise(F.col("x.kind")).alias("kind"),
         F.when(F.col("x.is_gap"), F.lit("")).when(F.col("titled"), F.col("x.number")).otherwise(paragraph.cast("string")).alias("number"),

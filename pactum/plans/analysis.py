@@ -51,14 +51,13 @@ def clause_findings(classified: DataFrame, types: list[ClauseType]) -> DataFrame
     "First seen" is by clause, then by kind of rule, then by the catalogue's order."""
     order = rules.rule_frame(classified.sparkSession, types).select("code", "rule_id", "rule_order")
     hits = [
-        rules.rule_findings(found(classified, types, KEY, "buyers"), kind).withColumn("kind_", F.lit(at))
+        rules.rule_findings(found(classified, types, KEY, "buyers"), kind).drop("start", "end").withColumn("kind_", F.lit(at))
         for at, (found, kind) in enumerate([(rules.positive_red_lines, "PATTERN"), (rules.absent_red_lines, "ABSENCE")])
     ]
     ruled = hits[0].unionByName(hits[1]).join(F.broadcast(order), ["code", "rule_id"], "left").drop("rule_id")
     vague = rules.ambiguous_findings(classified).withColumn("kind_", F.lit(2))
     found = ruled.unionByName(vague, allowMissingColumns=True)
-    numbered = classified.select(KEY, "order_index", F.col("number").alias("clause_number"), F.col("text").alias("t_"))
-    found = found.join(numbered, [KEY, "order_index"], "left").withColumn("quote", F.when(F.col("finding_type") == "AMBIGUOUS", F.col("t_")).otherwise(F.col("quote"))).drop("t_")
+    found = found.join(classified.select(KEY, "order_index", F.col("number").alias("clause_number")), [KEY, "order_index"], "left")
     seq = F.struct("order_index", "kind_", F.coalesce("rule_order", F.lit(0)), "code", "title")
     return rules.dedupe_findings(found.withColumns({"lens": F.lit(""), "seq": seq})).drop("seq", "lens", "kind_", "rule_order")
 
