@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classify, compare, meta, normalize, portfolio, rules, scoring, segment
 from ..sources.catalog import to_frame
-from ..storage import stored
+from ..storage import dealt, stored
 from ..streaming import throttle
 from . import analysis
 from .neutral import TYPES
@@ -37,7 +37,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Texts are what takes time, so they are dealt to all cores."""
+    return dealt(_t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -124,12 +125,18 @@ _OK = {
 _NO_HEAD = r"(?i)^\s*(?:\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\d+(?:[.,]\d{3})*(?:[.,]\d+)?\s*(?:%|TL|USD|EUR|₺|\$)|\d+\s*$)"
 
 
-@query(rf"""WITH {LINES}, g AS (SELECT doc_id, pos, trim(line) AS s, {", ".join(f"trim(regexp_extract(trim(line), '{p}', 1)) AS n_{k}, trim(regexp_extract(trim(line), '{p}', 2)) AS t_{k}" for k, p in _FORMS.items())} FROM l),
+_HEADED = """CASE pos % 8 WHEN 0 THEN 'MADDE ' || (pos + 1) || ' - ' || line WHEN 1 THEN 'EK-' || (pos + 1) || ': ' || line WHEN 2 THEN 'Article ' || (pos + 1) || '.2 ' || line WHEN 3 THEN (pos + 1) || '. ' || substring(line, 1, 40)
+ WHEN 4 THEN (pos + 1) || '.1 ' || line WHEN 5 THEN 'IV. ' || substring(line, 1, 30) WHEN 6 THEN '12.05.2024 ' || line ELSE line END"""
+
+
+@query(rf"""WITH {LINES}, n AS (SELECT doc_id, pos, {_HEADED} AS line FROM l), g AS (SELECT doc_id, pos, trim(line) AS s, {", ".join(f"trim(regexp_extract(trim(line), '{p}', 1)) AS n_{k}, trim(regexp_extract(trim(line), '{p}', 2)) AS t_{k}" for k, p in _FORMS.items())} FROM n),
  k AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') AND {_OK[k]} THEN '{k}'" for k, p in _FORMS.items())} END AS kind FROM g WHERE length(s) BETWEEN 1 AND 400 AND NOT regexp_matches(s, '{_NO_HEAD}'))
 SELECT doc_id, pos::BIGINT AS pos, kind, CASE kind {" ".join(f"WHEN '{k}' THEN n_{k}" for k in _FORMS)} END AS number, CASE kind {" ".join(f"WHEN '{k}' THEN t_{k}" for k in _FORMS)} END AS heading FROM k WHERE kind IS NOT NULL""")
 def heading_lines(spark, sf_dir):
-    """Lines that are headings, by the operator's own forms."""
-    lines = segment.line_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "pos", segment.heading(F.col("line")).alias("h"))
+    """Lines that are headings, by the operator's own forms; the texts hold none, so lines are
+    numbered in each form in turn, and every eighth begins with a date, which is no number."""
+    lines = segment.line_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "pos", F.expr(_HEADED).alias("line"))
+    lines = lines.select("doc_id", "pos", segment.heading(F.col("line")).alias("h"))
     return _long(lines.filter("h is not null").select("doc_id", "pos", "h.kind", "h.number", "h.heading"))
 
 
@@ -212,7 +219,7 @@ def _clauses(spark, sf_dir):
 def keyword_doc_frequency(spark, sf_dir):
     """In how many of a document's clauses a keyword occurs, and whether it is a mere defined term."""
     clauses = _clauses(spark, sf_dir)
-    hits = classify.keyword_hits(clauses, TYPES, "doc_id")
+    hits = stored(classify.keyword_hits(clauses, TYPES, "doc_id"), "keyword-frequency")
     n = hits.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n")).join(clauses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")), "doc_id")
     common = classify.common_terms(hits, clauses, "doc_id").withColumn("c", F.lit(True))
     return n.join(common, ["doc_id", "keyword"], "left").select("doc_id", "keyword", "n", "total", F.coalesce("c", F.lit(False)).alias("common"))
@@ -239,6 +246,40 @@ def positive_red_lines(spark, sf_dir):
     return _long(rules.positive_red_lines(_classified(spark, sf_dir), TYPES, "doc_id").select("doc_id", "order_index", "code", "rule_id", "severity"))
 
 
+_SEPARATORS = (". ", ".\n", "\n\n", "; ")
+_RULES = [(t.code, r) for t in TYPES for r in t.red_lines if r.patterns]
+
+
+def _match_sql(rule, end: bool) -> str:
+    """Where the first of a rule's patterns that matches begins or ends, in DuckDB's words."""
+    at = lambda p: f"length(regexp_extract(low, '(?is)^(.*?)(?:{_I(p)})', 1))" + (f" + length(regexp_extract(low, '(?is){_I(p)}'))" if end else "")
+    return "CASE " + " ".join(f"WHEN regexp_matches(low, '(?is){_I(p)}') THEN {at(p)}" for p in rule.patterns) + " END"
+
+
+def _sql_text(x: str) -> str:
+    return " || ".join(f"'{part}'" for part in x.split("\n")).replace(" || ", " || chr(10) || ")
+
+
+_LEFT = " ".join(f"WHEN strpos(reverse(before), reverse({_sql_text(x)})) > 0 THEN s - strpos(reverse(before), reverse({_sql_text(x)})) + 1" for x in _SEPARATORS)
+
+
+@query(rf"""WITH {_SCORE}, c AS (SELECT doc_id, order_index, line || CASE WHEN order_index % 3 = 0 THEN '; yasaktır' ELSE '' END AS t FROM f), lc AS (SELECT *, {_LOW.format('t')} AS low FROM c),
+ m AS ({" UNION ALL ".join(f"SELECT lc.*, '{c}' AS code, '{r.id}' AS rule_id, {_match_sql(r, False)} AS s, {_match_sql(r, True)} AS e FROM lc" for c, r in _RULES)}),
+ rh AS (SELECT m.*, substring(t, greatest(0, s - 420) + 1, s - greatest(0, s - 420)) AS before, substring(t, e + 1, 420) AS after FROM m JOIN sc USING (doc_id, order_index, code) WHERE s IS NOT NULL),
+ p AS (SELECT *, CASE {_LEFT} ELSE greatest(0, s - 160) END AS "start", e + CASE WHEN regexp_matches(after, '(?s)^(.*?(?:[.;]\s|
+
+))') THEN length(regexp_extract(after, '(?s)^(.*?(?:[.;]\s|
+
+))', 1)) ELSE least(length(after), 200) END AS "end" FROM rh)
+SELECT doc_id, order_index::BIGINT AS order_index, code, rule_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end", trim(substring(t, "start" + 1, "end" - "start")) AS quote FROM p WHERE NOT contains(substring(t, "start" + 1, "end" - "start"), 'yasaktır')""")
+def red_line_sentences(spark, sf_dir):
+    """The sentence of each red line and its place; every third clause ends in a sentence that
+    forbids, which turns round what stands in the same sentence and nothing else."""
+    clauses = _clauses(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("order_index") % 3 == 0, "; yasaktır").otherwise("")))
+    found = rules.positive_red_lines(classify.classify(clauses, TYPES, "doc_id"), TYPES, "doc_id")
+    return _long(found.select("doc_id", "order_index", "code", "rule_id", "start", "end", "quote"))
+
+
 @query(f"""WITH {_SCORE}, scopes AS (SELECT f.doc_id, code, min(f.order_index) AS first_clause, string_agg(line, chr(10) ORDER BY f.order_index) AS scope FROM f JOIN sc ON f.doc_id = sc.doc_id AND f.order_index = sc.order_index GROUP BY 1, 2),
  ab(code, rule_id, severity, p) AS (VALUES {", ".join(f"('{t.code}', '{r.id}', '{r.severity}', '(?is){_I(p)}')" for t in TYPES for r in t.red_lines for p in r.absent_patterns)})
 SELECT doc_id, first_clause::BIGINT AS order_index, code, rule_id, severity FROM scopes JOIN ab USING (code) WHERE NOT regexp_matches({_LOW.format('scope')}, p)""")
@@ -317,6 +358,25 @@ def quote_grounding(spark, sf_dir):
     return docs.join(claims, "k").select("doc_id", T.quote_found(F.col("text"), F.trim("q")).alias("found"))
 
 
+_CLAIM = """CASE doc_id % 4 WHEN 0 THEN substring(t, 1 + CAST(floor(length(t) / 3) AS INT), 60) WHEN 1 THEN 'no text holds these words ' || doc_id
+ ELSE replace(translate(substring(t, 1 + CAST(floor(length(t) / 2) AS INT), 70), 'abcdefghjklmnopqrstuvwxyz', 'ABCDEFGHJKLMNOPQRSTUVWXYZ'), ' ', {0}) END"""
+_STRIPPED = r"trim(trim(trim(regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g'), chr(34)), '«»'), '“”')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), 'e ', 'e' || chr(160) || chr(10) || ' ', 'g') AS t FROM documents), c AS (SELECT doc_id, t, {_CLAIM.format("'  '")} AS q FROM d),
+ b AS (SELECT doc_id, t, {_STRIPPED.format('q')} AS q FROM c),
+ f AS (SELECT *, {FOLD.format('t')} AS ft, {FOLD.format('q')} AS fq, string_split(regexp_replace(translate(t, chr(160), ' '), '\s', ' ', 'g'), '') AS c FROM b WHERE length(q) >= 12),
+ k AS (SELECT *, list_filter(range(len(c)), lambda i: c[i + 1] <> ' ' OR (i > 0 AND c[i] <> ' ')) AS places FROM f)
+SELECT doc_id, (CASE WHEN contains(t, q) THEN strpos(t, q) - 1 ELSE places[strpos(ft, fq)] END)::BIGINT AS "start",
+ (CASE WHEN contains(t, q) THEN strpos(t, q) - 1 + length(q) ELSE places[strpos(ft, fq) + length(fq) - 1] + 1 END)::BIGINT AS "end" FROM k WHERE contains(t, q) OR contains(ft, fq)""")
+def quote_spans(spark, sf_dir):
+    """Where a quote stands that was taken from a text as it is, in capitals with doubled blanks, or
+    from nowhere; the texts have no-break spaces and line ends where they had a blank after e."""
+    texts = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "e ", "e\u00a0\n ").alias("t"))
+    found = texts.select("doc_id", T.quote_span(F.col("t"), F.expr(_CLAIM.format("'  '"))).alias("x"))
+    return _long(found.filter("x is not null").select("doc_id", "x.*"))
+
+
 # --- scoring and portfolio ----------------------------------------------------------------
 
 _POINTS = "CASE severity WHEN 'KRITIK' THEN 5.0 WHEN 'YUKSEK' THEN 3.0 WHEN 'ORTA' THEN 1.5 WHEN 'DUSUK' THEN 0.6 ELSE 0.0 END::DOUBLE"
@@ -669,7 +729,7 @@ def doc_risk_scorecard(spark, sf_dir):
 def contract_analysis(spark, sf_dir):
     """The whole analysis, documents taken as contracts: clauses, findings, what grounding
     dropped, score and band of each."""
-    contracts = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), F.col("text").alias("raw_text"))
+    contracts = dealt(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), F.col("text").alias("raw_text")))
     found = analysis.analyse(contracts, TYPES)
     count = lambda df, name: df.groupBy("contract_id").agg(F.count(F.lit(1)).alias(name))
     rows = found.scores

@@ -62,3 +62,10 @@ def remove(path: str) -> None:
 
     files, place = fs.FileSystem.from_uri(path)
     files.delete_dir(place)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores, dealt out to all of them: a small file is
+    one task however many cores wait. Tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -40,6 +40,8 @@ def differences(spark, sf_dir: str, query, sql: str) -> str:
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     mine, theirs = rows_of(df.columns, df.collect()), rows_of(names, res.fetchall())
+    if not mine and not theirs:
+        return "no rows on either side, so nothing is compared"
     if mine == theirs:
         return ""
     return f"{sum(mine.values())} and {sum(theirs.values())} rows; only Spark: {list((mine - theirs).items())[:3]}; only SQL: {list((theirs - mine).items())[:3]}"
