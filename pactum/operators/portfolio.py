@@ -70,13 +70,20 @@ def stage_sets(calls: DataFrame, run: str = "run", kind: str = "agent") -> DataF
     return per.groupBy(run).agg(some(F.col("any_ok"), "done"), some(~F.col("any_ok"), "failed"))
 
 
-def priced(calls: DataFrame, prices: DataFrame, default_in: float, default_out: float) -> DataFrame:
-    """``calls`` (model, provider) with ``price_in`` and ``price_out``: the model's own price, else its
-    provider's (a row of ``prices`` without a model), else the default. Prices are few."""
-    own = prices.filter("model is not null").select("model", F.col("price_in").alias("i1"), F.col("price_out").alias("o1"))
-    house = prices.filter("model is null").select("provider", F.col("price_in").alias("i2"), F.col("price_out").alias("o2"))
-    rows = calls.join(F.broadcast(own), "model", "left").join(F.broadcast(house), "provider", "left")
-    return rows.withColumns({"price_in": F.coalesce("i1", "i2", F.lit(default_in)), "price_out": F.coalesce("o1", "o2", F.lit(default_out))}).drop("i1", "i2", "o1", "o2")
+def priced(calls: DataFrame, prices: DataFrame, manual: tuple[float, float] | None = None, default: tuple[float, float] | None = None) -> DataFrame:
+    """``calls`` (model, provider) with ``price_in`` and ``price_out``: the price entered by hand, else the
+    table's for the provider's model, else the table's for the model of any provider (a row
+    without a provider), else the default, else null: an unknown price is not made up. A price
+    listed twice counts once, the lower one, so calls never multiply. Prices are few."""
+    if manual:
+        return calls.withColumns({"price_in": F.lit(manual[0]), "price_out": F.lit(manual[1])})
+    table = prices.filter("model is not null").groupBy("provider", "model").agg(F.min(F.struct("price_in", "price_out")).alias("p"))
+    own = table.filter("provider is not null").withColumnRenamed("p", "p1_")
+    any_ = table.filter("provider is null").select("model", F.col("p").alias("p2_"))
+    rows = calls.join(F.broadcast(own), ["provider", "model"], "left").join(F.broadcast(any_), "model", "left")
+    fallback = F.struct(*[F.lit(x).cast("double").alias(n) for x, n in zip(default or (None, None), ("price_in", "price_out"), strict=True)])
+    found = F.coalesce("p1_", "p2_", fallback)
+    return rows.withColumns({"price_in": found["price_in"], "price_out": found["price_out"]}).drop("p1_", "p2_")
 
 
 def page_of(offsets: DataFrame, pages: DataFrame, key: str, at: str = "at") -> DataFrame:
@@ -130,6 +137,17 @@ def audit_of(audit: DataFrame, newest: int, order: list, touches: Column) -> Dat
     return audit.orderBy(*order).limit(newest).filter(touches)
 
 
+def audit_of_contracts(audit: DataFrame, contracts: DataFrame, reports: DataFrame, newest: int, order: list) -> DataFrame:
+    """Among the newest ``newest`` entries of ``audit`` (entity_type, entity_id, ...), those that touch one
+    of ``contracts`` (contract_id) or one of their ``reports`` (report_id, contract_id), in order. The
+    sides are two semi-joins on different keys; an entry has one type, so none comes twice."""
+    recent = audit.orderBy(*order).limit(newest)
+    mine = reports.join(contracts.select("contract_id").distinct(), "contract_id", "left_semi").select(F.col("report_id").alias("entity_id"))
+    own = recent.filter("entity_type = 'contract'").join(contracts.select(F.col("contract_id").alias("entity_id")), "entity_id", "left_semi")
+    of_reports = recent.filter("entity_type = 'report'").join(mine, "entity_id", "left_semi")
+    return own.unionByName(of_reports).orderBy(*order)
+
+
 def fan_in(base: DataFrame, key: str, **sides: DataFrame) -> DataFrame:
     """``base`` with one sorted array of rows for each side; sides never multiply each other."""
     for name, side in sides.items():

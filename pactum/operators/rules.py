@@ -25,7 +25,12 @@ CONSENT = r"(?iu)önceden\s+yazılı\s+onay|onayına\s+(?:tabidir|bağlıdır|ba
 ANNEX, ANNEX_HEAD = r"(?iu)\bEK\s*[-–]?\s*(\d+)", r"(?imu)^\s*EK\s*[-–]?\s*(\d+)"
 NO_SUBJECT = r"(?iu)\b(tamamı|tümü|yarısı|bedeli|tutarı|masrafı|masrafları|ücreti|giderleri)\s+tarafından\b"
 BLANK = r"…{2,}|_{5,}|\.{6,}"
-MISSING_WORDS = r"(?iu)bulunma(?:maktadır|mış|dığı)|yer\s+alma(?:maktadır|mış|dığı)|düzenlenmemiş|belirtilmemiş|eksik|yoktur"
+#: What claims that something is missing.
+MISSING = (
+    "yok", "yoktur", "eksik", "eksiktir", "bulunmamakta", "bulunmuyor", "düzenlenmemiş", "tanınmamış", "öngörülmemiş", "belirtilmemiş", "tanımlanmamış", "içermiyor", "sağlanmamış",
+    "yer almıyor", "hüküm yok", "hükmü yok", "kaydı yok",
+)
+MISSING_WORDS = r"(?iuU)\b(?:" + "|".join(MISSING) + r")\b"
 WINDOW, BACK, AHEAD, NEAR, MOST_DEFECTS = 420, 160, 200, 240, 12
 
 
@@ -85,19 +90,24 @@ def positive_red_lines(classified: DataFrame, types: list[ClauseType], key: str
     rows = classified.filter(F.size("codes") > 0).select(key, "order_index", "text", tr_lower(F.col("text")).alias("low"), F.col("codes.code").alias("own"), *([buyers] if buyers else []))
     who = F.col(buyers) if buyers else None
 
-    def quoted(raw: str) -> Column:
-        sentence = lambda m: let(sentence_span(F.col("text"), m["start"], m["end"]), lambda s: F.struct(F.trim(F.substring("text", s["start"] + 1, s["end"] - s["start"])).alias("quote"), s["start"].alias("start"), s["end"].alias("end")))
-        return let(first_match(F.col("low"), raw, who), lambda m: F.when(m.isNotNull(), sentence(m)))
-
-    def hit(t: ClauseType, r) -> Column:
-        found = F.get(F.filter(F.array(*map(quoted, r.patterns)), lambda q: q.isNotNull() & ~reversed_direction(q["quote"])), F.lit(0))
-        named = lambda q: F.when(q.isNotNull(), F.struct(F.lit(t.code).alias("code"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.text).alias("title"), q["quote"].alias("quote"), q["start"].alias("start"), q["end"].alias("end")))
-        return F.when(F.array_contains("own", t.code), let(found, named))
+    def rule(t: ClauseType, r) -> Column:
+        places = F.array_compact(F.array(*[first_match(F.col("low"), p, who) for p in r.patterns]))
+        named = [F.lit(x).alias(n) for n, x in (("code", t.code), ("rule_id", r.id), ("severity", r.severity), ("title", r.text))]
+        return F.when(F.array_contains("own", t.code), F.struct(*named, places.alias("places")))
 
-    hits = [hit(t, r) for t in types for r in t.red_lines if r.patterns]
-    if not hits:
+    tried = [rule(t, r) for t in types for r in t.red_lines if r.patterns]
+    if not tried:
         return rows.limit(0).select(key, "order_index", *[F.lit("").alias(c) for c in ("code", "rule_id", "severity", "title", "quote")], F.lit(0).alias("start"), F.lit(0).alias("end"))
-    return rows.select(key, "order_index", F.explode(F.array_compact(F.array(*hits))).alias("x")).select(key, "order_index", "x.*")
+    hits = F.filter(F.array_compact(F.array(*tried)), lambda x: F.size(x["places"]) > 0)
+    rows = rows.select(key, "order_index", "text", F.explode(hits).alias("x")).select(key, "order_index", "text", "x.*")
+    quoted = F.transform("places", lambda m: _quoted(F.col("text"), m["start"], m["end"]))
+    rows = rows.withColumn("q", F.get(F.filter(quoted, lambda q: ~reversed_direction(q["quote"])), F.lit(0))).filter("q is not null")
+    return rows.select(key, "order_index", "code", "rule_id", "severity", "title", "q.quote", "q.start", "q.end")
+
+
+def _quoted(text: Column, start: Column, end: Column) -> Column:
+    """struct<quote, start, end>: the sentence around [start, end) and its place."""
+    return let(sentence_span(text, start, end), lambda s: F.struct(F.trim(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("quote"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def code_scopes(classified: DataFrame, key: str = "contract_id") -> DataFrame:
@@ -127,24 +137,25 @@ def ambiguous(text: Column, code: Column | None = None, weakening: tuple[str, ..
     timed = F.lit(True) if code is None else code.isNull() | code.isin(*time_codes)
     tests = [(p, "zayiflatici", F.lit(True)) for p in weakening] + [(p, "sure", timed) for p in vague]
 
-    def entry(at: Column, size: Column, phrase: str, kind: str) -> Column:
-        return let(sentence_span(text, at, at + size), lambda s: F.struct(F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.trim(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("quote")))
-
     def all_of(v: Column) -> Column:
         def one(phrase: str, kind: str, asked: Column) -> Column:
             folded, bare = fold(F.lit(phrase)), deaccent(F.lit(phrase))
-            place = lambda hay, p: approximate_offset(F.instr(hay, p) - 1, text, hay)
-            return F.when(asked & F.contains(v["hay"], folded), entry(place(v["hay"], folded), F.length(folded), phrase, kind)).when(asked & F.contains(v["flat"], bare), entry(place(v["flat"], bare), F.length(bare), phrase, kind))
+            found = lambda hay, p: F.struct(F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind"), (F.instr(hay, p) - 1).alias("at"), F.length(p).alias("size"), F.length(hay).alias("of"))
+            return F.when(asked & F.contains(v["hay"], folded), found(v["hay"], folded)).when(asked & F.contains(v["flat"], bare), found(v["flat"], bare))
 
         return F.array_compact(F.array(*[one(*x) for x in tests]))
 
+    def quoted(x: Column) -> Column:
+        at = approximate_offset(x["at"], F.length(text), x["of"])
+        return let(let(at, lambda i: _quoted(text, i, i + x["size"])), lambda q: F.struct(x["phrase"].alias("phrase"), x["kind"].alias("kind"), q["start"].alias("start"), q["end"].alias("end"), q["quote"].alias("quote")))
+
     # Folded once a text, however many phrases are tried.
-    return let(F.struct(fold(text).alias("hay"), deaccent(text).alias("flat")), all_of)
+    return F.transform(let(F.struct(fold(text).alias("hay"), deaccent(text).alias("flat")), all_of), quoted)
 
 
-def approximate_offset(folded_at: Column, original: Column, folded: Column) -> Column:
+def approximate_offset(folded_at: Column, length: Column, folded_length: Column) -> Column:
     """A place in folded text carried back by the ratio of lengths: near, not exact."""
-    return F.greatest(F.lit(0), F.least(F.floor(folded_at * (F.length(original) / F.greatest(F.length(folded), F.lit(1)))), F.length(original) - 1)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.floor(folded_at * (length / F.greatest(folded_length, F.lit(1)))), length - 1)).cast("int")
 
 
 def missing_annexes(text: Column, ref: str = ANNEX, head: str = ANNEX_HEAD) -> Column:

@@ -157,3 +157,16 @@ def sections_between(lines: DataFrame, opens: Column, key: str = "contract_id")
 def paragraphs(text: Column, least: int = MIN_PARAGRAPH) -> Column:
     """Blocks between empty lines that are longer than ``least`` characters."""
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.trim(b)), lambda b: F.length(b) > least)
+
+
+def uncovered(unit_rows: DataFrame, docs: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
+    """(key, start, end): the stretches of each text that no unit covers, for any table of intervals:
+    overlapping, out of order, beyond the text's ends, or none. Units are clipped to the text,
+    and a running maximum of their ends finds what lies between."""
+    sizes = docs.select(key, F.coalesce(F.length(text), F.lit(0)).alias("length")).filter("length > 0")
+    held = unit_rows.join(sizes, key).select(key, F.greatest(F.col("char_start"), F.lit(0)).alias("s"), F.least("char_end", "length").alias("e")).filter("s < e")
+    # The end of the text as an empty unit, so that what is uncovered there is a gap like others.
+    ends = sizes.select(key, F.col("length").alias("s"), F.col("length").alias("e"))
+    w = Window.partitionBy(key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.unionByName(ends).withColumn("start", F.coalesce(F.max("e").over(w), F.lit(0)))
+    return rows.filter("start < s").select(key, "start", F.col("s").alias("end"))

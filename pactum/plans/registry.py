@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, compare, meta, normalize, portfolio, rules, scoring, segment
+from ..operators import classify, compare, enrich, meta, normalize, portfolio, rules, scoring, segment
 from ..sources.catalog import to_frame
 from ..storage import dealt, stored
 from ..streaming import throttle
@@ -111,6 +111,21 @@ def coverage_violations(spark, sf_dir):
     return _long(segment.coverage_violations(units, docs, "doc_id"))
 
 
+@query(rf"""WITH {LINES}, o AS (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS s, length(line) AS n FROM l),
+ d AS (SELECT doc_id, length(text) AS length FROM documents WHERE length(text) > 0),
+ u AS (SELECT doc_id, greatest(s - pos % 5 * 3, 0) AS s, least(s + n + pos % 4 * 9, length) AS e FROM o JOIN d USING (doc_id) WHERE pos % 3 <> 1),
+ x AS (SELECT doc_id, s, e FROM u WHERE s < e UNION ALL SELECT doc_id, length, length FROM d),
+ r AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM x)
+SELECT doc_id, reach::BIGINT AS "start", s::BIGINT AS "end" FROM r WHERE reach < s""")
+def uncovered_intervals(spark, sf_dir):
+    """What units leave uncovered that overlap, reach over both ends of the text, and of which a third
+    is missing."""
+    docs = _docs(spark, sf_dir)
+    lines = segment.line_offsets(docs, "doc_id").filter("pos % 3 != 1")
+    units = lines.select("doc_id", (F.col("char_start") - F.col("pos") % 5 * 3).alias("char_start"), (F.col("char_start") + F.length("line") + F.col("pos") % 4 * 9).alias("char_end"))
+    return _long(segment.uncovered(units, docs, "doc_id"))
+
+
 _HEAD = "[-–—.:)]"
 _TITLE = "(length({0}) BETWEEN 1 AND 160 AND NOT regexp_matches({0}, '[.;,]$') AND length(regexp_replace({0}, '\\P{{L}}', '', 'g')) > 0 AND (length(regexp_replace({0}, '\\P{{Lu}}', '', 'g')) / length(regexp_replace({0}, '\\P{{L}}', '', 'g'))::DOUBLE > 0.55 OR (regexp_matches({0}, '^\\p{{Lu}}') AND len(regexp_extract_all({0}, '\\S+')) <= 12)))"
 _FORMS = {
@@ -436,6 +451,31 @@ def llm_clause_selection(spark, sf_dir):
     return _long(scoring.clauses_for_model(_classified(spark, sf_dir), to_frame(spark, TYPES), "doc_id", 5))
 
 
+_LENSES = {t.code: scoring.LENSES[t.category][: max(0, min(2, t.weight - 3))] for t in TYPES}
+_EFFORT = {t.code: "xhigh" if t.weight >= 5 else {4: "high", 3: "medium"}.get(t.weight, "low") for t in TYPES}
+
+
+def _list_sql(t) -> str:
+    """A type's checklist, the lines of rules that match marked."""
+    mark = lambda r: f" || CASE WHEN {' OR '.join(f'regexp_matches(low, {chr(39)}(?is){_I(p)}{chr(39)})' for p in r.patterns)} THEN ' (kural eşleşti)' ELSE '' END" if r.patterns else ""
+    lines = [f"'{i}. [{r.severity}] {r.text}'{mark(r)}" for i, r in enumerate(t.red_lines, 1)]
+    return "'Denetim listesi:' || chr(10) || " + " || chr(10) || ".join(lines) if lines else "NULL"
+
+
+@query(f"""WITH {_SCORE}, wt(code, w, name, ob, effort, lenses) AS (VALUES {", ".join(f"('{t.code}', {t.weight}, '{t.name}', '{t.obligation}', '{_EFFORT[t.code]}', {['', *_LENSES[t.code]]})" for t in TYPES)}),
+ mw AS (SELECT doc_id, order_index, max(w) AS weight FROM sc JOIN wt USING (code) GROUP BY 1, 2), pk AS (SELECT * FROM mw QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, order_index) <= 3),
+ x AS (SELECT sc.doc_id, sc.order_index, code, w, name, ob, effort, unnest(lenses) AS lens, line, {_LOW.format('line')} AS low FROM sc JOIN pk USING (doc_id, order_index) JOIN f USING (doc_id, order_index) JOIN wt USING (code)),
+ q AS (SELECT *, concat_ws(chr(10), CASE WHEN lens <> '' THEN 'Bakış: ' || lens END, 'Madde', 'Tip: ' || code || ', ' || name || ', ağırlık ' || w || ', ' || ob, '<madde>', substring(line, 1, 12000), '</madde>', CASE code {" ".join(f"WHEN '{t.code}' THEN {_list_sql(t)}" for t in TYPES)} END) AS prompt FROM x)
+SELECT doc_id, order_index::BIGINT AS order_index, code, lens, effort, length(prompt)::BIGINT AS n_chars, md5(prompt) AS prompt_md5 FROM q""")
+def prompt_rows(spark, sf_dir):
+    """What a model would be asked about the three heaviest clauses of each document: one row a
+    clause, type and view. The marks on the checklist are those of the rules' own hits."""
+    classified = stored(_classified(spark, sf_dir).filter(F.size("codes") > 0), "prompts-classified")
+    hits = rules.positive_red_lines(classified, TYPES, "doc_id")
+    rows = enrich.prompt_rows(classified, TYPES, to_frame(spark, TYPES), hits, "doc_id", 3)
+    return _long(rows.select("doc_id", "order_index", "code", "lens", "effort", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5")))
+
+
 _VISIBLE = "v AS (SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice < 400000)"
 
 
@@ -536,12 +576,21 @@ def stage_sets(spark, sf_dir):
     return sets.select(F.col("user_id").alias("run"), F.array_join("done", ",").alias("done"), F.array_join("failed", ",").alias("failed"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 3.0 ELSE CASE WHEN user_id % 2 = 0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS price_in, CASE event_id % 3 WHEN 0 THEN 15.0 ELSE CASE WHEN user_id % 2 = 0 THEN 8.0 ELSE 5.0 END END::DOUBLE AS price_out FROM events""")
+_OWN_PRICE = "CASE WHEN event_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN {0} ELSE {1} END WHEN event_id % 3 = 1 THEN {2} {3} END"
+
+
+@query(f"""WITH c AS (SELECT event_id, user_id, unnest(['manual', 'default', 'unknown']) AS known FROM events)
+SELECT event_id, known, (CASE known WHEN 'manual' THEN 7.0 WHEN 'default' THEN {_OWN_PRICE.format("3.0", "9.0", "2.0", "ELSE 1.0")} ELSE {_OWN_PRICE.format("3.0", "9.0", "2.0", "")} END)::DOUBLE AS price_in,
+ (CASE known WHEN 'manual' THEN 8.0 WHEN 'default' THEN {_OWN_PRICE.format("15.0", "45.0", "6.0", "ELSE 5.0")} ELSE {_OWN_PRICE.format("15.0", "45.0", "6.0", "")} END)::DOUBLE AS price_out FROM c""")
 def price_fallback(spark, sf_dir):
-    """The model's price, else its provider's, else the default."""
+    """The price by hand, else of the provider's model, else of the model, else the default, else
+    none; two providers of one model name, and a price listed twice, leave one row a call."""
     calls = _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), F.concat(F.lit("p"), F.col("user_id") % 2).alias("provider"))
-    prices = spark.createDataFrame([("p0", "m0", 3.0, 15.0), ("p0", None, 2.0, 8.0)], "provider string, model string, price_in double, price_out double")
-    return portfolio.priced(calls, prices, 1.0, 5.0).select("event_id", "price_in", "price_out")
+    rows = [("p0", "m0", 3.0, 15.0), ("p0", "m0", 3.0, 15.0), ("p1", "m0", 9.0, 45.0), (None, "m1", 2.0, 6.0)]
+    prices = spark.createDataFrame(rows, "provider string, model string, price_in double, price_out double")
+    cases = {"manual": {"manual": (7.0, 8.0), "default": (1.0, 5.0)}, "default": {"default": (1.0, 5.0)}, "unknown": {}}
+    out = [portfolio.priced(calls, prices, **how).select("event_id", F.lit(name).alias("known"), "price_in", "price_out") for name, how in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -574,6 +623,19 @@ def audit_recent(spark, sf_dir):
     return portfolio.audit_of(_events(spark, sf_dir), 2000, [F.desc("ts"), F.desc("event_id")], touches).select("event_id", "user_id")
 
 
+@query("""WITH r AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'contract' WHEN 'click' THEN 'report' ELSE event_type END AS entity_type, CASE event_type WHEN 'click' THEN event_id % 500 ELSE user_id END AS entity_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000)
+SELECT event_id, entity_type, entity_id FROM r WHERE (entity_type = 'contract' AND entity_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 1)) OR (entity_type = 'report' AND entity_id IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 1)))""")
+def audit_of_contracts(spark, sf_dir):
+    """Entries about a customer, taken as a contract, or about its orders, taken as reports, among
+    the newest 2000: the limit is the feature."""
+    e = _events(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "view", "contract").when(F.col("event_type") == "click", "report").otherwise(F.col("event_type"))
+    audit = e.select("event_id", "ts", kind.alias("entity_type"), F.when(F.col("event_type") == "click", F.col("event_id") % 500).otherwise(F.col("user_id")).alias("entity_id"))
+    contracts = _t(spark, sf_dir, "customer").filter("c_custkey % 5 = 1").select(F.col("c_custkey").alias("contract_id"))
+    reports = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("contract_id"))
+    return _long(portfolio.audit_of_contracts(audit, contracts, reports, 2000, [F.desc("ts"), F.desc("event_id")]).select("event_id", "entity_type", "entity_id"))
+
+
 @query("""SELECT o_orderkey, (SELECT string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders""")
 def audit_fan_in(spark, sf_dir):
     """One array a side, so that sides never multiply each other."""

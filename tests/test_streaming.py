@@ -1,11 +1,13 @@
 """Throttles: the batch twin against a plain loop, and the windows on a stream."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from pactum.operators import portfolio
 from pactum.storage import set_conf
-from pactum.streaming import throttle
+from pactum.streaming import runs, throttle
 
 
 def plain(rows, limit, window, login):
@@ -102,3 +104,42 @@ def test_budget_stream(spark, tmp_path):
 def test_denied_once(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 5), ("b", 1)], "key string, at long").withColumn("ts", F.timestamp_seconds("at"))
     assert throttle.denied_once(rows, "1 minute").isStreaming is False
+
+
+def test_orphans_on_a_stream(spark, tmp_path):
+    """The timer finds what the batch twin finds: runs unfinished and silent for too long."""
+    schema = "run_id string, at long, status string, cancelled boolean"
+    first = [("dead", 100, "RUNNING", False), ("ends", 100, "RUNNING", None), ("lives", 100, "PENDING", False), ("stopped", 110, "RUNNING", False)]
+    second = [("ends", 130, "DONE", False), ("lives", 160, "RUNNING", False), ("stopped", 140, "RUNNING", True), ("lives", 290, "RUNNING", False), ("dead", 120, "RUNNING", False)]
+    parts = [first, second, [("lives", 400, "RUNNING", False)], [("lives", 401, "RUNNING", False)]]
+    out, progress = _run(spark, tmp_path, schema, parts, lambda s: runs.orphan_stream(s, 200, "10 seconds"), "orphans")
+    got = {r["run_id"]: r["heartbeat_at"] for r in out.collect()}
+    last = {}
+    for run, at, status, cancelled in sorted((r for p in parts for r in p), key=lambda r: r[1]):
+        last[run] = (run, status, bool(cancelled), "me", at)
+    table = spark.createDataFrame(list(last.values()), "run_id string, status string, cancelled boolean, owner_id string, at long").withColumn("heartbeat_at", F.timestamp_seconds("at"))
+    assert got == {r["run_id"]: r["at"] for r in portfolio.orphans(table, "me", F.timestamp_seconds(F.lit(401)), 200).collect()} == {"dead": 120}
+    assert progress.stateOperators[0].numRowsTotal <= 4
+
+
+def test_progress_of_a_stream_as_a_table(spark, tmp_path):
+    listener = runs.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
+    try:
+        schema = "user_id long, ts timestamp, event_type string, value double"
+        parts = [spark.range(5), spark.range(7)]
+        for df in parts:
+            df.select("id", F.timestamp_seconds("id").alias("ts"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema.replace("user_id", "id")).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        run = throttle.windowed_usage(stream, "1 day").writeStream.format("memory").queryName("watched").outputMode("complete").trigger(availableNow=True).start()
+        assert run.awaitTermination(100)
+        rows = []
+        for _ in range(60):
+            time.sleep(0.5)
+            if (tmp_path / "progress").exists():
+                rows = spark.read.schema(runs.PROGRESS).parquet(str(tmp_path / "progress")).filter("rows > 0").orderBy("batch").collect()
+            if len(rows) == 2:
+                break
+    finally:
+        spark.streams.removeListener(listener)
+    assert [(r["query"], r["batch"]) for r in rows] == [("watched", 0), ("watched", 1)] and sorted(r["rows"] for r in rows) == [5, 7] and rows[1]["state_rows"] == 1
