@@ -37,7 +37,7 @@ def write_json_reports(payloads: DataFrame, path: str) -> None:
     payloads.write.mode("overwrite").json(path)
 
 
-def _escaped(c: Column) -> Column:
+def escaped(c: Column) -> Column:
     c = F.coalesce(c.cast("string"), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -47,12 +47,12 @@ def _escaped(c: Column) -> Column:
 def html_report(contracts: DataFrame, findings: DataFrame, key: str = "contract_id") -> DataFrame:
     """(key, html): a summary line and one section a severity, all text escaped. Rendered by
     Spark, one row a contract; nothing passes through the driver."""
-    item = F.concat(F.lit("<li><b>"), _escaped(F.col("title")), F.lit("</b> <q>"), _escaped(F.col("quote")), F.lit("</q></li>"))
+    item = F.concat(F.lit("<li><b>"), escaped(F.col("title")), F.lit("</b> <q>"), escaped(F.col("quote")), F.lit("</q></li>"))
     rank = severity_rank(F.col("severity"))
     sections = findings.groupBy(key, "severity", rank.alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), item.alias("html")))), lambda x: x["html"]), "").alias("items"), F.count(F.lit(1)).alias("n"))
     section = F.concat(F.lit("<h2>"), F.col("severity"), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h2><ul>"), F.col("items"), F.lit("</ul>"))
     body = sections.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), section.alias("html")))), lambda x: x["html"]), "").alias("body"))
-    head = F.concat(F.lit("<h1>"), _escaped(F.col(key)), F.lit("</h1><p>"), _escaped(F.col("score")), F.lit(" "), _escaped(F.col("band")), F.lit("</p>"))
+    head = F.concat(F.lit("<h1>"), escaped(F.col(key)), F.lit("</h1><p>"), escaped(F.col("score")), F.lit(" "), escaped(F.col("band")), F.lit("</p>"))
     return contracts.join(body, key, "left").select(key, F.concat(F.lit("<!doctype html><meta charset=utf-8>"), head, F.coalesce("body", F.lit("<p>-</p>"))).alias("html"))
 
 

@@ -95,3 +95,23 @@ def test_one_contract_takes_seconds(spark, types):
     start = time.monotonic()
     assert analysis.analyse(contracts, types).scores.count() == 1
     assert time.monotonic() - start < 60
+
+
+def test_report_sections(spark, types, result, tmp_path):
+    """Every section of a report as a dataset, and all of them on one page with its text escaped."""
+    from pactum.plans import report
+
+    catalogue = catalog.to_frame(spark, [type(t)(**{**t.__dict__, "plain": f"{t.name} <sade>"}) for t in types])
+    parts = report.sections(result, catalogue)
+    report.write_sections(parts, f"file://{tmp_path}/sections")
+    rows = {name: [r for r in spark.read.parquet(f"file://{tmp_path}/sections/{name}").orderBy("contract_id", "seq").collect()] for name in parts}
+    of = lambda name, who: [r for r in rows[name] if r["contract_id"] == who]
+    assert [r["severity"] for r in of("actions", "risky")][:1] == ["KRITIK"] and len(of("actions", "risky")) == report.ACTIONS
+    assert {r["code"] for r in of("gaps", "empty")} == {"PAY", "SECRECY"} and not of("gaps", "risky")
+    assert [r["name"] for r in of("glossary", "risky")] == sorted(r["name"] for r in of("glossary", "risky")) and of("glossary", "risky")
+    assert all(r["calls"] == r["failed"] and r["tokens"] == 0 and r["bar"] == 0 and r["first_error"] == "no model" for r in rows["usage"]) and rows["usage"]
+    shown = {(r["contract_id"], r["heading"]) for r in rows["unreviewed"]}
+    assert shown == {(r["contract_id"], r["heading"]) for r in result.classified.collect() if not r["codes"]} and shown
+    html = {r["contract_id"]: r["html"] for r in report.pages(result, parts).collect()}
+    assert set(html) == {"risky", "fair", "empty", "null"} and "<sade>" not in html["risky"] and "&lt;sade&gt;" in html["risky"]
+    assert "Eksik maddeler" in html["empty"] and "Eksik maddeler" not in html["risky"] and "KIRMIZI" in html["risky"]
