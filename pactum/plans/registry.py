@@ -150,8 +150,7 @@ SELECT doc_id, pos::BIGINT AS pos, kind, CASE kind {" ".join(f"WHEN '{k}' THEN n
 def heading_lines(spark, sf_dir):
     """Lines that are headings, by the operator's own forms; the texts hold none, so lines are
     numbered in each form in turn, and every eighth begins with a date, which is no number."""
-    lines = segment.line_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "pos", F.expr(_HEADED).alias("line"))
-    lines = lines.select("doc_id", "pos", segment.heading(F.col("line")).alias("h"))
+    lines = segment.line_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "pos", T.let(F.expr(_HEADED), segment.heading).alias("h"))
     return _long(lines.filter("h is not null").select("doc_id", "pos", "h.kind", "h.number", "h.heading"))
 
 
