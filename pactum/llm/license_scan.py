@@ -4,11 +4,13 @@ A notice is the set of its word pairs (two words in a row), so order counts. A t
 is a window of two steps, cut every step, so any run of up to a step's words lies whole
 in some block. A notice of up to STEP + 1 words has steps of STEP words, a longer one
 steps of its own length. A block matches a notice when it holds at least THRESHOLD of
-the notice's pairs, or all of them where the notice has fewer than SHORT: there a single
-word tells one license from another. Pairs are ordered by their frequency in the whole
-corpus, rarest first; a matching block must hold one of a notice's first n - need + 1
-pairs, so only those few rare pairs are joined. Candidates pass a length and a
-positional filter and are then verified on the block. DataFrame functions only.
+the notice's pairs; a notice of fewer than SHORT must stand in it word by word, as there a
+single word tells one license from another. Pairs are ordered by their frequency in the
+whole corpus, rarest first; a matching block must hold one of a notice's first
+n - need + 1 pairs, so only those few rare pairs are joined. Candidates pass a length
+filter and a positional one: what a block shares beyond those first pairs is at most what
+is left of the notice, and at most what is left of the block in the same order. The rest
+is verified on the block. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -115,10 +117,12 @@ def _starts(phrase: str) -> Column:
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks,
+    n_verified, n_candidates.
 
     ``score``: 1 where a phrase stands, else the largest share of a notice in a block
-    that matches, else 0. ``n_blocks``: (block, notice) pairs that match. Null or empty
+    that matches, else 0. ``n_blocks``: (block, notice) pairs that match, of ``n_verified``
+    that pass the positional filter and ``n_candidates`` that pass prefix and length. Null or empty
     text has no words, empty labels and score 0. Each row gives a row; rows that
     repeat id and text get equal results. Extra columns are ignored.
     """
@@ -133,28 +137,44 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshol
 
     # Corpus frequency of the notices' pairs: as many rows as they have pairs.
     counts = dict(slim.select(F.explode("pairs.w").alias("w")).groupBy("w").count().collect())
+    order = sorted({w for *_, ps in sets for w in ps}, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(order, 1)}
     index, whole = [], []
     for i, label, ps in sets:
-        ordered = sorted(ps, key=lambda w: (counts.get(w, 0), w))
+        ordered = sorted(rank[w] for w in ps)
         need = needed(len(ps), threshold)
         prefix = len(ps) - need + 1
-        index += [(w, i, prefix, step[i]) for w in ordered[:prefix]]
-        whole.append((i, label, len(ps), need, ordered))
-    index = spark.createDataFrame(index, "w string, notice int, prefix int, step int")
-    whole = spark.createDataFrame(whole, "notice int, label string, size int, need int, ws array<string>")
+        index += [(order[r - 1], i, step[i]) for r in ordered[:prefix]]
+        run = [rank[w] for w in pairs_of(notices[i][1].split())] if len(ps) < SHORT else []
+        whole.append((i, label, len(ps), need, prefix, ordered[prefix - 1], ordered, run))
+    index = spark.createDataFrame(index, "w string, notice int, step int")
+    whole = spark.createDataFrame(whole, "notice int, label string, size int, need int, prefix int, last int, rs array<int>, run array<int>")
 
     rare = slim.select("key", "n_words", F.explode("pairs").alias("x")).select("key", "n_words", "x.w", "x.at")
     met = rare.join(F.broadcast(index), "w").withColumn("b", F.floor(F.col("at") / F.col("step")))
     met = met.withColumn("block", F.explode(F.filter(F.array("b", F.col("b") - 1), lambda b: b >= 0)))
-    met = met.groupBy("key", "n_words", "block", "notice", "prefix", "step").agg(F.countDistinct("w").alias("c")).join(F.broadcast(whole), "notice")
+    met = met.groupBy("key", "n_words", "block", "notice", "step").agg(F.countDistinct("w").alias("c")).join(F.broadcast(whole), "notice")
     length = F.least(2 * F.col("step"), F.col("n_words") - 1 - F.col("block") * F.col("step")) >= F.col("need")
-    positional = F.col("c") + F.col("size") - F.col("prefix") >= F.col("need")
-    candidates = met.filter(length & positional).groupBy("key").agg(F.collect_set(F.struct("block", "step", "label", "size", "need", "ws")).alias("cs"))
-
-    within = lambda c: F.filter("pairs", lambda h: (h["at"] >= c["block"] * c["step"]) & (h["at"] < (c["block"] + 2) * c["step"]))
-    share = lambda c: F.size(F.array_intersect(F.transform(within(c), lambda h: h["w"]), c["ws"]))
-    checked = F.transform(F.coalesce("cs", F.array().cast(candidates.schema["cs"].dataType)), lambda c: F.struct(c["label"].alias("label"), share(c).alias("n"), c["size"].alias("size"), c["need"].alias("need")))
-    rows = slim.join(candidates, "key", "left").withColumn("ok", F.filter(checked, lambda c: c["n"] >= c["need"]))
+    candidates = met.filter(length).groupBy("key").agg(F.collect_set(F.struct("block", "step", "label", "size", "need", "prefix", "last", "rs", "run", "c")).alias("cs"))
+
+    # Pairs by their rank; a document without candidates looks none up.
+    ranks = F.map_from_arrays(F.split(F.lit("\n".join(order)), "\n"), F.sequence(F.lit(1), F.lit(len(order))))
+    ranked = F.when(F.col("cs").isNotNull(), F.transform("pairs", lambda h: F.struct(h["at"].alias("at"), ranks[h["w"]].alias("r"))))
+    within = lambda c: F.filter("ranked", lambda h: (h["at"] >= c["block"] * c["step"]) & (h["at"] < (c["block"] + 2) * c["step"]))
+    held = F.transform(F.coalesce("cs", F.array().cast(candidates.schema["cs"].dataType)), lambda c: F.struct(c.alias("c"), within(c).alias("hs")))
+    held = F.transform(held, lambda x: F.struct(x["c"].alias("c"), x["hs"].alias("hs"), F.array_distinct(x["hs"]["r"]).alias("own")))
+    rest = lambda x: F.least(x["c"]["size"] - x["c"]["prefix"], F.size(F.filter(x["own"], lambda r: r > x["c"]["last"])))
+    passed = F.filter("held", lambda x: x["c"]["c"] + rest(x) >= x["c"]["need"])
+
+    def stands(x):
+        """Whether the run of a short notice stands in the block; others have none."""
+        hs, n = x["hs"], F.size(x["c"]["run"])
+        at = lambda j: (F.slice(hs["r"], j, n) == x["c"]["run"]) & (F.get(hs, j + n - 2)["at"] - F.get(hs, j - 1)["at"] == n - 1)
+        return (n == 0) | ((F.size(hs) >= n) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hs) - n + 1)), lambda j: F.coalesce(at(j), F.lit(False))))
+
+    shared = F.transform("passed", lambda x: F.struct(x["c"]["label"].alias("label"), F.size(F.array_intersect(x["own"], x["c"]["rs"])).alias("n"), x["c"]["size"].alias("size"), x["c"]["need"].alias("need"), stands(x).alias("stands")))
+    rows = slim.join(candidates, "key", "left").withColumn("ranked", ranked).withColumn("held", held).withColumn("passed", passed)
+    rows = rows.withColumn("ok", F.filter(shared, lambda c: (c["n"] >= c["need"]) & c["stands"]))
     starts = {p: F.col(f"s{i}") for i, p in enumerate(PHRASES)}
     rows = rows.withColumn("starts", F.flatten(F.array(*starts.values())))
     base = F.array_compact(F.array(*[F.when(F.size(starts[p]) > 0, F.lit(label)) for p, label in PHRASES.items()]))
@@ -164,4 +184,5 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshol
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").alias("first_word"), F.array_max("starts").alias("last_word"),
         joined(base).alias("base_labels"), joined(F.concat(base, F.transform("ok", lambda c: c["label"]))).alias("labels"),
         F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(best).alias("score"), F.size("ok").cast("long").alias("n_blocks"),
+        F.size("passed").cast("long").alias("n_verified"), F.size("held").cast("long").alias("n_candidates"),
     )
