@@ -56,6 +56,36 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     return (2 * F.least(F.size(a), F.size(b)) >= least * both) & (2 * shared >= least * both)
 
 
+def candidates(old: DataFrame, new: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, i, j) of the units whose ratio can be ``least``, by a join on rare words.
+
+    ``old``: (key, i, ki), ``new``: (key, j, kj), with arrays of words. A ratio of ``least``
+    needs ``least / 2`` of the words of both units in common, repeats counted, so at least
+    ``least / (2 - least)`` of either. A word's n-th occurrence is an element; with a
+    unit's elements ordered by how many units of the comparison hold them, rarest first, two
+    such units share an element among the first ``n - need + 1`` of each. Only those are
+    joined, so units that share nothing but common words never meet. Units without
+    words meet each other.
+    """
+    def elements(units: DataFrame, side: int, at: str) -> DataFrame:
+        words = F.when(F.size(f"k{at}") > 0, F.col(f"k{at}")).otherwise(F.array(F.lit("")))
+        each = units.select(key, F.lit(side).alias("side"), F.col(at).alias("unit"), F.size(words).alias("n"), F.explode(words).alias("w"))
+        held = each.groupBy(key, "side", "unit", "n", "w").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        return held.select(key, "side", "unit", "n", "w", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+
+    every = elements(old, 0, "i").unionByName(elements(new, 1, "j"))
+    every = every.withColumn("units", F.count(F.lit(1)).over(Window.partitionBy(key, "w", "nth")))
+    every = every.withColumn("p", F.row_number().over(Window.partitionBy(key, "side", "unit").orderBy("units", "w", "nth")))
+    need = F.ceil(F.col("n") * (least / (2 - least)) - 1e-9)
+    first = every.filter(F.col("p") <= F.col("n") - need + 1)
+    half = lambda side, at: first.filter(F.col("side") == side).select(key, "w", "nth", F.col("unit").alias(at), F.col("n").alias(f"n{at}"), F.col("p").alias(f"p{at}"))
+    both = F.col("ni") + F.col("nj")
+    # Of the first element that two units share, this is all that can follow.
+    rest = 1 + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj"))
+    met = half(0, "i").join(half(1, "j"), [key, "w", "nth"]).filter((2 * rest >= least * both - 1e-9) & (2 * F.least("ni", "nj") >= least * both - 1e-9))
+    return met.select(key, "i", "j").distinct()
+
+
 @F.pandas_udf(WORD_DIFF)
 def _diff(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
     def one(x, y, kx, ky):
@@ -118,8 +148,9 @@ def align(old: DataFrame, new: DataFrame, key: str = "comparison_id", verdicts:
     by_number = ou.filter("once").join(nu.filter("once").drop("once"), (ou[key] == nu[key]) & (F.trim("old_number") == F.trim("new_number"))).select(ou[key].alias(key), "i", "j", similarity(F.col("old_text"), F.col("new_text")).alias("s")).filter(F.col("s") >= NUMBER).select(key, "i", "j")
     free_o, free_n = o.join(by_number, [key, "i"], "left_anti"), n.join(by_number, [key, "j"], "left_anti")
     keyed = lambda side, at, c: side.select(key, at, match_key(F.col(c)).alias(f"k{at}"))
-    # Bounds on the ratio are checked in the join, so few pairs are compared in full.
-    pairs = keyed(free_o, "i", "old_text").join(keyed(free_n, "j", "new_text"), key).filter(may_reach(F.col("ki"), F.col("kj"), GRAY))
+    # Few pairs meet, and bounds on the ratio leave fewer to be compared in full.
+    words_o, words_n = keyed(free_o, "i", "old_text"), keyed(free_n, "j", "new_text")
+    pairs = candidates(words_o, words_n, key, GRAY).join(words_o, [key, "i"]).join(words_n, [key, "j"]).filter(may_reach(F.col("ki"), F.col("kj"), GRAY))
     pairs = pairs.select(key, "i", "j", _ratio("ki", "kj").alias("s")).filter(F.col("s") >= GRAY)
     schema = f"{key} {dict(old.dtypes)[key]}, i int, j int, adjudicated boolean"
     close = pairs.filter(F.col("s") >= SAME).withColumn("adjudicated", F.lit(False)).groupBy(key).applyInPandas(_greedy(key), schema)
