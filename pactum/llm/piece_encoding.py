@@ -13,13 +13,15 @@ each distinct chunk of the corpus:
   copy its growing path at each edge, takes the same fold over the same edges in a
   Python loop, linear in its length.
 
-Texts then look up their chunks: the commonest come by broadcast (at most DICTIONARY
-chunks of together at most DICTIONARY_BYTES), the rest by a shuffle join per text.
+Texts then look up their chunks: the commonest (at most DICTIONARY chunks of together at
+most DICTIONARY_BYTES) lie in a file that one task writes to the shared folder and each
+worker reads, the rest come by a shuffle join per text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +44,10 @@ LONG_CHUNK = 512
 HOLD = 100_000
 #: Characters of chunks whose edges a task groups.
 LATTICE_CHARS = 250_000
+#: Bytes of a row in which the dictionary of common chunks is written.
+PART = 1 << 24
+#: That dictionary, as a Python worker holds it.
+_HELD: dict[str, tuple] = {}
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 
@@ -189,9 +195,10 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return folded.select("chunk", "n", "best.score", "best.ids").unionByName(long)
 
 
-def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
+def _common(lexicon: DataFrame, first: int) -> str:
     """The commonest chunks, by steps of frequency as far as the bounds reach, with their
-    flat ids, where those start, how many they are, and scores."""
+    flat ids, where those start, how many they are, and scores: built by one task and
+    written to the shared folder for ``_dictionary``, so the driver holds none of it."""
     short = lexicon.filter(F.octet_length("chunk") <= CHUNK_BYTES).withColumn("step", F.floor(F.log2("n") * 8))
     held, size, least = 0, 0, None
     for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("chunk")).alias("size")).collect(), reverse=True):
@@ -199,9 +206,37 @@ def _common(lexicon: DataFrame, first: int) -> tuple[Dictionary, tuple]:
         if held > DICTIONARY or size > DICTIONARY_BYTES:
             break
         least = r["step"]
-    rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids").toArrow()
-    flat, lengths = _expand(rows.column("ids").combine_chunks(), first)
-    return Dictionary(rows.column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), rows.column("score").to_numpy())
+    rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids")
+
+    def build(batches):
+        table = pa.Table.from_batches(list(batches), pa.schema([("chunk", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+        blob = pickle.dumps(_flat_dictionary(table, first), 5)
+        for at in range(0, len(blob), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([blob[at : at + PART]], pa.binary())], ["at", "part"])
+
+    place = shared_path(lexicon.sparkSession, "pieces-dictionary")
+    stored(rows.repartition(1).mapInArrow(build, "at long, part binary"), "", place)
+    return place
+
+
+def _flat_dictionary(table: pa.Table, first: int) -> tuple[Dictionary, tuple]:
+    ids = table.column("ids")
+    flat, lengths = _expand(ids.chunk(0) if ids.num_chunks else pa.array([], pa.list_(pa.int32())), first)
+    return Dictionary(table.column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), table.column("score").to_numpy())
+
+
+def _dictionary(place: str, first: int) -> tuple[Dictionary, tuple]:
+    """What ``_common`` wrote, read once a Python worker, which keeps the last one."""
+    if place not in _HELD:
+        from pyarrow import fs, parquet
+
+        _HELD.clear()
+        files, path = fs.FileSystem.from_uri(place)
+        found = [f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
+        parts = sorted((r["at"], r["part"]) for f in found for r in parquet.read_table(f, filesystem=files, partitioning=None).to_pylist())
+        none = pa.table({"chunk": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int32()))})
+        _HELD[place] = pickle.loads(b"".join(part for _, part in parts)) if parts else _flat_dictionary(none, first)
+    return _HELD[place]
 
 
 def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
@@ -213,12 +248,12 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
     lexicon = stored(best_paths(words, path), "", known)
     remove(counted)
     first = piece_table(spark, path)[2]
-    shared = spark.sparkContext.broadcast((cutter(path), *_common(lexicon, first)))
+    shared, place = spark.sparkContext.broadcast(cutter(path)), _common(lexicon, first)
     # Documents that share a key share what they are given, which harms none.
     keyed = docs.withColumn("key", F.xxhash64(*docs.columns))
 
     def missing(batches):
-        cut, known, _ = shared.value
+        cut, (known, _) = shared.value, _dictionary(place, first)
         for batch in batches:
             for low, _, passes in cut.passes(batch.column(0)):
                 for some in passes:
@@ -245,7 +280,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
     width = len(docs.columns)
 
     def run(batches):
-        cut, known, (flat, starts, lengths, scores) = shared.value
+        cut, (known, (flat, starts, lengths, scores)) = shared.value, _dictionary(place, first)
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             more = batch.column(width)
@@ -256,7 +291,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
                 given = own.flatten()
                 row = np.repeat(np.arange(high - low), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
                 own_flat, own_lengths = _expand(given.field("ids"), first)
-                place = {k: len(starts) + i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
+                spot = {k: len(starts) + i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
                 table = np.concatenate([flat.astype(np.int32), own_flat])
                 from_ = np.concatenate([starts, len(flat) + np.cumsum(own_lengths) - own_lengths])
                 size, worth = np.concatenate([lengths, own_lengths]), np.concatenate([scores, given.field("score").to_numpy(zero_copy_only=False)])
@@ -265,7 +300,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
                     found = known.find(some)
                     rest = np.flatnonzero(found < 0)
                     text = np.repeat(np.arange(high - low if len(some.counts) > 1 else 1), some.counts)
-                    found[rest] = [place[k] for k in zip(text[rest].tolist(), some.chunks(rest), strict=True)]
+                    found[rest] = [spot[k] for k in zip(text[rest].tolist(), some.chunks(rest), strict=True)]
                     ids.append(gather(table, from_[found], size[found]))
                     n += np.bincount(text, size[found], high - low).astype(np.int64)
                     score += np.bincount(text, worth[found], high - low)
