@@ -21,9 +21,11 @@ worker reads, the rest come by a shuffle join per text.
 from __future__ import annotations
 
 import hashlib
+import io
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ HOLD = 100_000
 #: Characters of chunks whose edges a task groups.
 LATTICE_CHARS = 250_000
 #: Bytes of a row in which the dictionary of common chunks is written.
-PART = 1 << 24
+PART = 1 << 22
 #: That dictionary, as a Python worker holds it.
 _HELD: dict[str, tuple] = {}
 #: Score of a character that is no piece: there is no other edge over it.
@@ -225,6 +227,27 @@ def _flat_dictionary(table: pa.Table, first: int) -> tuple[Dictionary, tuple]:
     return Dictionary(table.column("chunk").to_pylist()), (narrow(flat), narrow(np.cumsum(lengths) - lengths), narrow(lengths), table.column("score").to_numpy())
 
 
+class _Parts(io.RawIOBase):
+    """The parts of a stored dictionary as one stream."""
+
+    def __init__(self, table):
+        self.parts = (memoryview(x.as_buffer()).cast("B") for batch in table.iter_batches(1, columns=["part"]) for x in batch.column(0))
+        self.left = memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not len(self.left):
+            self.left = next(self.parts, None)
+            if self.left is None:
+                self.left = memoryview(b"")
+                return 0
+        n = min(len(target), len(self.left))
+        target[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
 def _dictionary(place: str, first: int) -> tuple[Dictionary, tuple]:
     """What ``_common`` wrote, read once a Python worker, which keeps the last one."""
     if place not in _HELD:
@@ -233,9 +256,14 @@ def _dictionary(place: str, first: int) -> tuple[Dictionary, tuple]:
         _HELD.clear()
         files, path = fs.FileSystem.from_uri(place)
         found = [f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
-        parts = sorted((r["at"], r["part"]) for f in found for r in parquet.read_table(f, filesystem=files, partitioning=None).to_pylist())
         none = pa.table({"chunk": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int32()))})
-        _HELD[place] = pickle.loads(b"".join(part for _, part in parts)) if parts else _flat_dictionary(none, first)
+        # One task wrote the parts, so they stand in one file, in order; they are read one by one.
+        with ExitStack() as opened:
+            tables = [parquet.ParquetFile(opened.enter_context(files.open_input_file(f))) for f in found]
+            filled = [t for t in tables if t.metadata.num_rows]
+            if len(filled) > 1:
+                raise ValueError(f"{place} holds more than one dictionary")
+            _HELD[place] = pickle.load(io.BufferedReader(_Parts(filled[0]))) if filled else _flat_dictionary(none, first)
     return _HELD[place]
 
 
