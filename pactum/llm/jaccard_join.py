@@ -30,6 +30,7 @@ leaders then meet; no task gets a group that grows with the corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,15 +57,15 @@ WORTH = 0.1
 #: Hash ranges whose parities each node carries for the suffix filter, 64 to a number.
 RANGES = 256
 SIGNS = [f"g{i}" for i in range(RANGES // 64)]
-#: An n-gram's rows are dealt so that a task pairs at most so many with all the others.
-PAIRED_ROWS = 1_000
+#: Rows on either side of a cell of the grid over the rows of one n-gram and length band.
+PAIRED_ROWS = 20_000
 #: Copies of a row that many rows of one node or root are dealt to.
 SALTS = 8
 #: Nodes with one 64-bit hash for different sets that can be told apart; about one is due at 6e9 sets.
 CLASHES = 10_000
 #: Bits of the filter that tells which documents a check needs; a full filter only
 #: lets more sets through to the exact join.
-FILTER_BITS = 1 << 24
+FILTER_BITS, PIECE_BITS = 1 << 24, 1 << 15
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -221,26 +222,19 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, cl
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rep = nodes.select("node", "doc_id").join(needed, "node", "left_semi")
-
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) * _P >> np.uint64(64 - 24)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([x.tobytes() for x in np.split(bits, 16)], pa.binary())], ["part", "bits"])
-
-    def merge(pdf):
-        return pdf.head(1)[["part"]].assign(bits=[np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]], axis=0).tobytes()])
-
-    bits = rep.select("doc_id").coalesce(8).mapInArrow(mark, "part long, bits binary").groupBy("part").applyInPandas(merge, "part long, bits binary").collect()
-    shared = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(bits)] or [np.zeros(FILTER_BITS // 8, np.uint8)]))
+    # Each task sets bits in pieces of 4 KB, which are merged by piece: at most FILTER_BITS in all.
+    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    pieces = rep.select(spot.alias("at")).groupBy(F.shiftright("at", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PIECE_BITS - 1))).alias("bits"))
+    filled = np.zeros((FILTER_BITS // PIECE_BITS, PIECE_BITS // 8), np.uint8)
+    for r in pieces.collect():
+        filled[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(filled.reshape(-1))
 
     def run(batches):
         bits, seen = shared.value, set()
         for batch in batches:
-            ids = batch.column(0)
-            at = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _P >> np.uint64(64 - 24)
-            hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = batch.column(2).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             out = ([], [])
             for _, s, node, _ in _sets([batch.filter(pa.array(hit))], n, clashes):
                 if node not in seen:
@@ -250,7 +244,7 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, cl
             for i in range(0, len(out[0]), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0][i : i + 500], pa.int64()), pa.array(out[1][i : i + 500], pa.binary())], ["node", "s"])
 
-    return docs.mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("doc_id", "text", spot.alias("at")).mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, clashes: frozenset) -> DataFrame:
@@ -302,17 +296,31 @@ def _stars(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _across(open_rows: DataFrame, percent: int) -> DataFrame:
-    """All candidates between components that pass the filters, inside the join. An n-gram of
-    many rows is dealt over salts: one side in parts, the other to each of them."""
-    salts = open_rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("salts"))
-    rows = open_rows.join(salts, "h")
-    left, right = (rows.select("h", "salts", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)]) for x in ("l", "r"))
-    left = left.withColumn("salt", F.pmod(F.xxhash64("lnode"), F.col("salts")).cast("int")).drop("salts")
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    """All candidates between components that pass the filters, inside the join.
+
+    Rows of an n-gram meet by length band: bands are as wide as the length filter reaches,
+    so a set's partners of its own size or more lie in its band or the next. The m rows of
+    an n-gram and band lie on a grid of cells of PAIRED_ROWS by PAIRED_ROWS; each row is
+    copied to its line or column, ``m / PAIRED_ROWS`` times, and up to PAIRED_ROWS rows
+    not at all.
+    """
+    band = F.floor(F.log("n") / (max(math.log(100 / percent), 0.01) * 1.0001)).cast("int")
+    both = open_rows.withColumn("band", band)
+    reached = both.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    side = lambda df, x: df.select("h", "band", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)])
     # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
-    indexed = F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent))
+    left = side(both, "l").filter(F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent)))
+    right = side(reached, "r")
+    many = right.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("cells")).filter("cells > 1")
+
+    def on_grid(rows: DataFrame, own: str, other: str, node: str) -> DataFrame:
+        rows = rows.join(many, ["h", "band"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(node), F.col("cells")).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+
+    left, right = on_grid(left, "line", "column", "lnode"), on_grid(right, "column", "line", "rnode")
     first = F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))
-    met = left.filter(indexed).join(right, ["h", "salt"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent))
+    met = left.join(right, ["h", "band", "line", "column"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent))
     return met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))
 
 
