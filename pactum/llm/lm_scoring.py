@@ -14,13 +14,14 @@ without it; for texts of known characters the word model is thus a distribution
 that weight.
 
 The lattice runs once per distinct word, wherever Spark has dealt that word.
-Texts then need word scores: the commonest words (at most DICTIONARY of them, of at
-most WORD_BYTES bytes) go to the tasks by broadcast, all others meet their
+Texts then need word scores: the commonest words (at most DICTIONARY of them, of more than
+WORD_BYTES bytes by their digests) go to the tasks by broadcast, all others meet their
 texts in a shuffle join, which for this reason has no hot key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY, WORD_BYTES = 1 << 18, 64
 #: Distinct words that a counting task holds before it passes them on.
 HOLD = 400_000
+#: Copies of a row that a task makes at a time.
+COPIES = 4_096
 HELD_OUT = 1
 #: Weight of a character that is no piece, as part of the probability of its word.
 UNKNOWN = 1e-12
@@ -125,10 +128,17 @@ def score_words(words: DataFrame, model: Model) -> DataFrame:
     return words.mapInArrow(run, "word binary, train long, rest long, lp double")
 
 
+def _entry(word: bytes) -> bytes:
+    """The word as the dictionary of common words holds it."""
+    return word if len(word) <= WORD_BYTES else b" " + hashlib.md5(word).digest()
+
+
 def _common(scored: DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
     """The commonest words, by steps of frequency, as far as DICTIONARY reaches."""
     step = F.floor(F.log2(F.col("train") + F.col("rest")) * 8)
-    short = scored.filter(F.length("word") <= WORD_BYTES).withColumn("step", step)
+    # A space stands in no word, so a digest behind one is no other word.
+    digest = F.concat(F.lit(b" "), F.unhex(F.md5("word")))
+    short = scored.withColumns({"step": step, "word": F.when(F.length("word") <= WORD_BYTES, F.col("word")).otherwise(digest)})
     held, least = 0, None
     for r in sorted(short.groupBy("step").count().collect(), reverse=True):
         held += r["count"]
@@ -171,7 +181,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text, held in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
                 ws = _words(text := text.as_py())
-                at = np.fromiter((find(w, -1) for w in ws), np.int64, len(ws))
+                at = np.fromiter((find(w if len(w) <= WORD_BYTES else _entry(w), -1) for w in ws), np.int64, len(ws))
                 key = xxhash.xxh3_128_digest(f"{doc_id}\0{'' if text is None else text}".encode("utf-8", "surrogatepass"))
                 known = at[at >= 0]
                 # A text's own row meets no word: words hold no space.
@@ -196,5 +206,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.col("lp"))).alias("score"),
     )
     each = lambda c, kind: (F.col(c) / F.col("m")).cast(kind).alias(c)
-    sums = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    # Repeated rows in two steps, so that no array grows with their number by itself.
+    sums = sums.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(COPIES))))
+    sums = sums.withColumn("row", F.explode(F.sequence("from", F.least(F.col("from") + COPIES, "m") - 1)))
     return sums.select("doc_id", "held_out", each("n_tokens", "long"), each("n_known", "long"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), each("base_score", "double"), each("score", "double"))
