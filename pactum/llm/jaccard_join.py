@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, shared_path, stored
 from .components import components
 
 BUCKET_BITS = 18
@@ -219,24 +219,22 @@ def _suffix_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
 
 def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, clashes: frozenset) -> DataFrame:
     """(node, set) of one document for each node in ``pairs``."""
-    spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rep = nodes.select("node", "doc_id").join(needed, "node", "left_semi")
-    # Each task sets bits in pieces of 4 KB, which are merged by piece: at most FILTER_BITS in all.
+    # Bits are set in pieces of 4 KB, merged by piece: FILTER_BITS in all, whatever the corpus. Texts
+    # that no pair needs are left out before they go to Python.
     spot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
-    pieces = rep.select(spot.alias("at")).groupBy(F.shiftright("at", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PIECE_BITS - 1))).alias("bits"))
-    filled = np.zeros((FILTER_BITS // PIECE_BITS, PIECE_BITS // 8), np.uint8)
-    for r in pieces.collect():
-        filled[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(filled.reshape(-1))
+    place = F.col("spot").bitwiseAND(F.lit(PIECE_BITS - 1))
+    pieces = rep.select(spot.alias("spot")).groupBy(F.shiftright("spot", 15).alias("piece")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    rows = docs.withColumn("spot", spot).withColumn("piece", F.shiftright("spot", 15)).join(F.broadcast(pieces), "piece").filter(hit)
 
     def run(batches):
-        bits, seen = shared.value, set()
+        seen = set()
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             out = ([], [])
-            for _, s, node, _ in _sets([batch.filter(pa.array(hit))], n, clashes):
+            for _, s, node, _ in _sets([batch], n, clashes):
                 if node not in seen:
                     seen.add(node) if len(seen) < MEMO else seen.clear()
                     out[0].append(node)
@@ -244,13 +242,14 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, cl
             for i in range(0, len(out[0]), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0][i : i + 500], pa.int64()), pa.array(out[1][i : i + 500], pa.binary())], ["node", "s"])
 
-    return docs.select("doc_id", "text", spot.alias("at")).mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    return rows.select("doc_id", "text").mapInArrow(run, "node long, s binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, clashes: frozenset) -> DataFrame:
     """The pairs (a, b) that link by their whole sets."""
     left = stored(pairs, "jaccard-left")
-    sets = stored(_needed_sets(docs, nodes, left, n, clashes), "jaccard-sets")
+    # Both joins read the one shuffle by node that leaves a set once.
+    sets = _needed_sets(docs, nodes, left, n, clashes)
     both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -278,14 +277,15 @@ def _likeliest(rows: DataFrame) -> DataFrame:
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their components, of n-grams that lie in several components."""
     named = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
-    return named.join(mixed, "h", "left_semi")
+    w = Window.partitionBy("h")
+    return named.withColumns({"x": F.min("root").over(w), "y": F.max("root").over(w)}).filter("x != y").drop("x", "y")
 
 
 def _stars(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Candidates (a, b) between each row and LEADERS nodes of its n-gram, drawn anew each
-    turn, where components differ. The draw is a group-wise minimum, so it is made
-    before the shuffle, and each n-gram brings LEADERS small rows to the join."""
+    turn, where components differ. The draw is a group-wise minimum; it and the join read
+    one shuffle by n-gram."""
+    open_rows = open_rows.repartition("h")
     fields = ["node", "n", "pos", "root", *SIGNS]
     lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("draw"), *[F.col(c).alias(f"l{c}") for c in fields])).alias(f"x{k}")
     leads = open_rows.groupBy("h").agg(*[lead(k) for k in range(LEADERS)])
@@ -305,20 +305,22 @@ def _across(open_rows: DataFrame, percent: int) -> DataFrame:
     not at all.
     """
     band = F.floor(F.log("n") / (max(math.log(100 / percent), 0.01) * 1.0001)).cast("int")
-    both = open_rows.withColumn("band", band)
-    reached = both.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    side = lambda df, x: df.select("h", "band", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)])
+    right = open_rows.withColumn("band", band)
     # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
-    left = side(both, "l").filter(F.col("lpos") <= F.col("ln") - F.ceil(F.lit(2 * percent) * F.col("ln") / F.lit(100 + percent)))
-    right = side(reached, "r")
-    many = right.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("cells")).filter("cells > 1")
+    indexed = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    reach = lambda df: df.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    left = reach(right.filter(indexed))
+    # Written first, so that Spark knows its size and sends it to the tasks where it is small.
+    many = reach(right.select("h", "band")).groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("cells")).filter("cells > 1")
+    many = stored(many, "jaccard-many")
+    side = lambda df, x: df.select("h", "band", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)])
 
     def on_grid(rows: DataFrame, own: str, other: str, node: str) -> DataFrame:
         rows = rows.join(many, ["h", "band"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
         rows = rows.withColumn(own, F.pmod(F.xxhash64(node), F.col("cells")).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
 
-    left, right = on_grid(left, "line", "column", "lnode"), on_grid(right, "column", "line", "rnode")
+    left, right = on_grid(side(left, "l"), "line", "column", "lnode"), on_grid(side(right, "r"), "column", "line", "rnode")
     first = F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))
     met = left.join(right, ["h", "band", "line", "column"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent))
     return met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))
@@ -358,7 +360,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     by_gram = Window.partitionBy("h", "salt")
     grams = _prefixes(docs, n, percent, _bucket_counts(survey), clashes).withColumns({"lead": F.min(F.struct("node", "n", "pos")).over(by_gram), "most": F.max("node").over(by_gram)})
     grams = grams.filter((F.col("lead.node") != F.col("most")) | (F.col("salt") >= 0))
-    grams = stored(grams.select("h", "salt", "node", "n", "pos", F.col("lead.node").alias("lnode"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")).distinct(), "jaccard-grams")
+    grams_at = shared_path(docs.sparkSession, "jaccard-grams")
+    grams = stored(grams.select("h", "salt", "node", "n", "pos", F.col("lead.node").alias("lnode"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lpos")).distinct(), "", grams_at)
 
     leads = grams.filter("salt >= 0").select("h", F.struct(F.col("lnode").alias("node"), F.col("ln").alias("n"), F.col("lpos").alias("pos")).alias("x")).distinct()
     tops = leads.join(leads.groupBy("h").agg(F.min("x").alias("l")), "h").select("x.*", F.col("l.node").alias("lnode"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
@@ -368,8 +371,11 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     links = stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links")
     linked, labels = links.count(), components(links)
 
-    open_rows = _open(grams.select("h", "node", "n", "pos").distinct(), labels).join(nodes.select("node", *SIGNS), "node")
-    open_rows = stored(open_rows, "jaccard-open")
+    # ``grams`` holds a node once an n-gram: its salt and leader follow from these.
+    open_rows = _open(grams.select("h", "node", "n", "pos"), labels).join(nodes.select("node", *SIGNS), "node")
+    at = shared_path(docs.sparkSession, "jaccard-open")
+    open_rows = stored(open_rows, "", at)
+    remove(grams_at)
     for turn in range(STAR_TURNS):
         fresh = _stars(open_rows, turn, percent).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
@@ -380,7 +386,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         if found:
             # Components only grow, so what is open now was open before.
             labels = _merged(labels, links)
-            open_rows = stored(_open(open_rows.drop("root"), labels), "jaccard-open")
+            before, at = at, shared_path(docs.sparkSession, "jaccard-open")
+            open_rows = stored(_open(open_rows.drop("root"), labels), "", at)
+            remove(before)
         if found <= WORTH * linked:
             break
 
