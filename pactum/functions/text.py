@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ QUOTES, PLAIN_QUOTES = "’‘“”", "''\"\""
 ACCENTED, PLAIN = "çğişöüâîûáàäãéèêëíìïóòôõúùñý", "cgisouaiuaaaaeeeeiiioooouuny"
 #: White space in the wide sense: what Python's ``\s`` takes, no-break space included.
 WIDE_SPACE = r"[\s   -     　\u0085\u001c-\u001f]+"
+#: Where none of these stands, nor two blanks in a row, single blanks are all there is of it.
+ODD_SPACE = r"[\t\n\x0B\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u205f\u3000]"
 
 
 def let(value: Column, body) -> Column:
@@ -20,13 +24,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _turned(s: Column, within: Column, what: str, to: str) -> Column:
+    """``translate`` of ``within``, a form of ``s`` with the same capitals and quotes, where any of the
+    characters stands in ``s``: it looks up each character, and most texts hold none of them. The
+    capital I, which many hold, is replaced apart."""
+    if "I" in what:
+        at = what.index("I")
+        within = F.when(F.contains(s, F.lit("I")), F.replace(within, F.lit("I"), F.lit(to[at]))).otherwise(within)
+        what, to = what[:at] + what[at + 1 :], to[:at] + to[at + 1 :]
+    held = reduce(lambda a, b: a | b, [F.contains(s, F.lit(c)) for c in what])
+    return F.when(held, F.translate(within, what, to)).otherwise(within)
+
+
 def tr_lower(s: Column) -> Column:
-    return F.lower(F.translate(s, TR_UPPER, TR_LOWER))
+    return F.lower(_turned(s, s, TR_UPPER, TR_LOWER))
 
 
 def fold(s: Column) -> Column:
     """For matching: lower case, plain quotes, single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(tr_lower(s), QUOTES, PLAIN_QUOTES), WIDE_SPACE, " "))
+    spaced = F.contains(s, F.lit("  ")) | s.rlike(ODD_SPACE)
+    single = F.when(spaced, F.regexp_replace(s, WIDE_SPACE, " ")).otherwise(s)
+    return F.trim(F.lower(_turned(s, single, TR_UPPER + QUOTES, TR_LOWER + PLAIN_QUOTES)))
 
 
 def deaccent(s: Column) -> Column:
@@ -106,23 +124,36 @@ def folded_places(s: Column) -> Column:
     return let(kept, lambda k: F.struct(F.rtrim(F.array_join(F.transform(k, lambda x: x["c"]), "")).alias("folded"), F.transform(k, lambda x: x["i"]).alias("places")))
 
 
+def _spaced_pattern(folded: Column) -> Column:
+    """A pattern of folded text as it may stand before blanks were joined. Folded text has no
+    capital that could end the quoting."""
+    return F.concat(F.lit("\\Q"), F.replace(folded, F.lit(" "), F.lit("\\E +\\Q")), F.lit("\\E"))
+
+
 def quote_span(hay: Column, quote: Column, least: int = 12, index: Column | None = None) -> Column:
     """struct<start, end> (0-based, in code points of ``hay``) of a claimed quote: where it stands as
-    it is, else where it stands folded, carried back through the places that ``folded_places``
-    kept (``index``, where they are at hand). Null where it stands nowhere, and for quotes under
+    it is, else where it stands folded: every character of ``hay`` folds to one, white space to a
+    blank, and blanks of the quote stand for runs of them (or by the places that ``folded_places``
+    kept, ``index``, where they are at hand). Null where it stands nowhere, and for quotes under
     ``least`` characters, which are never evidence."""
     span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-    def look(bare: Column) -> Column:
-        at = F.instr(hay, bare)
+    def by_places(q: Column) -> Column:
+        def back(f: Column) -> Column:
+            j = F.instr(f["folded"], q)
+            return F.when(j > 0, span(F.get(f["places"], j - 1), F.get(f["places"], j + F.length(q) - 2) + 1))
 
-        def folded(q: Column) -> Column:
-            def back(f: Column) -> Column:
-                j = F.instr(f["folded"], q)
-                return F.when(j > 0, span(F.get(f["places"], j - 1), F.get(f["places"], j + F.length(q) - 2) + 1))
+        return let(index, back)
 
-            return let(index if index is not None else folded_places(hay), back)
+    def by_pattern(q: Column) -> Column:
+        # The first match is the first place of its own string, as a place before it would match too.
+        same_length = F.lower(_turned(hay, F.regexp_replace(hay, WIDE_SPACE[:-1], " "), TR_UPPER + QUOTES, TR_LOWER + PLAIN_QUOTES))
+        found = lambda s: let(F.regexp_substr(s, _spaced_pattern(q)), lambda m: let(F.instr(s, m) - 1, lambda at: F.when(m.isNotNull() & (m != ""), span(at, at + F.length(m)))))
+        return let(same_length, found)
 
+    def look(bare: Column) -> Column:
+        at = F.instr(hay, bare)
+        folded = by_places if index is not None else by_pattern
         return F.when(F.length(bare) >= least, F.when(at > 0, span(at - 1, at - 1 + F.length(bare))).otherwise(let(fold(bare), folded)))
 
     return let(bare_quote(quote), look)
