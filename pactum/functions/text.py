@@ -37,11 +37,22 @@ def _turned(s: Column, within: Column, what: str, to: str) -> Column:
 
 
 def tr_lower(s: Column) -> Column:
-    return F.lower(_turned(s, s, TR_UPPER, TR_LOWER))
+    return F.lower(F.translate(s, TR_UPPER, TR_LOWER))
 
 
 def fold(s: Column) -> Column:
     """For matching: lower case, plain quotes, single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(tr_lower(s), QUOTES, PLAIN_QUOTES), WIDE_SPACE, " "))
+
+
+def lower_text(s: Column) -> Column:
+    """``tr_lower`` for columns of whole texts. The argument is named many times, so it must be a
+    column or a variable, not an expression to compute."""
+    return F.lower(_turned(s, s, TR_UPPER, TR_LOWER))
+
+
+def fold_text(s: Column) -> Column:
+    """``fold`` for columns of whole texts, as ``lower_text``."""
     spaced = F.contains(s, F.lit("  ")) | s.rlike(ODD_SPACE)
     single = F.when(spaced, F.regexp_replace(s, WIDE_SPACE, " ")).otherwise(s)
     return F.trim(F.lower(_turned(s, single, TR_UPPER + QUOTES, TR_LOWER + PLAIN_QUOTES)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, fold_text
 from .classify import DEFAULT_BUYERS
 from .rules import match_places
 
@@ -84,7 +84,7 @@ def term(text: Column) -> Column:
 
 def stamp_duty(text: Column, terms: Column) -> Column:
     """Who bears stamp duty, judged by what stands around its first mention."""
-    low = fold(text)
+    low = fold_text(text)
     at = F.instr(low, "damga vergisi") - 1
     around = fold(F.substring(text, F.greatest(F.lit(0), at - 200) + 1, at + 300 - F.greatest(F.lit(0), at - 200)))
     buyer = F.exists(buyer_names(terms), lambda a: F.contains(around, a))
@@ -98,5 +98,5 @@ def extract_meta(docs: DataFrame, key: str = "contract_id", text: str = "text")
     rows = docs.select(key, body.alias("t"), defined_terms(body).alias("terms"), parties(body, None).alias("parties"))
     return rows.select(
         key, F.slice("parties", 1, 6).alias("parties"), counterparty(F.col("parties"), F.col("terms")).alias("counterparty"), amount(F.col("t")).alias("value_text"), term(F.col("t")).alias("term_text"),
-        stamp_duty(F.col("t"), F.col("terms")).alias("stamp_duty"), fold(F.col("t")).rlike(RENEWS).alias("auto_renew"), "terms",
+        stamp_duty(F.col("t"), F.col("terms")).alias("stamp_duty"), fold_text(F.col("t")).rlike(RENEWS).alias("auto_renew"), "terms",
     )

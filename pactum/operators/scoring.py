@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_quote, fold, let, quote_span
+from ..functions.text import bare_quote, fold, fold_text, let, quote_span
 from ..schemas import SEVERITIES, severity_points, severity_rank
 from ..storage import stored
 
@@ -34,7 +34,7 @@ def _keyword_counts(rows: DataFrame, contracts: DataFrame, key: str, text: str)
     """``rows`` with ``hits``: keywords that stand in the contract's text, which is folded once for
     all types asked about."""
     asked = rows.groupBy(key).agg(F.collect_list(F.struct("code", "keywords")).alias("asked_"))
-    counted = let(fold(F.coalesce(text, F.lit(""))), lambda low: F.transform("asked_", lambda x: F.struct(x["code"].alias("code"), F.size(F.filter(x["keywords"], lambda k: F.contains(low, fold(k)))).alias("hits"))))
+    counted = let(fold_text(F.coalesce(text, F.lit(""))), lambda low: F.transform("asked_", lambda x: F.struct(x["code"].alias("code"), F.size(F.filter(x["keywords"], lambda k: F.contains(low, fold(k)))).alias("hits"))))
     hits = asked.join(contracts.select(key, text), key).select(key, F.explode(counted).alias("x")).select(key, "x.code", "x.hits")
     return rows.join(hits, [key, "code"])
 
@@ -66,7 +66,7 @@ def ground(findings: DataFrame, clauses: DataFrame, docs: DataFrame, key: str =
     rows = findings.join(own, [key, "order_index"], "left").withColumn("span_", F.when(~bare, quote_span(F.coalesce("clause_text_", F.lit("")), F.col("quote")))).drop("clause_text_")
     rows = stored(rows, "ground-clauses")
     asked = rows.filter(~bare & F.col("span_").isNull()).groupBy(key).agg(F.collect_set("quote").alias("quotes_"))
-    found = let(F.struct(F.coalesce(text, F.lit("")).alias("t"), fold(F.coalesce(text, F.lit(""))).alias("f")), lambda v: F.filter("quotes_", lambda q: let(bare_quote(q), lambda b: (F.length(b) >= LEAST_QUOTE) & (F.contains(v["t"], b) | F.contains(v["f"], fold(b))))))
+    found = let(F.struct(F.coalesce(text, F.lit("")).alias("t"), fold_text(F.coalesce(text, F.lit(""))).alias("f")), lambda v: F.filter("quotes_", lambda q: let(bare_quote(q), lambda b: (F.length(b) >= LEAST_QUOTE) & (F.contains(v["t"], b) | F.contains(v["f"], fold(b))))))
     there = asked.join(docs.select(key, text), key).select(key, F.explode(found).alias("quote")).withColumn("there_", F.lit(True))
     rows = rows.join(there, [key, "quote"], "left")
     here, there = F.col("span_").isNotNull(), F.coalesce("there_", F.lit(False))

@@ -359,7 +359,7 @@ SELECT doc_id, code, hits::BIGINT AS hits, CASE WHEN hits < 1 THEN 'YOK' ELSE 'K
 def mandatory_gaps(spark, sf_dir):
     """Mandatory types that no clause of a document has."""
     docs = _docs(spark, sf_dir).withColumn("contract_type", F.lit("SAAS"))
-    detected = _classified(spark, sf_dir).select("doc_id", F.explode("codes.code").alias("code")).distinct()
+    detected = classify.score(_clauses(spark, sf_dir), TYPES, "doc_id").select("doc_id", "code").distinct()
     return _long(scoring.detect_gaps(docs, to_frame(spark, TYPES), detected, "doc_id").select("doc_id", "code", "hits", "status", "severity"))
 
 
@@ -447,7 +447,7 @@ def priority_actions(spark, sf_dir):
 SELECT doc_id, order_index, weight, row_number() OVER w AS rank FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY weight DESC, order_index) QUALIFY row_number() OVER w <= 5""")
 def llm_clause_selection(spark, sf_dir):
     """The five heaviest clauses of each document, as a model would be asked about them."""
-    return _long(scoring.clauses_for_model(_classified(spark, sf_dir), to_frame(spark, TYPES), "doc_id", 5))
+    return _long(scoring.clauses_for_model(classify.codes_of(_clauses(spark, sf_dir), TYPES, "doc_id"), to_frame(spark, TYPES), "doc_id", 5))
 
 
 _LENSES = {t.code: scoring.LENSES[t.category][: max(0, min(2, t.weight - 3))] for t in TYPES}
