@@ -15,10 +15,12 @@ threshold. The plan:
    and then fetches whole sets, once.
 4. Links found are contracted to components. N-grams whose rows still lie in
    different components try further stars, with leaders drawn at random, one
-   candidate a node and turn, until hardly a pair links. Only what is then still apart
-   is paired in full, across components, without the pairs that were checked before. A
-   group of near copies thus costs a few pairs per member, and no link between
-   components is lost.
+   candidate a node and turn (the nearest by the parities below), until hardly a pair
+   links. Only what is then still apart is paired in full, across components, without
+   the pairs that were checked before. A pair comes up at the n-grams that it shares
+   first, not at each. Of the pairs between two components the nearest is checked
+   first, the others only where that left them apart. No link between components is
+   lost.
 
 The suffix filter bounds how far two sets differ by their hash ranges: each node
 carries the parity of its n-grams in each of 256 ranges, and every range whose parities
@@ -51,9 +53,14 @@ MEMO = 200_000
 #: Turns of star candidates with drawn leaders, and leaders of an n-gram in each. They only
 #: save work: what they leave apart is paired in full.
 STAR_TURNS, LEADERS = 4, 4
-#: A turn that adds less than this share of the links so far is the last one: what is open
+#: A turn of whose pairs less than this share link is the last one: what is open
 #: then is mostly texts that share n-grams but are not alike, which stars do not contract.
 WORTH = 0.1
+#: Earlier n-grams of its node that a row of the full search knows.
+BEFORE = 4
+#: Turns of the full search that check one pair of two components, while over FEW_PAIRS are
+#: left. They only save work, too.
+NEAREST_TURNS, FEW_PAIRS = 3, 5_000
 #: Hash ranges whose parities each node carries for the suffix filter, 64 to a number.
 RANGES = 256
 SIGNS = [f"g{i}" for i in range(RANGES // 64)]
@@ -205,13 +212,24 @@ def _may_link(a: str, b: str, percent: int):
     return length & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
 
 
+def _apart(a: str, b: str):
+    """Ranges with different parities, and the n-grams of both sets."""
+    both = F.col(f"{a}n").cast("long") + F.col(f"{b}n")
+    return sum((F.bit_count(F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))) for g in SIGNS[1:]), F.bit_count(F.col(f"{a}{SIGNS[0]}").bitwiseXOR(F.col(f"{b}{SIGNS[0]}")))), both
+
+
 def _suffix(a: str, b: str, percent: int):
     """Suffix filter: ranges with different parities are n-grams that only one set has."""
-    both = F.col(f"{a}n").cast("long") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))) for g in SIGNS[1:]), F.bit_count(F.col(f"{a}{SIGNS[0]}").bitwiseXOR(F.col(f"{b}{SIGNS[0]}"))))
+    apart, both = _apart(a, b)
     return (100 + percent) * (both - apart) >= 2 * percent * both
 
 
+def _far(a: str, b: str):
+    """How far two sets seem to be apart, in thousandths."""
+    apart, both = _apart(a, b)
+    return F.floor(1000 * apart / both).cast("int").alias("far")
+
+
 def _suffix_filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", *SIGNS)])
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_suffix("a", "b", percent)).select("a", "b")
@@ -274,6 +292,11 @@ def _likeliest(rows: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
 
 
+def _nearest(rows: DataFrame) -> DataFrame:
+    """Of the candidates (a, b, far) of each node ``a``, the one that seems nearest."""
+    return rows.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", "x.b")
+
+
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their components, of n-grams that lie in several components."""
     named = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -282,21 +305,25 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _stars(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidates (a, b) between each row and LEADERS nodes of its n-gram, drawn anew each
-    turn, where components differ. The draw is a group-wise minimum; it and the join read
-    one shuffle by n-gram."""
+    """Candidates (a, b, far) between each row and LEADERS nodes of its n-gram, drawn anew for
+    each n-gram and turn, where components differ: a node meets other leaders at each of its
+    n-grams. The draw is a group-wise minimum; it and the join read one shuffle by n-gram."""
     open_rows = open_rows.repartition("h")
     fields = ["node", "n", "pos", "root", *SIGNS]
-    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("draw"), *[F.col(c).alias(f"l{c}") for c in fields])).alias(f"x{k}")
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "h", "node").alias("draw"), *[F.col(c).alias(f"l{c}") for c in fields])).alias(f"x{k}")
     leads = open_rows.groupBy("h").agg(*[lead(k) for k in range(LEADERS)])
     each = F.array(*[F.struct(*[F.col(f"x{k}.l{c}") for c in fields]) for k in range(LEADERS)])
     leads = leads.select("h", F.explode(F.array_distinct(each)).alias("x")).select("h", "x.*")
     near = open_rows.join(leads, "h").filter((F.col("root") != F.col("lroot")) & _may_link("", "l", percent) & _suffix("", "l", percent))
-    return near.select(F.col("node").alias("a"), F.col("lnode").alias("b"))
+    return near.select(F.col("node").alias("a"), F.col("lnode").alias("b"), _far("", "l"))
 
 
 def _across(open_rows: DataFrame, percent: int) -> DataFrame:
-    """All candidates between components that pass the filters, inside the join.
+    """All candidates (a, b, far) between components that pass the filters, inside the join.
+
+    Each row knows the ``BEFORE`` n-grams that stand before its own in its node. Where two
+    rows have one of these in common, the pair comes up there already, so they do not meet:
+    the first n-gram that a pair shares has none, and there a pair that links passes.
 
     Rows of an n-gram meet by length band: bands are as wide as the length filter reaches,
     so a set's partners of its own size or more lie in its band or the next. The m rows of
@@ -305,7 +332,8 @@ def _across(open_rows: DataFrame, percent: int) -> DataFrame:
     not at all.
     """
     band = F.floor(F.log("n") / (max(math.log(100 / percent), 0.01) * 1.0001)).cast("int")
-    right = open_rows.withColumn("band", band)
+    before = Window.partitionBy("node").orderBy("pos").rowsBetween(-BEFORE, -1)
+    right = open_rows.withColumns({"band": band, "before": F.collect_list("h").over(before)})
     # The smaller set of a pair needs only its index prefix, 1 - 2t/(1+t) of the set.
     indexed = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
     reach = lambda df: df.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
@@ -313,7 +341,7 @@ def _across(open_rows: DataFrame, percent: int) -> DataFrame:
     # Written first, so that Spark knows its size and sends it to the tasks where it is small.
     many = reach(right.select("h", "band")).groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("cells")).filter("cells > 1")
     many = stored(many, "jaccard-many")
-    side = lambda df, x: df.select("h", "band", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", *SIGNS)])
+    side = lambda df, x: df.select("h", "band", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "pos", "root", "before", *SIGNS)])
 
     def on_grid(rows: DataFrame, own: str, other: str, node: str) -> DataFrame:
         rows = rows.join(many, ["h", "band"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
@@ -322,8 +350,16 @@ def _across(open_rows: DataFrame, percent: int) -> DataFrame:
 
     left, right = on_grid(side(left, "l"), "line", "column", "lnode"), on_grid(side(right, "r"), "column", "line", "rnode")
     first = F.struct("ln", "lnode") < F.struct(F.col("rn").alias("ln"), F.col("rnode").alias("lnode"))
-    met = left.join(right, ["h", "band", "line", "column"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent))
-    return met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"))
+    met = left.join(right, ["h", "band", "line", "column"]).filter((F.col("lroot") != F.col("rroot")) & first & _may_link("l", "r", percent) & _suffix("l", "r", percent) & ~F.arrays_overlap("lbefore", "rbefore"))
+    return met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b"), _far("l", "r"))
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, far) whose nodes lie in different components x and y."""
+    root = lambda x, at: labels.select(F.col("node").alias(x), F.col("root").alias(at))
+    named = pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+    ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    return named.filter(ra != rb).select("a", "b", "far", F.least(ra, rb).alias("x"), F.greatest(ra, rb).alias("y"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -369,7 +405,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     tried = _pairs(_likeliest(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))))
     tried = stored(_suffix_filtered(tried, nodes, percent), "jaccard-pairs")
     links = stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links")
-    linked, labels = links.count(), components(links)
+    labels = components(links)
 
     # ``grams`` holds a node once an n-gram: its salt and leader follow from these.
     open_rows = _open(grams.select("h", "node", "n", "pos"), labels).join(nodes.select("node", *SIGNS), "node")
@@ -377,24 +413,33 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     open_rows = stored(open_rows, "", at)
     remove(grams_at)
     for turn in range(STAR_TURNS):
-        fresh = _stars(open_rows, turn, percent).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
-        pairs = stored(_pairs(_likeliest(fresh)), "jaccard-pairs")
+        fresh = _stars(open_rows, turn, percent).select("a", "b", "far", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b", "far")
+        pairs = stored(_pairs(_nearest(fresh)), "jaccard-pairs")
         links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
         found, tried = links.count(), tried.union(pairs)
-        linked += found
         if found:
             # Components only grow, so what is open now was open before.
             labels = _merged(labels, links)
             before, at = at, shared_path(docs.sparkSession, "jaccard-open")
             open_rows = stored(_open(open_rows.drop("root"), labels), "", at)
             remove(before)
-        if found <= WORTH * linked:
+        if found <= WORTH * pairs.count():
             break
 
-    last = stored(_pairs(_across(open_rows, percent)).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    last = _across(open_rows, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").distinct()
+    last = stored(_between(last.join(tried, ["a", "b"], "left_anti"), labels), "jaccard-last")
+    for _ in range(NEAREST_TURNS):
+        if last.count() <= FEW_PAIRS:
+            break
+        pairs = stored(last.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"), "jaccard-pairs")
+        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+        last = stored(_between(last.drop("x", "y").join(pairs, ["a", "b"], "left_anti"), labels), "jaccard-last")
     if not last.isEmpty():
-        labels = _merged(labels, stored(_checked(docs, nodes, last, n, percent, clashes), "jaccard-links"))
+        labels = _merged(labels, stored(_checked(docs, nodes, last.select("a", "b"), n, percent, clashes), "jaccard-links"))
 
     # Only nodes with links or with copies have another id than their own to take.
     joined = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")
