@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import remove, shared_dir, shared_path, stored
 
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "remove", "shared_dir", "shared_path", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "let_go", "remove", "shared_dir", "shared_path", "stored", "table"]
 
 #: ``[\x20\x09-\x0D]``: the white space that the word rules split on.
 SPACES = " \t\n\x0b\x0c\r"
+#: What empties the tables that a Python worker keeps from task to task.
+KEEPERS: list[Callable[[], None]] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let_go() -> None:
+    """For the start of a task: a Python worker serves all operators, one after the other. What
+    the one before kept goes, and the memory that it freed goes back to the system."""
+    for empty in KEEPERS:
+        empty()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

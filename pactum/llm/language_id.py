@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, let_go
 from .lattice import PieceTable, rank_prior, vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -77,6 +77,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     shared = spark.sparkContext.broadcast((table, prior, {x: i for i, x in enumerate(langs)}))
 
     def count(batches):
+        let_go()
         table, prior, at = shared.value
         total = np.zeros((table.n, len(at)))
         for batch, runs in _passes(batches, "text"):
@@ -109,6 +110,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        let_go()
         m = shared.value
         for batch, runs in _passes(batches, text):
             codes, words = _distinct(runs)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shared_path, stored
+from .common import KEEPERS, remove, shared_path, stored
 from .lattice import MARK, vocabulary
 from .spans import Cutter, Dictionary, gather, narrow
 
@@ -50,6 +50,7 @@ LATTICE_CHARS = 250_000
 PART = 1 << 22
 #: That dictionary, as a Python worker holds it.
 _HELD: dict[str, tuple] = {}
+KEEPERS.append(_HELD.clear)
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 
