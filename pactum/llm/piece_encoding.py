@@ -7,11 +7,10 @@ each distinct chunk of the corpus:
   table (a fixed vocabulary, broadcast, joined by hash and compared in full); what joins
   is an edge of the lattice, and a character that is no piece gives an edge of its
   UTF-8 byte pieces;
-* edges are grouped by chunk and sorted from the end of the chunk backwards, and
-  Viterbi is a fold over them with Spark's ``aggregate``: the best path from each place
-  to the end, with its pieces. A chunk of over LONG_CHUNK characters, whose fold would
-  copy its growing path at each edge, takes the same fold over the same edges in a
-  Python loop, linear in its length.
+* edges are grouped by chunk, and Viterbi is a fold over them from the end of the chunk
+  backwards, of many chunks at a time: the best edge from each place to the end. A chunk
+  of over LONG_CHUNK characters takes the same fold in a Python loop, linear in its
+  length, because places of one chunk cannot be taken together.
 
 Texts then look up their chunks: the commonest (at most DICTIONARY chunks of together at
 most DICTIONARY_BYTES) lie in a file that one task writes to the shared folder and each
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEEPERS, remove, shared_path, stored
+from .common import KEEPERS, let_go, remove, shared_path, stored
 from .lattice import MARK, vocabulary
 from .spans import Cutter, Dictionary, gather, narrow
 
@@ -51,6 +50,8 @@ PART = 1 << 22
 #: That dictionary, as a Python worker holds it.
 _HELD: dict[str, tuple] = {}
 KEEPERS.append(_HELD.clear)
+#: How an edge is one number: bits of a place and of an id, and what makes ids of characters positive.
+PLACE_BITS, ID_BITS, LEAST_ID = 16, 24, 0x110000
 #: Score of a character that is no piece: there is no other edge over it.
 UNKNOWN_SCORE = -1e5
 
@@ -79,6 +80,7 @@ def count_chunks(docs: DataFrame, text: str, path: str = VOCABULARY) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(cutter(path))
 
     def run(batches):
+        let_go()
         known, held, uses, new = Dictionary([]), [], np.empty(0, np.int64), Counter()
 
         def out(chunks, n):
@@ -176,26 +178,75 @@ def best_paths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     words = words.filter(F.length("chunk") <= LONG_CHUNK)
     size = F.length("chunk")
     words = words.repartition(max(1, -(-(words.agg(F.sum(size)).first()[0] or 0) // LATTICE_CHARS)), "chunk")
+    # A number by which rows lie in order already, so that grouping has little to sort.
+    words = words.withColumn("at", F.monotonically_increasing_id())
+    own = ["at", "chunk", "n"]
     starts = F.explode(F.sequence(F.lit(0), size - 1)).alias("s")
-    spans = words.select("chunk", "n", starts).select("chunk", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    spans = words.select(*own, starts).select(*own, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
     spans = spans.withColumn("span", F.substring(F.col("chunk"), F.col("s") + 1, F.col("k"))).withColumn("h", F.xxhash64("span"))
-    table = F.broadcast(pieces.withColumn("h", F.xxhash64("piece")))
-    edges = spans.join(table, (spans["h"] == table["h"]) & (spans["span"] == table["piece"]), "left").filter("id is not null or k = 1")
+    # The join is on the hash alone, a number; what meets is then compared in full.
+    met = spans.join(F.broadcast(pieces.select("piece", "id", F.xxhash64("piece").alias("h"))), "h", "left")
+    same = F.coalesce(F.col("piece") == F.col("span"), F.lit(False))
+    edges = met.filter(same | (F.col("k") == 1))
     # Places are counted from the end of the chunk: an edge leads from ``p`` to ``q`` < ``p``.
-    edge = F.struct((size - F.col("s")).alias("p"), (size - F.col("s") - F.col("k")).alias("q"), F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"), F.coalesce("id", -F.ascii("span") - 1).alias("id"))
-    lattice = edges.groupBy("chunk", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    p, id_ = (size - F.col("s")).cast("long"), F.when(same, F.col("id")).otherwise(-F.ascii("span") - 1)
+    edge = (p * (1 << PLACE_BITS) + p - F.col("k")) * (1 << ID_BITS) + id_ + LEAST_ID
+    lattice = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges"))
 
-    node = lambda score, ids: F.struct(score.alias("score"), ids.alias("ids"))
-    origin = F.array(node(F.lit(0.0), F.array().cast("array<int>")))
+    worth = np.zeros(1 + max(i for i, _, _ in vocabulary(path)))
+    for i, _, score in vocabulary(path):
+        worth[i] = score
+    shared = words.sparkSession.sparkContext.broadcast(worth)
 
-    def step(best: Column, x: Column) -> Column:
-        rest, last = F.get(best, x["q"]), F.size(best) - 1
-        total = rest["score"] + x["score"]
-        new = F.array(node(total, F.concat(F.array(x["id"]), rest["ids"])))
-        return F.when(x["p"] > last, F.concat(best, new)).when(total > F.get(best, last)["score"], F.concat(F.slice(best, 1, last), new)).otherwise(best)
-
-    folded = lattice.select("chunk", "n", F.aggregate("edges", origin, step, lambda best: F.element_at(best, -1)).alias("best"))
-    return folded.select("chunk", "n", "best.score", "best.ids").unionByName(long)
+    def run(batches):
+        for batch in batches:
+            score, ids = fold_edges(batch.column(2), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), ids], ["chunk", "n", "score", "ids"])
+
+    return lattice.select("chunk", "n", "edges").mapInArrow(run, "chunk string, n long, score double, ids array<int>").unionByName(long)
+
+
+def fold_edges(lattices: pa.ListArray, worth: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Score and ids of the best path through each of many lattices. An edge is one number:
+    place, place it leads to, and id, from the high bits down; ``worth`` has the score of each id.
+
+    All lattices take a step together, from the end of the chunks backwards: the best edge of
+    each place is chosen once those of all later places are."""
+    flat, counts = lattices.flatten().to_numpy(), pc.list_value_length(lattices).to_numpy(zero_copy_only=False)
+    n = len(counts)
+    row = np.repeat(np.arange(n), counts)
+    p = flat >> (PLACE_BITS + ID_BITS)
+    # By place, lattice and length, the longest first: of equal scores the first one stays.
+    order = np.lexsort((flat, row, p))
+    flat, row, p = flat[order], row[order], p[order]
+    q, ids = (flat >> ID_BITS) & ((1 << PLACE_BITS) - 1), (flat & ((1 << ID_BITS) - 1)) - LEAST_ID
+    size = np.zeros(n, np.int64)
+    np.maximum.at(size, row, p)
+    base = np.cumsum(size + 1) - size - 1
+    at, to = base[row] + p, base[row] + q
+    gain = np.where(ids < 0, UNKNOWN_SCORE, worth[np.maximum(ids, 0)])
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    width = np.diff(np.append(first, len(at)))
+    score, taken = np.zeros(n + int(size.sum())), np.zeros(n + int(size.sum()), np.int64)
+    levels = [*np.flatnonzero(np.diff(p[first], prepend=-1)).tolist(), len(first)]
+    for a, b in zip(levels, levels[1:], strict=False):
+        low, high = first[a], first[b - 1] + width[b - 1]
+        total = score[to[low:high]] + gain[low:high]
+        best = np.maximum.reduceat(total, first[a:b] - low)
+        hits = np.flatnonzero(total == np.repeat(best, width[a:b]))
+        node = at[low:high][hits]
+        once = np.diff(node, prepend=-1) != 0
+        score[node[once]], taken[node[once]] = best, low + hits[once]
+    left, place, rows, path = np.flatnonzero(size), size.copy(), [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    while len(left):
+        edge = taken[base[left] + place[left]]
+        rows.append(left)
+        path.append(ids[edge].astype(np.int32))
+        place[left] = q[edge]
+        left = left[place[left] > 0]
+    rows, path = np.concatenate(rows), np.concatenate(path)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+    return score[base + size], pa.ListArray.from_arrays(pa.array(ends), pa.array(path[np.argsort(rows, kind="stable")]))
 
 
 def _common(lexicon: DataFrame, first: int) -> str:
@@ -212,6 +263,7 @@ def _common(lexicon: DataFrame, first: int) -> str:
     rows = short.filter(F.lit(False) if least is None else F.col("step") >= least).select("chunk", "score", "ids")
 
     def build(batches):
+        let_go()
         table = pa.Table.from_batches(list(batches), pa.schema([("chunk", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
         blob = pickle.dumps(_flat_dictionary(table, first), 5)
         for at in range(0, len(blob), PART):

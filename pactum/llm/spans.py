@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Characters of texts that one pass takes; bounds the memory of a task, not what it reads.
 PASS_CHARS = 1_000_000
+#: Chunks of a dictionary that are hashed at a time: hashing takes many times their bytes.
+BLOCK = 1 << 14
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -155,9 +157,14 @@ class Dictionary:
     arrays are narrow, because every task holds them."""
 
     def __init__(self, chunks: list[str]):
-        held = Pass(chunks)
-        self.codes, self.at, self.lengths = narrow(np.append(held.codes, np.uint32(0))), narrow(held.at), narrow(held.lengths)
-        h = held.hashes()
+        codes, lengths, h = [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for low in range(0, len(chunks), BLOCK):
+            held = Pass(chunks[low : low + BLOCK])
+            codes.append(narrow(held.codes))
+            lengths.append(held.lengths)
+            h.append(held.hashes())
+        lengths, h = np.concatenate(lengths), np.concatenate(h)
+        self.codes, self.at, self.lengths = narrow(np.concatenate([*codes, np.zeros(1, np.uint8)])), narrow(np.cumsum(lengths) - lengths), narrow(lengths)
         bits = max(4, int(2 * len(h)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.keys, self.places = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
