@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import remove, shared_dir, shared_path, stored
 
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "let_go", "remove", "shared_dir", "shared_path", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fold", "give_back", "let_go", "remove", "shared_dir", "shared_path", "stored", "table"]
 
 #: ``[\x20\x09-\x0D]``: the white space that the word rules split on.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,15 +20,21 @@ KEEPERS: list[Callable[[], None]] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed, but holds, goes back to the system: it serves one
+    task after the other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def let_go() -> None:
     """For the start of a task: a Python worker serves all operators, one after the other. What
     the one before kept goes, and the memory that it freed goes back to the system."""
     for empty in KEEPERS:
         empty()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEEPERS, let_go, remove, shared_path, stored
+from .common import KEEPERS, give_back, let_go, remove, shared_path, stored
 from .lattice import MARK, vocabulary
 from .spans import Cutter, Dictionary, gather, narrow
 
@@ -334,6 +334,7 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
     keyed = docs.withColumn("key", F.xxhash64(*docs.columns))
 
     def missing(batches):
+        give_back()
         cut, (known, _) = shared.value, _dictionary(place, first)
         for batch in batches:
             for low, _, passes in cut.passes(batch.column(0)):
@@ -361,30 +362,37 @@ def _encoded(docs: DataFrame, path: str, then=None, schema: str | None = None) -
     width = len(docs.columns)
 
     def run(batches):
+        give_back()
         cut, (known, (flat, starts, lengths, scores)) = shared.value, _dictionary(place, first)
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             more = batch.column(width)
             texts = pa.array([None if t is None else unpack.decompress(t) for t in batch.column(at).to_pylist()], pa.binary()).cast(pa.string())
             for low, high, passes in cut.passes(texts):
-                # What this slice was given follows the dictionary, by row and chunk.
+                # What this slice was given stands beside the dictionary, by row and chunk: a copy of both
+                # together would be larger than the slice.
                 own = more.slice(low, high - low)
                 given = own.flatten()
                 row = np.repeat(np.arange(high - low), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
                 own_flat, own_lengths = _expand(given.field("ids"), first)
-                spot = {k: len(starts) + i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
-                table = np.concatenate([flat.astype(np.int32), own_flat])
-                from_ = np.concatenate([starts, len(flat) + np.cumsum(own_lengths) - own_lengths])
-                size, worth = np.concatenate([lengths, own_lengths]), np.concatenate([scores, given.field("score").to_numpy(zero_copy_only=False)])
+                spot = {k: i for i, k in enumerate(zip(row.tolist(), given.field("chunk").to_pylist(), strict=True))}
+                own_starts, own_scores = np.cumsum(own_lengths) - own_lengths, given.field("score").to_numpy(zero_copy_only=False)
                 ids, n, score = [], np.zeros(high - low, np.int64), np.zeros(high - low)
                 for some in passes:
                     found = known.find(some)
-                    rest = np.flatnonzero(found < 0)
+                    hit, rest = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
                     text = np.repeat(np.arange(high - low if len(some.counts) > 1 else 1), some.counts)
-                    found[rest] = [spot[k] for k in zip(text[rest].tolist(), some.chunks(rest), strict=True)]
-                    ids.append(gather(table, from_[found], size[found]))
-                    n += np.bincount(text, size[found], high - low).astype(np.int64)
-                    score += np.bincount(text, worth[found], high - low)
+                    mine = np.fromiter((spot[k] for k in zip(text[rest].tolist(), some.chunks(rest), strict=True)), np.int64, len(rest))
+                    size, worth, at_hand = np.empty(len(found), np.int64), np.empty(len(found)), found[hit]
+                    size[hit], size[rest] = lengths[at_hand], own_lengths[mine]
+                    worth[hit], worth[rest] = scores[at_hand], own_scores[mine]
+                    of = np.repeat(found >= 0, size)
+                    both = np.empty(len(of), np.int32)
+                    both[of] = gather(flat, starts[at_hand].astype(np.int64), size[hit])
+                    both[~of] = gather(own_flat, own_starts[mine], size[rest])
+                    ids.append(both)
+                    n += np.bincount(text, size, high - low).astype(np.int64)
+                    score += np.bincount(text, worth, high - low)
                 slim = batch.slice(low, high - low).select(kept)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
                 out = pa.RecordBatch.from_arrays([*slim.columns, lists, pa.array(score)], [*kept, "ids", "score"])
@@ -458,4 +466,6 @@ def round_trip(docs: DataFrame) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(out, ["doc_id", "n_chars", "n_pieces", "score", "ids_sha256", "decoded_sha256", "same"])
 
-    return _encoded(docs.select("doc_id", "text"), VOCABULARY, check, "doc_id long, n_chars long, n_pieces long, score double, ids_sha256 string, decoded_sha256 string, same boolean")
+    rows = _encoded(docs.select("doc_id", "text"), VOCABULARY, check, "doc_id long, n_chars long, n_pieces long, score double, ids_sha256 string, decoded_sha256 string, same boolean")
+    # Written here, in small batches: a caller's batches could hold all texts of a partition at once.
+    return stored(rows, "pieces-rows")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of texts that one pass takes; bounds the memory of a task, not what it reads.
-PASS_CHARS = 1_000_000
+PASS_CHARS = 1 << 18
 #: Chunks of a dictionary that are hashed at a time: hashing takes many times their bytes.
 BLOCK = 1 << 14
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -93,7 +93,7 @@ class Powers:
     @classmethod
     def reach(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(cls.up):
-            size = max(1 << 16, n + n // 4)
+            size = max(1 << 16, n + n // 16)
             row = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
             cls.up, cls.down = row(np.uint64(_BASE)), row(np.uint64(pow(_BASE, -1, 1 << 64)))
         return cls.up, cls.down
