@@ -61,6 +61,11 @@ def fold_text(s: Column) -> Column:
 def deaccent(s: Column) -> Column:
     """Lower case without accents, for a second, looser try. Covers the closed set
     ACCENTED and combining marks; a dotless i stays."""
+    bare = F.lower(F.replace(s, F.lit("I"), F.lit("ı")))
+    return F.when(F.length(s) == F.octet_length(s), bare).otherwise(_deaccented(s))
+
+
+def _deaccented(s: Column) -> Column:
     return F.regexp_replace(F.translate(tr_lower(s), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_text
+from ..functions.text import fold, fold_text, let
 from .classify import DEFAULT_BUYERS
 from .rules import match_places
 
@@ -20,6 +20,14 @@ GENERIC = ("sözleşme", "taraf", "taraflar", "ek", "ekler", "hizmet", "hizmetle
 SUPPLIER = ("tedarikçi", "sağlayıcı", "yüklenici", "satıcı", "firma", "şirket", "hizmet sağlayıcı", "danışman", "imalatçı", "üretici", "kiralayan")
 NUMBERS = {"bir": 1, "iki": 2, "üç": 3, "uc": 3, "dört": 4, "dort": 4, "beş": 5, "bes": 5, "altı": 6, "alti": 6, "on iki": 12, "oniki": 12, "yirmi dört": 24, "yirmidort": 24, "otuz altı": 36}
 RENEWS = r"(kendiliğinden|otomatik olarak)[^.]{0,40}(yenilen|uzar)"
+#: What must stand in a text, unfolded, where a form above matches: each begins with few characters, so
+#: most places are passed over at once, and the form itself is tried in few texts. That takes ``when``:
+#: operands of ``&`` and ``|`` may be computed beforehand. A unit of a term begins at the edge of a word,
+#: after white space, a bracket or the last letter of a number; i has four forms for matching.
+DIGIT = "[0-9]"
+UNIT = r"[yY](?:(?<=[aA].)(?<=[\s()çÇşŞıİſ]..)|(?<=[\s()çÇşŞıİſ].)[ıiIİ][lL])"
+STAMP = "[dD][aA][mM][gG][aA]"
+RENEWED = "[uUyY](?:[zZ][aA][rR]|[eE][nN][iİ][lL][eE][nN])"
 
 
 def defined_terms(text: Column, pattern: str = DEFINED, generic: tuple[str, ...] = GENERIC, head: int = HEAD) -> Column:
@@ -64,7 +72,8 @@ def counterparty(party_names: Column, terms: Column) -> Column:
 
 def amount(text: Column, pattern: str = AMOUNT) -> Column:
     """The first amount with its currency, or an empty string."""
-    return F.trim(F.concat_ws(" ", F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+    found = F.trim(F.concat_ws(" ", F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+    return F.when(text.rlike(DIGIT), found).otherwise("") if pattern == AMOUNT else found
 
 
 def term(text: Column) -> Column:
@@ -74,22 +83,32 @@ def term(text: Column) -> Column:
     renewal = lambda s: s.rlike("uzar|yenilen")
     tier = lambda m: F.when(near(m, 90, 40).rlike("süre|sure|geçerli|gecerli") & ~renewal(near(m, 90, 40)), 0).when(~renewal(near(m, 60, 30)), 1).otherwise(2)
     ranked = F.transform(match_places(text, TERM), lambda m: F.struct(tier(m).alias("tier"), m["start"].alias("start"), m["end"].alias("end")))
-    best = F.array_min(ranked)
-    found = F.substring(text, best["start"] + 1, best["end"] - best["start"])
-    raw, unit = fold(F.regexp_extract(found, TERM, 1)), fold(F.regexp_extract(found, TERM, 2))
     words = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
-    n = F.coalesce(F.element_at(words, raw), raw.try_cast("int"))
-    return F.coalesce(F.concat(n.cast("string"), F.when(unit.startswith("y"), F.lit(" yıl")).otherwise(F.lit(" ay"))), F.trim(found), F.lit(""))
+
+    def told(found: Column) -> Column:
+        raw, unit = fold(F.regexp_extract(found, TERM, 1)), fold(F.regexp_extract(found, TERM, 2))
+        n = F.coalesce(F.element_at(words, raw), raw.try_cast("int"))
+        return F.coalesce(F.concat(n.cast("string"), F.when(unit.startswith("y"), F.lit(" yıl")).otherwise(F.lit(" ay"))), F.trim(found), F.lit(""))
+
+    best = let(F.array_min(ranked), lambda m: let(F.substring(text, m["start"] + 1, m["end"] - m["start"]), told))
+    return F.when(text.rlike(UNIT), best).otherwise("")
 
 
 def stamp_duty(text: Column, terms: Column) -> Column:
     """Who bears stamp duty, judged by what stands around its first mention."""
-    low = fold_text(text)
-    at = F.instr(low, "damga vergisi") - 1
-    around = fold(F.substring(text, F.greatest(F.lit(0), at - 200) + 1, at + 300 - F.greatest(F.lit(0), at - 200)))
-    buyer = F.exists(buyer_names(terms), lambda a: F.contains(around, a))
-    equal = around.rlike("eşit|esit")
-    return F.when(at < 0, "Sözleşmede düzenlenmemiş").when(buyer & ~equal, "Alıcıya ait (risk)").when(equal | F.contains(around, F.lit("yarı")), "Eşit paylaşım").otherwise("Belirtilmiş (elle kontrol)")
+    none = F.lit("Sözleşmede düzenlenmemiş")
+    near = lambda at: F.when(at >= 0, fold(F.substring(text, F.greatest(F.lit(0), at - 200) + 1, at + 300 - F.greatest(F.lit(0), at - 200))))
+
+    def bears(around: Column) -> Column:
+        buyer, equal = F.exists(buyer_names(terms), lambda a: F.contains(around, a)), around.rlike("eşit|esit")
+        return F.when(around.isNull(), none).when(buyer & ~equal, "Alıcıya ait (risk)").when(equal | F.contains(around, F.lit("yarı")), "Eşit paylaşım").otherwise("Belirtilmiş (elle kontrol)")
+
+    return F.when(~text.rlike(STAMP), none).otherwise(let(let(F.instr(fold_text(text), "damga vergisi") - 1, near), bears))
+
+
+def renews(text: Column) -> Column:
+    """Whether the text says that the contract renews itself."""
+    return F.when(text.rlike(RENEWED), fold_text(text).rlike(RENEWS)).otherwise(False)
 
 
 def extract_meta(docs: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
@@ -98,5 +117,5 @@ def extract_meta(docs: DataFrame, key: str = "contract_id", text: str = "text")
     rows = docs.select(key, body.alias("t"), defined_terms(body).alias("terms"), parties(body, None).alias("parties"))
     return rows.select(
         key, F.slice("parties", 1, 6).alias("parties"), counterparty(F.col("parties"), F.col("terms")).alias("counterparty"), amount(F.col("t")).alias("value_text"), term(F.col("t")).alias("term_text"),
-        stamp_duty(F.col("t"), F.col("terms")).alias("stamp_duty"), fold_text(F.col("t")).rlike(RENEWS).alias("auto_renew"), "terms",
+        stamp_duty(F.col("t"), F.col("terms")).alias("stamp_duty"), renews(F.col("t")).alias("auto_renew"), "terms",
     )

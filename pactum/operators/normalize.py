@@ -68,8 +68,10 @@ def dehyphenate(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """All steps, at most one empty line in a row, trimmed. Null stays null."""
     kept = let(F.split(clean_characters(text), "\n"), drop_furniture)
-    out = dehyphenate(F.array_join(kept, "\n"))
-    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    # Mere strings tell which texts have anything to join or to leave out.
+    out = let(F.array_join(kept, "\n"), lambda t: F.when(F.contains(t, F.lit("-\n")), dehyphenate(t)).otherwise(t))
+    out = let(out, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t))
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def page_map(pages: DataFrame, key: str = "contract_id") -> DataFrame:

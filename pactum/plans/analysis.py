@@ -43,7 +43,7 @@ def prepare(contracts: DataFrame) -> DataFrame:
 
 def deterministic(docs: DataFrame) -> DataFrame:
     """Document-level findings: annexes referred to but absent, drafting defects."""
-    annex = docs.select(KEY, F.explode(rules.missing_annexes(F.col("text"))).alias("n"))
+    annex = docs.filter(F.col("text").rlike(rules.ANNEXED)).select(KEY, F.explode(rules.missing_annexes(F.col("text"))).alias("n"))
     annex = annex.select(KEY, F.lit("ORTA").alias("severity"), F.concat(F.lit("EK-"), F.col("n")).alias("title"), F.lit("").alias("quote"), F.lit("CROSS_REF_ERROR").alias("finding_type"), F.lit(0.9).alias("confidence"))
     defects = rules.drafting_defects(docs).select(KEY, "severity", F.col("kind").alias("title"), "quote", F.lit("DRAFTING_DEFECT").alias("finding_type"), F.lit(0.95).alias("confidence"))
     return annex.unionByName(defects).withColumns({"code": F.lit("ENTIRE_AGREEMENT"), "detected_by": F.lit("RULE_DET")})
