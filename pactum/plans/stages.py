@@ -17,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import measured_broadcasts, stored
+
 KEY = "contract_id"
 ITEM = [KEY, "item", "fingerprint"]
 
@@ -24,7 +26,7 @@ ITEM = [KEY, "item", "fingerprint"]
 @dataclass
 class Stage:
     """``run(tables, todo)`` gives the rows of the contracts in ``todo`` (contract_id, fingerprint) from
-    the finished tables of the stages before. With ``items``, ``items(tables, todo)`` lists
+    the finished tables of the stages before, which hold these contracts alone. With ``items``, ``items(tables, todo)`` lists
     (contract_id, item) and ``run`` gets these rows and returns an ``item`` column; ``batches`` such parts
     are finished one after the other."""
 
@@ -59,6 +61,9 @@ class Run:
         order = Window.partitionBy(KEY, "item").orderBy(F.desc("batch"))
         return self.manifest().filter(F.col("stage") == stage).withColumn("newest", F.row_number().over(order) == 1)
 
+    def _batches(self, stage: str, batches: list[str]) -> DataFrame:
+        return self.spark.read.option("basePath", self._path(stage)).parquet(*[f"{self._path(stage)}/batch={b}" for b in batches])
+
     def table(self, stage: str, asked: DataFrame | None = None) -> DataFrame:
         """Finished rows of a stage, all or those of the contracts in ``asked``. Batches of which every
         row counts, which is most, are taken by their partition alone."""
@@ -68,14 +73,17 @@ class Run:
             marks = marks.join(asked.select(KEY).distinct().withColumn("asked_", F.lit(True)), KEY, "left")
             good = good & F.coalesce("asked_", F.lit(False))
         batches = marks.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good")).collect()
-        found = self.spark.read.option("basePath", self._path(stage)).parquet(*[f"{self._path(stage)}/batch={r['batch']}" for r in batches])
+        found = self._batches(stage, [r["batch"] for r in batches])
         mixed = [r["batch"] for r in batches if r["good"] < r["n"]]
         if mixed:
             keys = [KEY, "item", "batch"] if "item" in found.columns else [KEY, "batch"]
             found = found.join(marks.filter(good).select(*keys).distinct(), keys, "left_semi")
         return found.drop("batch")
 
-    def _commit(self, stage: Stage, inputs: dict[str, DataFrame], todo: DataFrame) -> None:
+    def _commit(self, stage: Stage, inputs: dict[str, DataFrame], todo: DataFrame, whole: bool) -> str:
+        # A batch of all contracts takes the tables as they are: cutting them shuffles every text.
+        if not whole:
+            inputs = {name: t.join(todo.select(KEY).distinct(), KEY, "left_semi") for name, t in inputs.items()}
         batch = f"b{time.time_ns():020d}"
         path = f"{self._path(stage.name)}/batch={batch}"
         stage.run(inputs, todo if stage.items else todo.drop("item")).write.mode("overwrite").parquet(path)
@@ -84,23 +92,32 @@ class Run:
         marks = todo.select(*ITEM).join(written, keys, "left").select(*ITEM, F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
         # The files of the mark appear together when its folder does, so a batch is finished or it is not.
         marks.write.parquet(f"{self._path('manifest')}/stage={stage.name}/batch={batch}")
+        return batch
 
     def resume(self, contracts: DataFrame) -> dict[str, DataFrame]:
         """Runs what is not finished for ``contracts`` (contract_id, fingerprint, further columns, which
         the stages see as table ``contracts``); gives the finished tables by stage."""
+        with measured_broadcasts(self.spark):
+            tables = self._finish(contracts.filter(F.col(KEY).isNotNull()))
+        # Joins of the finished tables are planned later, under the session's settings, hence the hint.
+        return {name: t.hint("merge") for name, t in tables.items()}
+
+    def _finish(self, contracts: DataFrame) -> dict[str, DataFrame]:
         tables = {"contracts": contracts}
-        asked = contracts.select(KEY, "fingerprint")
+        # Written once, as a fingerprint reads the whole contract.
+        asked = stored(contracts.select(KEY, "fingerprint"), "asked")
         for stage in self.stages:
             items = stage.items(tables, asked).join(asked, KEY) if stage.items else asked.withColumn("item", F.lit(""))
             done = self._marks(stage.name).filter("newest")
             fresh = done.isEmpty()
+            whole = fresh and stage.batches == 1
             left = items.select(*ITEM) if fresh else items.select(*ITEM).join(done, ITEM, "left_anti")
             for part in range(stage.batches):
                 mine = left if stage.batches == 1 else left.filter(F.pmod(F.xxhash64(KEY, "item"), F.lit(stage.batches)) == part)
                 # The first batch of all is written even where it is empty: it gives the table its columns.
                 if fresh or not mine.isEmpty():
-                    self._commit(stage, tables, mine)
-            tables[stage.name] = self.table(stage.name, asked)
+                    batch = self._commit(stage, tables, mine, whole)
+            tables[stage.name] = self._batches(stage.name, [batch]).drop("batch") if whole else self.table(stage.name, asked)
         return tables
 
     def progress(self, contracts: DataFrame) -> DataFrame:

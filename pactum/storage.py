@@ -43,6 +43,15 @@ def set_conf(spark: SparkSession, key: str, value) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside broadcast a side for its size as a finished shuffle shows it, or for a hint, but not
+    for the size of its files: columns that repeat shrink to almost nothing there, and the driver holds every row."""
+    static, shown = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    with set_conf(spark, shown, spark.conf.get(shown, None) or spark.conf.get(static)), set_conf(spark, static, -1):
+        yield
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, so a lost
     executor costs a read, not a recomputation, and the shuffles behind it are freed once
