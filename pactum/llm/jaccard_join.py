@@ -41,13 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, shared_path, stored
+from .common import let_go, remove, shared_path, stored
 from .components import components
 
 BUCKET_BITS = 18
 CHUNK = 4096
 #: Rows of one n-gram that a task takes before the n-gram is salted.
 GROUP_ROWS = 20_000
+#: Pairs with both their sets that go to Python at a time: a set takes 8 bytes an n-gram, and a
+#: batch is held by the JVM, while it grows twice over, and by the worker.
+SET_ROWS = 200
 #: Words and signatures that a task remembers before it starts afresh.
 MEMO = 200_000
 #: Turns of star candidates with drawn leaders, and leaders of an n-gram in each. They only
@@ -121,6 +124,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
     """kind 0: (doc_id, n, node, check, parities) of every document; kind 1: bucket counts of a task."""
 
     def run(batches):
+        let_go()
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         rows: list[tuple] = []
 
@@ -130,13 +134,14 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
         def documents():
             ids, ns, nodes, checks, bits = zip(*rows, strict=True)
-            signs = np.ascontiguousarray(np.packbits(np.asarray(bits, bool), axis=1).view(np.int64).T)
+            signs = np.ascontiguousarray(np.stack(bits).view(np.int64).T)
             rows.clear()
             return out(0, ids, ns, nodes, checks, signs, [None] * len(ids))
 
         for doc, s, node, check in _sets(batches, n):
             np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            rows.append((doc, len(s), node, check, np.bincount((s >> np.uint64(32) & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1))
+            odd = np.bincount((s >> np.uint64(32) & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1
+            rows.append((doc, len(s), node, check, np.packbits(odd.astype(bool))))
             if len(rows) >= 5_000:
                 yield documents()
         if rows:
@@ -169,6 +174,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray, clashes
     shared = docs.sparkSession.sparkContext.broadcast((counts, parts))
 
     def run(batches):
+        let_go()
         counts, parts = shared.value
         seen: set[int] = set()
         held: list[tuple] = []
@@ -249,6 +255,7 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, cl
     rows = docs.withColumn("spot", spot).withColumn("piece", F.shiftright("spot", 15)).join(F.broadcast(pieces), "piece").filter(hit)
 
     def run(batches):
+        let_go()
         seen = set()
         for batch in batches:
             out = ([], [])
@@ -274,6 +281,7 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percen
         return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y))
 
     def run(batches):
+        let_go()
         for batch in batches:
             _, _, sa, sb = batch.columns
             ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(sa, sb, strict=True)]
@@ -404,7 +412,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     stars = grams.select("node", "n", "pos", "lnode", "ln", "lpos").unionByName(tops).filter("node != lnode").filter(_may_link("", "l", percent))
     tried = _pairs(_likeliest(stars.select(F.col("node").alias("a"), F.col("lnode").alias("b"))))
     tried = stored(_suffix_filtered(tried, nodes, percent), "jaccard-pairs")
-    links = stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links")
+    links = stored(_checked(docs, nodes, tried, n, percent, clashes), "jaccard-links", batch_rows=SET_ROWS)
     labels = components(links)
 
     # ``grams`` holds a node once an n-gram: its salt and leader follow from these.
@@ -416,7 +424,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         fresh = _stars(open_rows, turn, percent).select("a", "b", "far", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         fresh = fresh.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b", "far")
         pairs = stored(_pairs(_nearest(fresh)), "jaccard-pairs")
-        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
+        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links", batch_rows=SET_ROWS)
         found, tried = links.count(), tried.union(pairs)
         if found:
             # Components only grow, so what is open now was open before.
@@ -433,13 +441,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         if last.count() <= FEW_PAIRS:
             break
         pairs = stored(last.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"), "jaccard-pairs")
-        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links")
+        links = stored(_checked(docs, nodes, pairs, n, percent, clashes), "jaccard-links", batch_rows=SET_ROWS)
         if links.isEmpty():
             break
         labels = _merged(labels, links)
         last = stored(_between(last.drop("x", "y").join(pairs, ["a", "b"], "left_anti"), labels), "jaccard-last")
     if not last.isEmpty():
-        labels = _merged(labels, stored(_checked(docs, nodes, last.select("a", "b"), n, percent, clashes), "jaccard-links"))
+        labels = _merged(labels, stored(_checked(docs, nodes, last.select("a", "b"), n, percent, clashes), "jaccard-links", batch_rows=SET_ROWS))
 
     # Only nodes with links or with copies have another id than their own to take.
     joined = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")

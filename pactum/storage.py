@@ -52,15 +52,16 @@ def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
         yield
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, so a lost
     executor costs a read, not a recomputation, and the shuffles behind it are freed once
     it stands. The files are the job's: who sets the folder clears it, as with Spark's own
-    checkpoints; a caller that gives ``path`` may ``remove`` it sooner."""
+    checkpoints; a caller that gives ``path`` may ``remove`` it sooner. ``batch_rows`` go to
+    Python at a time."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
     # Small batches: rows here hold whole texts, and each task has some batches in memory.
-    with set_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), set_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+    with set_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), set_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
